@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tapeworks.plans import indicator_queries, rule_queries, source_queries  # noqa: F401
+from tapeworks.plans import (  # noqa: F401
+    indicator_queries,
+    learning_queries,
+    rule_queries,
+    source_queries,
+)
 from tapeworks.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -10,8 +10,8 @@ from tapeworks.sources.bars import partition_columns
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Write once, zstd, by asset_class/year/month; each task sorts rows by partition, and a
-    month's rows are spread over several tasks by instrument so no month is one task."""
+    """Write once, zstd, by asset_class/year/month. The rebalance hint lets adaptive execution
+    split a large month over several tasks and join small ones."""
     columns = {
         n: F.to_json(n) if n == "contract" else F.col(n)
         for n in S.BARS.fieldNames()
@@ -22,7 +22,7 @@ def write_bars(bars: DataFrame, path: str) -> None:
         *[c for c in ("instrument_id",) if c in bars.columns],
     ).withColumns(partition_columns())
     (
-        rows.repartition("asset_class", "year", "month", F.pmod(F.xxhash64("symbol", "ts"), F.lit(4)))
+        rows.hint("rebalance", "asset_class", "year", "month")
         .sortWithinPartitions("asset_class", "year", "month", "symbol", "ts")
         .write.mode("errorifexists")
         .partitionBy("asset_class", "year", "month")

@@ -7,6 +7,7 @@ from tapeworks.plans import (  # noqa: F401
     learning_queries,
     rule_queries,
     source_queries,
+    trading_queries,
 )
 from tapeworks.plans.registry import QUERIES, SQL
 

@@ -210,3 +210,70 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = bars_daily(spark, sf_dir).select(F.to_date("ts").alias("holiday")).distinct()
     return days.filter(F.dayofmonth("holiday") == 1)
+
+
+def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars closed at different hours of the market day, some outside the session."""
+    minutes = F.lit(225) + (F.col("volume") % 8) * 60
+    return bars_daily(spark, sf_dir).withColumn(
+        "ts", F.timestamp_micros(F.unix_micros("ts") + minutes * 60_000_000)
+    )
+
+
+def risk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    price = (F.col("o_totalprice") / 100).cast("decimal(18,2)")
+    now = F.timestamp_micros(
+        F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (225 + (k % 9) * 47) * 60_000_000
+    )
+    sell = F.col("o_orderstatus") == "F"
+    symbol = F.concat(F.lit("BRAND-"), (k % 25 + 1).cast("string"))
+    five = F.lit(5).cast("decimal(18,2)")
+    kind = F.when(k % 47 == 0, "option").otherwise("equity")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("arrival"),
+        F.when(k % 10 == 9, k - 1).otherwise(k).cast("string").alias("client_order_id"),
+        F.col("o_custkey").alias("account"),
+        symbol.alias("symbol"),
+        kind.alias("instrument_type"),
+        F.when(sell, "sell").otherwise("buy").alias("side"),
+        F.substring("o_orderpriority", 1, 1).cast("bigint").alias("quantity"),
+        price.alias("quote_price"),
+        F.when(k % 41 == 0, "OTHER").otherwise(symbol).alias("quote_symbol"),
+        F.when(k % 43 == 0, "etf").otherwise(kind).alias("quote_type"),
+        now.alias("now"),
+        F.timestamp_micros(F.unix_micros(now) - (k % 50 - 5) * 1_000_000).alias("quote_ts"),
+        F.when(k % 37 == 0, None).when(k % 31 == 0, price).when(sell, price + five)
+        .otherwise(price - five).cast("decimal(18,2)").alias("stop_loss"),
+    )
+
+
+def account_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    money = "decimal(18,2)"
+    cash = (F.col("c_acctbal") * 2).cast(money)
+    exposure = (k % 50 * 1000).cast(money)
+    return table(spark, sf_dir, "customer").select(
+        k.alias("account"),
+        cash.alias("cash"),
+        exposure.alias("exposure"),
+        (cash + exposure).cast(money).alias("equity"),
+        (cash + exposure + (k % 60 * 100).cast(money)).cast(money).alias("day_start_equity"),
+        (k % 7).alias("open_positions"),
+    )
+
+
+def held_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+
+    def symbol(shift: int):
+        return F.concat(F.lit("BRAND-"), ((k + shift) % 25 + 1).cast("string")).alias("symbol")
+
+    first = customers.filter(k % 3 != 0).select(
+        k.alias("account"), symbol(0), (k % 4 + 1).alias("quantity")
+    )
+    second = customers.filter(k % 3 == 1).select(
+        k.alias("account"), symbol(5), F.lit(3).cast("bigint").alias("quantity")
+    )
+    return first.unionByName(second)

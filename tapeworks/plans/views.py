@@ -263,3 +263,57 @@ view(
     "holidays",
     "SELECT DISTINCT CAST(ts AS DATE) AS holiday FROM bars_daily WHERE day(CAST(ts AS DATE)) = 1",
 )
+view(
+    "session_bars",
+    """
+SELECT instrument_id, ts + (225 + (volume % 8) * 60) * INTERVAL 1 MINUTE AS ts, open, high, low, close,
+       volume FROM bars_daily""",
+)
+view(
+    "risk_orders",
+    """
+SELECT o_orderkey AS arrival, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 1 ELSE o_orderkey END
+         AS order_no, o_custkey AS account, 'BRAND-' || (o_orderkey % 25 + 1) AS symbol,
+  CASE WHEN o_orderkey % 47 = 0 THEN 'option' ELSE 'equity' END AS instrument_type,
+  CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side,
+  CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS quantity,
+  CAST(o_totalprice / 100 AS DECIMAL(18,2)) AS quote_price,
+  CASE WHEN o_orderkey % 41 = 0 THEN 'OTHER' ELSE 'BRAND-' || (o_orderkey % 25 + 1) END AS quote_symbol,
+  CASE WHEN o_orderkey % 43 = 0 THEN 'etf' WHEN o_orderkey % 47 = 0 THEN 'option' ELSE 'equity' END
+    AS quote_type,
+  o_orderdate + (225 + (o_orderkey % 9) * 47) * INTERVAL 1 MINUTE AS now,
+  o_orderdate + (225 + (o_orderkey % 9) * 47) * INTERVAL 1 MINUTE
+    - (o_orderkey % 50 - 5) * INTERVAL 1 SECOND AS quote_ts,
+  CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 31 = 0
+       THEN CAST(o_totalprice / 100 AS DECIMAL(18,2))
+       WHEN o_orderstatus = 'F' THEN CAST(o_totalprice / 100 AS DECIMAL(18,2)) + 5
+       ELSE CAST(o_totalprice / 100 AS DECIMAL(18,2)) - 5 END AS stop_loss
+FROM orders""",
+)
+view(
+    "account_states",
+    """
+SELECT c_custkey AS account, CAST(c_acctbal * 2 AS DECIMAL(18,2)) AS cash,
+  CAST(c_custkey % 50 * 1000 AS DECIMAL(18,2)) AS exposure,
+  CAST(c_acctbal * 2 AS DECIMAL(18,2)) + CAST(c_custkey % 50 * 1000 AS DECIMAL(18,2)) AS equity,
+  CAST(c_acctbal * 2 AS DECIMAL(18,2)) + CAST(c_custkey % 50 * 1000 AS DECIMAL(18,2))
+    + CAST(c_custkey % 60 * 100 AS DECIMAL(18,2)) AS day_start_equity,
+  c_custkey % 7 AS open_positions FROM customer""",
+)
+view(
+    "held_positions",
+    """
+SELECT c_custkey AS account, 'BRAND-' || (c_custkey % 25 + 1) AS symbol, c_custkey % 4 + 1 AS quantity
+FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'BRAND-' || ((c_custkey + 5) % 25 + 1), 3 FROM customer WHERE c_custkey % 3 = 1""",
+)
+view(
+    "screen_rows",
+    """
+SELECT o.*, s.cash, s.exposure, s.equity, s.day_start_equity, s.open_positions, h.quantity AS held,
+  row_number() OVER (PARTITION BY order_no ORDER BY arrival) > 1 AS repeated,
+  CAST(o.now + INTERVAL 330 MINUTE AS TIMESTAMP) AS local_now, epoch(now) - epoch(quote_ts) AS age,
+  quote_price * o.quantity AS amount
+FROM risk_orders o LEFT JOIN account_states s ON s.account = o.account
+LEFT JOIN held_positions h ON h.account = o.account AND h.symbol = o.symbol""",
+)

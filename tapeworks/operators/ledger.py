@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.cells import local_date
-from tapeworks.functions.series import BLOCK, Grid, running, split_series
+from tapeworks.functions.series import BLOCK, Grid, running
+from tapeworks.session import staged
 
 KEYS = ["account", "symbol"]
 ORDER = ["ts", "client_order_id"]
@@ -33,7 +34,7 @@ def inventory_clamp(fills: DataFrame, grid: Grid) -> DataFrame:
     """
     bucket = grid.bucket("ts")
     step = _signed(F.col("quantity"))
-    df = running(fills, KEYS, ORDER, bucket, {"_sum": ("sum", step)})
+    df = staged(running(fills, KEYS, ORDER, bucket, {"_sum": ("sum", step)}), "inventory")
     df = running(df, KEYS, ORDER, bucket, {"_low": ("min", F.col("_sum"))}, include_current=False)
     before = F.col("_sum") - step - F.least(F.coalesce("_low", F.lit(0)), F.lit(0))
     return df.withColumn("held_before", before).withColumn(
@@ -99,8 +100,12 @@ def ledger(fills: DataFrame, grid: Grid, *, block_rows: int = 256, levels: int =
     fill that would go short is flagged in ``oversold`` (it should have been screened out).
     """
     df = running(
-        fills, KEYS, ORDER, grid.bucket("ts"), {"quantity_after": ("sum", _signed(F.col("quantity")))}
-    )
+        fills,
+        KEYS,
+        ORDER,
+        grid.bucket("ts"),
+        {"quantity_after": ("sum", _signed(F.col("quantity"))), "_nth": ("count", F.lit(1))},
+    ).withColumn(BLOCK, F.floor((F.col("_nth") - 1) / F.lit(block_rows)))
     df = df.withColumn("quantity_before", F.col("quantity_after") - _signed(F.col("quantity")))
     buying = F.col("side") == "buy"
     value = F.col("price").cast("double") * F.col("quantity")
@@ -114,13 +119,11 @@ def ledger(fills: DataFrame, grid: Grid, *, block_rows: int = 256, levels: int =
             "_f": F.when(buying, F.col("cost").cast("double")).otherwise(F.lit(0.0)),
         }
     )
-    cut = split_series(df, KEYS, grid.bucket("ts"), block_rows=block_rows).drop("_own", "_base")
-    rows = [c for c in cut.columns if c not in (*KEYS, BLOCK)]
-    blocks = cut.groupBy(*KEYS, BLOCK).agg(
-        F.array_sort(F.collect_list(F.struct(*ORDER, *[c for c in rows if c not in ORDER]))).alias(
-            "_rows"
-        )
+    values = [c for c in df.columns if c not in (*KEYS, *ORDER, BLOCK, "_nth")]
+    blocks = df.groupBy(*KEYS, BLOCK).agg(
+        F.array_sort(F.collect_list(F.struct(*ORDER, *values))).alias("_rows")
     )
+    blocks = staged(blocks, "ledger-blocks")
     whole = F.aggregate(
         "_rows", _identity(), lambda acc, r: _then(acc, r["_a"], r["_b"], r["_f"])
     )
@@ -202,7 +205,7 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
 
     Each event changes an account by a known amount, so states are running sums of the changes
     added up per instant. ``marks`` holds (symbol, ts, price) closes; they apply after fills
-    of the same instant.
+    of the same instant. ``book`` is read several times and should be a stored table.
     """
     c = F.col
     money = lambda n: c(n).cast("double")
@@ -242,12 +245,12 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
     )
     old = F.coalesce(c("_q0") * c("_m0"), F.lit(0.0))
     new = F.coalesce(c("_q"), c("_q0"), F.lit(0.0)) * c("_m")
-    changes = line.groupBy("account", "ts").agg(
+    changes = staged(line.groupBy("account", "ts").agg(
         F.sum("_cash").cast(VALUE).alias("_cash"),
         F.sum(new - old).alias("_exposure"),
         F.sum("_carried").alias("_carried"),
         F.sum("_realized").alias("_realized"),
-    )
+    ), "account-changes")
     sums = running(
         changes,
         ["account"],

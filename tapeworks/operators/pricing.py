@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.indicators import frame, lagged
 from tapeworks.functions.series import Grid, owned, running
 from tapeworks.operators.sessions import next_after
+from tapeworks.session import staged
 
 MONEY = "decimal(18,4)"
 RATE = "decimal(9,8)"
@@ -238,6 +239,7 @@ def full_fills(orders: DataFrame, grid: Grid) -> DataFrame:
     df = running(
         df, GROUP, ["arrival"], F.shiftright("arrival", 16), {"_upto": ("sum", F.col("_ask"))}
     )
+    df = staged(df, "asks")
     asks = F.col("_ask").isNotNull()
     fits = asks & (F.col("_upto") <= F.col("capacity"))
     overflow = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tapeworks.plans import (  # noqa: F401
     indicator_queries,
     learning_queries,
+    ledger_queries,
     rule_queries,
     source_queries,
     trading_queries,

@@ -12,7 +12,7 @@ from tapeworks.plans import fixtures as fx
 from tapeworks.plans.indicator_queries import feature_digits
 from tapeworks.plans.registry import query, rounded, sql_rounded, sql_stamp, stamp
 from tapeworks.plans.views import view
-from tapeworks.session import scratch_path
+from tapeworks.session import scratch_path, staged
 from tapeworks.sources import sinks
 
 HORIZON, THRESHOLD, UPPER, LOWER = 5, 0.05, 0.6, 0.5
@@ -205,7 +205,7 @@ def _walk(name: str, folds: splits.Folds) -> None:
         {sql_stamp("max(label_end)")} AS label_end FROM placed GROUP BY ALL""",
     )
     def run(spark, sf):
-        placed = splits.assign_parts(_labels(spark, sf), DAILY, folds)
+        placed = splits.assign_parts(staged(_labels(spark, sf), "labels"), DAILY, folds)
         return placed.groupBy("fold", "part", "instrument_id").agg(
             F.count(F.lit(1)).alias("n"),
             stamp(F.min("ts")).alias("first_ts"),
@@ -225,7 +225,7 @@ _walk("walk_forward_rolling", ROLLING)
     FROM placed GROUP BY ALL""",
 )
 def split_ranges(spark, sf):
-    placed = splits.assign_parts(_labels(spark, sf), DAILY, EXPANDING)
+    placed = splits.assign_parts(staged(_labels(spark, sf), "labels"), DAILY, EXPANDING)
     return splits.part_ranges(placed).select(
         "fold", "part", stamp("start").alias("start_ts"), stamp("end").alias("end_ts"),
         stamp("label_end").alias("label_end"), F.col("rows").alias("n"),
@@ -239,7 +239,7 @@ def split_ranges(spark, sf):
     FROM placed GROUP BY fold""",
 )
 def split_guards(spark, sf):
-    placed = splits.assign_parts(_labels(spark, sf), DAILY, ROLLING)
+    placed = splits.assign_parts(staged(_labels(spark, sf), "labels"), DAILY, ROLLING)
     guards = splits.split_guards(placed)
     return guards.select(
         "fold", "train_rows", "train_positives", F.array_join("reasons", ",").alias("reasons")
@@ -259,7 +259,8 @@ _TRAIN_SQL = f"(SELECT * FROM window_values WHERE ts < TIMESTAMP '{_CUT}')"
 
 def _train(spark, sf):
     rows = build_features(fx.research_daily(spark, sf), DAILY)
-    return rows.filter(F.col("ts") < F.lit(_CUT).cast("timestamp"))
+    kept = rows.select("instrument_id", "ts", *_MODEL_FEATURES)
+    return staged(kept.filter(F.col("ts") < F.lit(_CUT).cast("timestamp")), "train")
 
 
 @query(
@@ -439,7 +440,7 @@ def eval_consequence(spark, sf):
       GROUP BY instrument_id""",
 )
 def eval_partition(spark, sf):
-    rows = _labels(spark, sf)
+    rows = staged(_labels(spark, sf), "labels")
     ranges = splits.part_ranges(splits.assign_parts(rows, DAILY, EXPANDING))
     out = None
     for partition in ("test", "out_of_sample"):

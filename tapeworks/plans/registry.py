@@ -41,11 +41,27 @@ def sql_stamp(column: str = "ts") -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
 
 
-def rounded(columns: dict[str, int] | list[str], digits: int = 4) -> list[Column]:
+def rounded(
+    columns: dict[str, int] | list[str], digits: int = 4, *, nudge: bool = False
+) -> list[Column]:
+    """Doubles at a fixed number of places. ``nudge`` lifts exact halves, which a sum in another
+    order may place on either side, well above the half in both engines."""
     pairs = columns.items() if isinstance(columns, dict) else [(c, digits) for c in columns]
     # Adding zero turns a rounded -0.0 into 0.0.
-    return [(F.round(F.col(c).cast("double"), d) + F.lit(0.0)).alias(c) for c, d in pairs]
+    return [
+        (
+            F.round(F.col(c).cast("double") + F.lit(10.0 ** -(d + 4) if nudge else 0.0), d)
+            + F.lit(0.0)
+        ).alias(c)
+        for c, d in pairs
+    ]
+
+
+def sql_nudged(value: str, digits: int) -> str:
+    return f"round({value} + 1e-{digits + 4}::DOUBLE, {digits}) + 0.0::DOUBLE"
 
 
 def sql_rounded(columns: list[str], digits: int = 4) -> str:
-    return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {c}" for c in columns)
+    return ", ".join(
+        f"round(CAST({c} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {c}" for c in columns
+    )

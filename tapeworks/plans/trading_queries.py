@@ -223,8 +223,8 @@ SELECT *, price * quantity AS turnover, CASE CAST(price * 100 AS BIGINT) % 5 WHE
 view(
     "fee_rows",
     """
-SELECT *, CASE product WHEN 'equity_delivery' THEN (brokerage + exchange + sebi) * 0.1
-    WHEN 'equity_intraday' THEN (brokerage + exchange) * 0.1 ELSE 0 END AS gst_fee
+SELECT *, CASE product WHEN 'equity_delivery' THEN (brokerage + exchange + sebi)::DOUBLE * 0.1::DOUBLE
+    WHEN 'equity_intraday' THEN (brokerage + exchange)::DOUBLE * 0.1::DOUBLE ELSE 0 END AS gst_fee
 FROM (SELECT client_order_id, account, symbol, product, side, ts,
   CASE product WHEN 'equity_delivery' THEN least(turnover * 0.0001, 7)
     WHEN 'equity_intraday' THEN least(turnover * 0.0002, 7) WHEN 'future' THEN least(turnover * 0.0003, 9) ELSE 0 END AS brokerage,
@@ -240,21 +240,21 @@ FROM (SELECT client_order_id, account, symbol, product, side, ts,
 
 @query(
     "costs",
-    """SELECT client_order_id, account, symbol, product, round(brokerage::DOUBLE, 9) AS brokerage,
-    round(stt::DOUBLE, 9) AS stt, round(exchange::DOUBLE, 9) AS exchange, round(sebi::DOUBLE, 9) AS sebi,
-    round(stamp::DOUBLE, 9) AS stamp, round(gst_fee::DOUBLE, 9) AS gst_fee FROM fee_rows""",
+    """SELECT client_order_id, account, symbol, product, round(brokerage::DOUBLE, 10) AS brokerage,
+    round(stt::DOUBLE, 10) AS stt, round(exchange::DOUBLE, 10) AS exchange, round(sebi::DOUBLE, 10) AS sebi,
+    round(stamp::DOUBLE, 10) AS stamp, round(gst_fee::DOUBLE, 10) AS gst_fee FROM fee_rows""",
 )
 def costs(spark, sf):
     rows = pricing.with_costs(_priced_fills(spark, sf), _schedules(spark))
     return rows.select(
-        "client_order_id", "account", "symbol", "product", *rounded([*pricing.FEES, "gst_fee"], 9)
+        "client_order_id", "account", "symbol", "product", *rounded([*pricing.FEES, "gst_fee"], 10)
     )
 
 
 @query(
     "cost_join",
     """SELECT product, side, CASE WHEN product = 'unknown' THEN 'missing_cost_schedule' END AS cost_reason,
-    count(*) AS n, round(sum(brokerage + stt + exchange + sebi + stamp + gst_fee)::DOUBLE, 4) AS total_cost
+    count(*) AS n, round(sum((brokerage + stt + exchange + sebi + stamp)::DOUBLE + gst_fee), 4) AS total_cost
     FROM fee_rows GROUP BY ALL""",
 )
 def cost_join(spark, sf):

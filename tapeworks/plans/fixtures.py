@@ -222,7 +222,7 @@ def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    price = (F.col("o_totalprice") / 100).cast("decimal(18,2)")
+    price = (F.floor("o_totalprice").cast("decimal(18,0)") / 100).cast("decimal(18,2)")
     now = F.timestamp_micros(
         F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (225 + (k % 9) * 47) * 60_000_000
     )

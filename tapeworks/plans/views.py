@@ -277,7 +277,7 @@ SELECT o_orderkey AS arrival, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 1
   CASE WHEN o_orderkey % 47 = 0 THEN 'option' ELSE 'equity' END AS instrument_type,
   CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side,
   CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS quantity,
-  CAST(o_totalprice / 100 AS DECIMAL(18,2)) AS quote_price,
+  CAST(CAST(floor(o_totalprice) AS BIGINT) / 100 AS DECIMAL(18,2)) AS quote_price,
   CASE WHEN o_orderkey % 41 = 0 THEN 'OTHER' ELSE 'BRAND-' || (o_orderkey % 25 + 1) END AS quote_symbol,
   CASE WHEN o_orderkey % 43 = 0 THEN 'etf' WHEN o_orderkey % 47 = 0 THEN 'option' ELSE 'equity' END
     AS quote_type,
@@ -285,9 +285,9 @@ SELECT o_orderkey AS arrival, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 1
   o_orderdate + (225 + (o_orderkey % 9) * 47) * INTERVAL 1 MINUTE
     - (o_orderkey % 50 - 5) * INTERVAL 1 SECOND AS quote_ts,
   CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 31 = 0
-       THEN CAST(o_totalprice / 100 AS DECIMAL(18,2))
-       WHEN o_orderstatus = 'F' THEN CAST(o_totalprice / 100 AS DECIMAL(18,2)) + 5
-       ELSE CAST(o_totalprice / 100 AS DECIMAL(18,2)) - 5 END AS stop_loss
+       THEN CAST(CAST(floor(o_totalprice) AS BIGINT) / 100 AS DECIMAL(18,2))
+       WHEN o_orderstatus = 'F' THEN CAST(CAST(floor(o_totalprice) AS BIGINT) / 100 AS DECIMAL(18,2)) + 5
+       ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) / 100 AS DECIMAL(18,2)) - 5 END AS stop_loss
 FROM orders""",
 )
 view(

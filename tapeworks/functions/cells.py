@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def local_date(ts: Column) -> Column:
 
 def local_seconds(ts: Column) -> Column:
     """Seconds since local midnight, with the fraction."""
-    at = local_time(ts)
-    return F.hour(at) * 3600 + F.minute(at) * 60 + F.date_format(at, "ss.SSSSSS").cast("double")
+    day = F.lit(86_400_000_000)
+    return F.pmod(F.unix_micros(local_time(ts)), day) / F.lit(1e6)
 
 
 def plain_decimal(value: Column) -> Column:
@@ -76,3 +77,13 @@ def instrument_key() -> Column:
         F.col("option_type"),
     ]
     return F.to_json(F.array(*[F.coalesce(p, F.lit("")) for p in parts]))
+
+
+def failed(checks: Mapping[str, Column]) -> Column:
+    """Names of the conditions that hold, in order; a null condition does not hold.
+
+    ``array_remove`` keeps the conditions inside generated code, which a higher-order filter
+    over the array would not.
+    """
+    names = [F.when(bad, F.lit(name)).otherwise(F.lit("")) for name, bad in checks.items()]
+    return F.array_remove(F.array(*names), "")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.cells import local_date
@@ -93,7 +93,7 @@ def _chain(maps: DataFrame, keys: Sequence[str], position: str, levels: int) ->
     return lists.select(*keys, F.inline(states)).withColumnRenamed("at", position)
 
 
-def ledger(fills: DataFrame, grid: Grid, *, block_rows: int = 256, levels: int = 1) -> DataFrame:
+def ledger(fills: DataFrame, grid: Grid, *, block_rows: int = 64, levels: int = 1) -> DataFrame:
     """Per accepted fill: quantities, average price, remaining entry fees, realised P&L.
 
     Entry fees are allocated pro rata on sells; pass a zero ``cost`` for the plain ledger. A
@@ -292,8 +292,6 @@ def day_baseline(states: DataFrame, key: str = "account", value: str = "equity")
 
     The first day starts from its own first value. Only one row per (key, day) is windowed.
     """
-    from pyspark.sql import Window
-
     df = states.withColumn("trading_day", local_date(F.col("ts")))
     days = df.groupBy(key, "trading_day").agg(
         F.max_by(value, "ts").alias("_close"), F.min_by(value, "ts").alias("_open")

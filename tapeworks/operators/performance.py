@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.functions.cells import failed
 from tapeworks.functions.series import Grid, block_window, owned, running, split_series
 
 KEY = "run_id"
@@ -23,12 +24,12 @@ def equity_guards(equity: DataFrame, grid: Grid) -> DataFrame:
         F.count_if((before == 0) & (value > 0)).alias("recoveries"),
         F.count_if(before == 0).alias("zero_starts"),
     )
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("first") <= 0, "nonpositive_start"),
-            F.when((F.col("lowest") < 0) | (F.col("missing") > 0), "negative_or_missing_equity"),
-            F.when(F.col("recoveries") > 0, "recovers_from_zero"),
-        )
+    reasons = failed(
+        {
+            "nonpositive_start": F.col("first") <= 0,
+            "negative_or_missing_equity": (F.col("lowest") < 0) | (F.col("missing") > 0),
+            "recovers_from_zero": F.col("recoveries") > 0,
+        }
     )
     return facts.withColumn("reasons", reasons).withColumn(
         "returns_defined", F.col("zero_starts") == 0

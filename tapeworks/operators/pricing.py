@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.functions.cells import failed
 from tapeworks.functions.indicators import frame, lagged
 from tapeworks.functions.series import Grid, owned, running
 from tapeworks.operators.sessions import next_after
@@ -162,11 +163,8 @@ def limit_reasons(tick: Column) -> Column:
     """Limit orders must sit on a tick and be marketable at the rounded fill price."""
     limit, price, side = F.col("limit_price"), F.col("fill_price"), F.col("side")
     away = ((side == "buy") & (price > limit)) | ((side == "sell") & (price < limit))
-    return F.array_compact(
-        F.array(
-            F.when(limit % tick != 0, F.lit("invalid_limit_tick")),
-            F.when(away, F.lit("limit_not_marketable_at_open")),
-        )
+    return failed(
+        {"invalid_limit_tick": limit % tick != 0, "limit_not_marketable_at_open": away}
     )
 
 
@@ -192,9 +190,7 @@ def eligibility_reasons() -> Column:
         "cost_product_mismatch": wrong_product,
         "invalid_lot_quantity": has & (c("quantity") % ref("lot_size") != 0),
     }
-    return F.array_compact(
-        F.array(*[F.when(F.coalesce(b, F.lit(False)), F.lit(n)) for n, b in checks.items()])
-    )
+    return failed(checks)
 
 
 # --- liquidity ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.cells import local_date, local_seconds, local_time
+from tapeworks.functions.cells import failed, local_date, local_seconds, local_time
 from tapeworks.functions.series import salted_lookup
 
 
@@ -123,12 +123,6 @@ def allowlist(policy: Policy) -> dict[str, Column]:
     }
 
 
-def reasons_of(checks: dict[str, Column]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(F.coalesce(b, F.lit(False)), F.lit(n)) for n, b in checks.items()])
-    )
-
-
 def screen(
     rows: DataFrame, policy: Policy, price: str = "quote_price", quantity: str = "quantity"
 ) -> Column:
@@ -145,7 +139,7 @@ def screen(
         **quote_checks(policy),
         **limit_checks(policy, F.col(price), F.col(quantity)),
     }
-    return reasons_of(checks)
+    return failed(checks)
 
 
 def risk_screen(rows: DataFrame, policy: Policy) -> DataFrame:

@@ -12,16 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks import schemas as S
-from tapeworks.functions.cells import instrument_key, local_date, utc_instant
-from tapeworks.functions.series import Grid, running, salted_lookup, split_series, block_window, owned
+from tapeworks.functions.cells import failed, instrument_key, local_date, utc_instant
+from tapeworks.functions.series import (
+    Grid,
+    block_window,
+    owned,
+    running,
+    salted_lookup,
+    split_series,
+)
 
 PRICES = ["open", "high", "low", "close"]
 
 
 def flag(df: DataFrame, rules: Mapping[str, Column], column: str = "reasons") -> DataFrame:
-    reasons = F.array_compact(
-        F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(n)) for n, bad in rules.items()])
-    )
+    reasons = failed(rules)
     kept = [c for c in df.columns if c != column]
     if column in df.columns:
         reasons = F.array_union(F.col(column), reasons)

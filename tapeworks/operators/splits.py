@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.functions.cells import failed
 from tapeworks.functions.series import Grid, running
 
 
@@ -64,12 +65,13 @@ def assign_parts(rows: DataFrame, grid: Grid, folds: Folds) -> DataFrame:
     """
     times = time_index(rows, grid)
     bounds = fold_bounds(times, folds)
-    last = bounds.agg(F.max("fold").alias("_last"))  # one row
-    t, step, top = F.col("t"), F.lit(folds.stride), F.col("_last")
+    # One number decides how far expanding train parts reach; minus one when no fold is complete.
+    last = bounds.agg(F.coalesce(F.max("fold"), F.lit(-1)).alias("last")).first()["last"]
+    t, step, top = F.col("t"), F.lit(folds.stride), F.lit(last)
 
     def span(low: Column, high: Column, part: str) -> Column:
         low, high = F.greatest(low, F.lit(0)), F.least(high, top)
-        numbers = F.when(low <= high, F.sequence(low, high)).otherwise(
+        numbers = F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(
             F.array().cast("array<bigint>")
         )
         return F.transform(
@@ -87,7 +89,7 @@ def assign_parts(rows: DataFrame, grid: Grid, folds: Folds) -> DataFrame:
         between(folds.train, folds.validation, "validation"),
         between(folds.train + folds.validation, folds.test, "test"),
     )
-    indexed = rows.join(times.join(F.broadcast(last)), "ts")
+    indexed = rows.join(times, "ts")
     placed = indexed.withColumn("_p", F.explode(parts)).select(
         *rows.columns, F.col("_p.fold").alias("fold"), F.col("_p.part").alias("part")
     )
@@ -152,7 +154,4 @@ def split_guards(placed: DataFrame) -> DataFrame:
         | (c("validation_label_end") >= c("test_start")),
         "one_class": (c("train_positives") == 0) | (c("train_positives") == c("train_rows")),
     }
-    reasons = F.array_compact(
-        F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(n)) for n, bad in checks.items()])
-    )
-    return wide.withColumn("reasons", reasons)
+    return wide.withColumn("reasons", failed(checks))

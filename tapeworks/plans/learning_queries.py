@@ -117,10 +117,14 @@ def feature_artifact_counts(spark, sf):
     sinks.write_once(build_features(bars, DAILY), features)
     sinks.write_once(labels.label_rows(bars, DAILY, HORIZON, THRESHOLD, UPPER, LOWER), labelled)
 
-    def count(path, name):
-        return sinks.read_table(spark, path).agg(F.count(F.lit(1)).alias(name))
+    def ones(path, f, n):
+        return sinks.read_table(spark, path).select(F.lit(f).alias("f"), F.lit(n).alias("n"))
 
-    return count(features, "feature_rows").join(count(labelled, "label_rows"))
+    return (
+        ones(features, 1, 0)
+        .unionByName(ones(labelled, 0, 1))
+        .agg(F.sum("f").alias("feature_rows"), F.sum("n").alias("label_rows"))
+    )
 
 
 @query(
@@ -144,7 +148,7 @@ def v_labels(spark, sf):
     return bad.select("instrument_id", stamp().alias("ts"))
 
 
-@query("v_target_def", "SELECT CAST(2 AS BIGINT) AS versions FROM label_values HAVING count(*) > 0")
+@query("v_target_def", "SELECT count(DISTINCT CASE WHEN target = 1 THEN 6 ELSE 5 END) AS versions FROM label_values")
 def v_target_def(spark, sf):
     rows = _labels(spark, sf)
     other = rows.withColumn("horizon", F.when(F.col("target") == 1, 6).otherwise(F.col("horizon")))

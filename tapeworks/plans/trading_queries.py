@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeworks.functions.cells import failed
 from tapeworks.functions.series import DAILY, Grid
 from tapeworks.operators import pricing, risk, rules, sessions, signals
 from tapeworks.plans import fixtures as fx
@@ -571,7 +572,7 @@ def _risk_part(name: str, checks_sql: list[tuple[str, str]], checks) -> None:
         f"SELECT arrival, array_to_string({_reasons_sql(checks_sql)}, ',') AS reasons FROM screen_rows",
     )
     def run(spark, sf):
-        found = risk.reasons_of(checks())
+        found = failed(checks())
         return _rows(spark, sf).select("arrival", F.array_join(found, ",").alias("reasons"))
 
 

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Wider than any engine's white space; a text in doubt is only encoded uncut.
-_WIDE = r"\s\x85᠎​⁠﻿"
+_WIDE = "".join([r"\s", *map(chr, (0x85, 0x180E, 0x200B, 0x2060, 0xFEFF))])
 _UNSAFE = re.compile(rf" [{_WIDE}]|[{_WIDE}] ")
 
 

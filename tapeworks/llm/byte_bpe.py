@@ -3,8 +3,8 @@
 Bytes are mapped to Latin-1 characters, so an Aho-Corasick automaton over the vocabulary finds all
 tokens in a word. Encoding goes from longest match to longest match and steps back where two
 neighbours could not stand side by side in a merged sequence; a position that failed is never tried
-again, so the work is linear in the word. Whether two tokens may be neighbours is found once by
-merging their joined bytes, and kept in a memo.
+again, so the work is linear in the word. Whether two tokens may be neighbours is found once, by
+undoing their merges, and kept in a memo.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.chunks import ChunkEncoder, Memo
 
-MEMO = 250_000
+MEMO = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,13 +31,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain merging, lowest rank first and leftmost among equals: the definition."""
+def merged(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[int]:
+    """Plain merging, lowest rank first and leftmost among equals: the definition. With ``below``,
+    only merges of a lower rank."""
     cuts = [piece[i : i + 1] for i in range(len(piece))]
     while len(cuts) > 1:
         found = [ranks.get(cuts[i] + cuts[i + 1]) for i in range(len(cuts) - 1)]
         best = min((r for r in found if r is not None), default=None)
-        if best is None:
+        if best is None or (below is not None and best >= below):
             break
         i = found.index(best)
         cuts[i : i + 2] = [cuts[i] + cuts[i + 1]]
@@ -52,17 +53,41 @@ class ByteBpe:
         self.words = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.fits = Memo(self._fits, MEMO)
+        self.halves = Memo(self._halves, len(ranks) + 1)
         self.whole = Memo(lambda token: merged(token, ranks) == [ranks[token]], MEMO)
         self.pieces = Memo(self._piece, MEMO)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token), token))
         self.automaton.make_automaton()
-        self.encode = ChunkEncoder(self._text)
+        self.encode = ChunkEncoder(self._text, MEMO)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
-        """Merging the bytes of both gives the two tokens again."""
-        return merged(self.words[pair[0]] + self.words[pair[1]], self.ranks) == list(pair)
+        """No merge across the border would have come before those that made the two tokens.
+
+        Both are taken apart, the later merge first; at each step the two tokens at the border must
+        not have a merge that ranks before the one just undone.
+        """
+        left, right = pair
+        words, ranks, halves = self.words, self.ranks, self.halves
+        limit = len(ranks) + 256
+        while True:
+            joined = ranks.get(words[left] + words[right])
+            if joined is not None and joined < limit:
+                return False
+            split_left, split_right = halves[left], halves[right]
+            if split_left is None and split_right is None:
+                return True
+            # Equal ranks merge from the left, so of two equal tokens the right one is undone first.
+            if split_right is None or (split_left is not None and left > right):
+                limit, left = left, split_left[1]
+            else:
+                limit, right = right + 1, split_right[0]
+
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; none for a byte."""
+        word = self.words[token]
+        return None if len(word) < 2 else tuple(merged(word, self.ranks, token))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)

@@ -138,3 +138,26 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(of([k])).cast("long").alias(f"n_{scan.KINDS[k]}") for k in range(3)]
     base = F.sha2(scan.written(of([0, 1, 2])), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), scan.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.topk_search import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
+SQL["op2_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""

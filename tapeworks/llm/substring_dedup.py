@@ -122,8 +122,13 @@ def _open(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
-_ROUTE = "doc_id long, key_ long, pos int, ref_id long, ref_key long, ref_pos int"
-_ROUTE_NAMES = ["doc_id", "key_", "pos", "ref_id", "ref_key", "ref_pos"]
+_ROUTE = "doc_id long, key_ long, pos int, ref_id long, ref_key long, ref_pos int, spread boolean"
+_ROUTE_NAMES = ["doc_id", "key_", "pos", "ref_id", "ref_key", "ref_pos", "spread"]
+#: An anchor with more places than this in one batch is settled against the first of them.
+_MANY = 4
+
+
+_SENT = ("bucket", "settled", "n", "h", "ids", "keys", "pos", "doc", "hot")
 
 
 def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFrame:
@@ -131,6 +136,8 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
 
     Equal anchors inside one batch are settled there if they are many, so a passage that a large part of
     all documents share sends a few entries a batch; anchors travel packed, a row for a batch and bucket.
+    ``spread`` marks a first place that some batch did not hold its anchors against; what stands there is
+    asked once more with the windows left over.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +154,8 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
             pos = (found - begin[piece] + np.asarray(batch.column("start"))[piece]).astype(np.int32)
             ids, keys = np.asarray(batch.column("doc_id")), np.asarray(batch.column("key_"))
             _, first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
-            many = (counts[inverse] > 4) & (first[inverse] != np.arange(len(values)))
+            hot = counts[inverse] > _MANY
+            many = hot & (first[inverse] != np.arange(len(values)))
             if many.any():
                 at, ref = np.flatnonzero(many), first[inverse[many]]
                 yield pa.RecordBatch.from_pydict(
@@ -156,7 +164,7 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
                         "settled": [True], "n": pa.array([len(at)], pa.int32()),
                         "h": [b""], "ids": [_packed(np.stack([ids[piece[at]], ids[piece[ref]]]))],
                         "keys": [_packed(np.stack([keys[piece[at]], keys[piece[ref]]]))],
-                        "pos": [_packed(np.stack([pos[at], pos[ref]]))], "doc": [b""],
+                        "pos": [_packed(np.stack([pos[at], pos[ref]]))], "doc": [b""], "hot": [b""],
                     }
                 )
             rest = np.flatnonzero(~many)
@@ -164,15 +172,15 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
             bucket = (values[rest] >> np.uint64(1)) % np.uint64(n_buckets)
             rest = rest[np.argsort(bucket, kind="stable")]
             cuts = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
-            out: dict[str, list] = {k: [] for k in ("bucket", "settled", "n", "h", "ids", "keys", "pos", "doc")}
+            out: dict[str, list] = {k: [] for k in _SENT}
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = rest[cuts[b] : cuts[b + 1]]
                 held, doc = np.unique(piece[mine], return_inverse=True)
                 row = (int(b), False, len(mine), _packed(values[mine]), _packed(ids[held]), _packed(keys[held]),
-                       _packed(pos[mine]), _packed(doc.astype(np.int32)))
+                       _packed(pos[mine]), _packed(doc.astype(np.int32)), _packed(hot[mine]))
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
-            kinds = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 5]
+            kinds = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     def settle(table: pa.Table) -> pa.Table:
@@ -182,45 +190,52 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
             pos = _open(row["pos"], "<i4")
             if row["settled"]:
                 n = row["n"]
-                done.append((ids[:n], keys[:n], pos[:n], ids[n:], keys[n:], pos[n:]))
+                done.append((ids[:n], keys[:n], pos[:n], ids[n:], keys[n:], pos[n:], np.zeros(n, bool)))
             else:
                 doc = _open(row["doc"], "<i4")
-                held.append((_open(row["h"], "<u8"), ids[doc], keys[doc], pos))
+                held.append((_open(row["h"], "<u8"), ids[doc], keys[doc], pos, _open(row["hot"], "?")))
         if held:
-            h, ids, keys, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, ids, keys, pos, hot = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((pos, ids, h))
-            h, ids, keys, pos = h[order], ids[order], keys[order], pos[order]
+            h, ids, keys, pos, hot = h[order], ids[order], keys[order], pos[order], hot[order]
             new = np.concatenate([[True], h[1:] != h[:-1]])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)[group]
+            spread = np.bincount(group, hot)[group] > 0
             later = (ids != ids[first]) | (pos != pos[first])
             at, ref = np.flatnonzero(later), first[later]
-            done.append((ids[at], keys[at], pos[at], ids[ref], keys[ref], pos[ref]))
+            done.append((ids[at], keys[at], pos[at], ids[ref], keys[ref], pos[ref], spread[at]))
         columns = [np.concatenate(x) for x in zip(*done, strict=True)]
         return pa.table(dict(zip(_ROUTE_NAMES, columns, strict=True)))
 
-    schema = "bucket int, settled boolean, n int, h binary, ids binary, keys binary, pos binary, doc binary"
+    schema = "bucket int, settled boolean, n int, " + ", ".join(f"{k} binary" for k in _SENT[3:])
     return pieces.mapInArrow(send, schema).groupBy("bucket").applyInArrow(settle, _ROUTE)
 
 
 def spans(pieces: DataFrame, found: DataFrame, window: int, gram: int, n_shards: int) -> DataFrame:
-    """Reference and asking text: shard, copy, asks, doc_id, key_, start, text."""
+    """Reference and asking text: shard, copy, kind (0 and 1: reference, 1 also goes on; 2: asks), doc_id,
+    key_, start, text."""
     shard = F.pmod(F.xxhash64("ref_id", F.expr(f"ref_pos div {_CHUNK}")), F.lit(n_shards)).cast("int")
     found = found.withColumn("shard", shard)
     copies = found.groupBy("shard").agg((F.count("*") / ASKED + 1).cast("int").alias("copies"))
     found = found.join(copies, "shard")
     mine = F.pmod(F.xxhash64("doc_id", "key_"), F.col("copies")).cast("int")
-    asks = found.select("doc_id", "key_", F.struct(F.lit(True).alias("asks"), "shard", mine.alias("copy"), "pos").alias("need"))
+    asks = found.select("doc_id", "key_", F.struct(F.lit(2).alias("kind"), "shard", mine.alias("copy"), "pos").alias("need"))
     gives = (
-        found.select("ref_id", "ref_key", "ref_pos", "shard", "copies").distinct()
+        found.groupBy("ref_id", "ref_key", "ref_pos", "shard", "copies")
+        .agg(F.max(F.col("spread").cast("int")).alias("spread"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
         .select(
             F.col("ref_id").alias("doc_id"), F.col("ref_key").alias("key_"),
-            F.struct(F.lit(False).alias("asks"), "shard", "copy", F.col("ref_pos").alias("pos")).alias("need"),
+            F.struct(
+                F.when(F.col("copy") == 0, F.col("spread")).otherwise(0).alias("kind"), "shard", "copy",
+                F.col("ref_pos").alias("pos"),
+            ).alias("need"),
         )
     )
     needs = asks.unionByName(gives).groupBy("doc_id", "key_").agg(F.collect_set("need").alias("needs"))
     width = window - gram + 1
-    schema = "shard int, copy int, asks boolean, doc_id long, key_ long, start int, text binary"
+    schema = "shard int, copy int, kind int, doc_id long, key_ long, start int, text binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,8 +245,7 @@ def spans(pieces: DataFrame, found: DataFrame, window: int, gram: int, n_shards:
             for i, needed in enumerate(batch.column("needs")):
                 words, begin = texts[i].split(), starts[i]
                 x = needed.values
-                fields = [np.asarray(x.field(k)) for k in ("shard", "copy", "asks", "pos")]
-                fields[2] = np.asarray(x.field("asks").cast(pa.int8()))
+                fields = [np.asarray(x.field(k)) for k in ("shard", "copy", "kind", "pos")]
                 inside = (fields[3] >= begin) & (fields[3] + gram <= begin + len(words))
                 fields = [f[inside] for f in fields]
                 order = np.lexsort((fields[3], fields[2], fields[1], fields[0]))
@@ -242,11 +256,11 @@ def spans(pieces: DataFrame, found: DataFrame, window: int, gram: int, n_shards:
                     if (s, c, a) == last and lo <= upto:
                         out[-1][6], upto = hi, hi
                     else:
-                        out.append([s, c, bool(a), ids[i], keys[i], lo, hi, words, begin])
+                        out.append([s, c, a, ids[i], keys[i], lo, hi, words, begin])
                         last, upto = (s, c, a), hi
             rows = [(*x[:5], x[5] + x[8], b" ".join(x[7][x[5] : x[6]])) for x in out if x[6] - x[5] >= window]
-            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            names = ["shard", "copy", "asks", "doc_id", "key_", "start", "text"]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            names = ["shard", "copy", "kind", "doc_id", "key_", "start", "text"]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -259,20 +273,24 @@ def matched(sent: DataFrame, window: int) -> DataFrame:
     schema = "hit boolean, doc_id long, key_ long, first int, last int, text binary"
 
     def hold(table: pa.Table) -> pa.Table:
+        asks = pa.compute.equal(table.column("kind"), 2).cast(pa.int8())
+        table = table.append_column("asks", asks)
         table = table.sort_by([("asks", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
         codes: dict[bytes, int] = {}
         shard = Automaton()
         begins: list[int] = []
         where: list[tuple[int, int]] = []
         out: list[tuple] = []
-        asks, ids, keys, starts = (table.column(c).to_pylist() for c in ("asks", "doc_id", "key_", "start"))
+        kinds_, ids, keys, starts = (table.column(c).to_pylist() for c in ("kind", "doc_id", "key_", "start"))
         for i, text in enumerate(table.column("text")):
             words = text.as_py().split()
-            if not asks[i]:
+            if kinds_[i] < 2:
                 shard.cut()
                 begins.append(shard.size)
                 where.append((ids[i], starts[i]))
                 shard.add([codes.setdefault(w, len(codes)) for w in words])
+                if kinds_[i]:
+                    out.append((False, ids[i], keys[i], starts[i], starts[i] + len(words) - window, text.as_py()))
                 continue
             found = np.zeros(len(words) - window + 1, bool)
             ends: list[int] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def text_key(text: str | Column = "text") -> Column:
 def parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch cut so that the text of each piece is about ``most`` bytes, or one row."""
     start, held = 0, 0
-    for i, size in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         if held and held + (size or 0) > most:
             yield batch.slice(start, i - start)
             start, held = i, 0

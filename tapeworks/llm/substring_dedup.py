@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
         for batch in (p for b in batches for p in parts(b, "text", _PART_BYTES)):
-            batch = batch.take(pa.compute.sort_indices(pa.table(batch), [("doc_id", "ascending"), ("start", "ascending")]))
+            batch = batch.take(pc.sort_indices(pa.table(batch), [("doc_id", "ascending"), ("start", "ascending")]))
             hashes = [hashes_of.of((x or b"").split()) for x in as_bytes(batch.column("text"))]
             ends = np.cumsum([len(x) for x in hashes])
             found, values = anchors(np.concatenate(hashes), ends, window, gram)
@@ -273,7 +274,7 @@ def matched(sent: DataFrame, window: int) -> DataFrame:
     schema = "hit boolean, doc_id long, key_ long, first int, last int, text binary"
 
     def hold(table: pa.Table) -> pa.Table:
-        asks = pa.compute.equal(table.column("kind"), 2).cast(pa.int8())
+        asks = pc.equal(table.column("kind"), 2).cast(pa.int8())
         table = table.append_column("asks", asks)
         table = table.sort_by([("asks", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
         codes: dict[bytes, int] = {}

@@ -22,6 +22,7 @@ SEGMENTS = (1, 4, 16)
 #: Candidates tried at a time, so that the k-th best found so far rules out the next ones.
 STEP = 1024
 _EXACT = 2.0**53
+_LONG = 2**63 - 1
 
 
 def _statistics(rows: np.ndarray, segments: int) -> np.ndarray:
@@ -53,7 +54,7 @@ class Searcher:
             return self.rows @ rows.T
         whole = np.array([[int(x) for x in r] for r in self.rows.tolist()], object)
         other = np.array([[int(x) for x in r] for r in rows.tolist()], object)
-        return whole @ other.T
+        return np.clip(whole @ other.T, -_LONG - 1, _LONG)
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Candidates in order of id: one that equals the k-th best comes too late."""
@@ -82,7 +83,9 @@ class Searcher:
             found.sort(key=lambda x: (-x[0], x[1]))
             self.best[query] = found[: self.k]
             if len(found) >= self.k:
-                self.floor[query] = found[self.k - 1][0]
+                # Rounded down where a double can't hold it: then equals come in and are sorted out.
+                floor = float(found[self.k - 1][0])
+                self.floor[query] = floor if int(floor) <= found[self.k - 1][0] else np.nextafter(floor, -np.inf)
 
 
 def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +96,6 @@ def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(part.column("id")), flat.reshape(part.num_rows, -1 if len(flat) else 0)
 
 
-_LONG = 2**63 - 1
-
-
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, *, scale: float = 256.0) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the highest inner product for each row of ``queries``.
 
@@ -104,7 +104,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, *, scale: float =
     Rows with the query's vec_id are no candidates. A vector that is null or holds a null or non-finite
     component, or has a null vec_id, takes no part; vectors meet only others of their length. Repeated
     candidates count as often as they stand there; a repeated query is asked once, and queries that
-    share a vec_id but not the vector each get their list. Scores beyond a long become its limit.
+    share a vec_id but not the vector each get their list. Scores beyond a long become its limit
+    before they are compared.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -143,7 +144,6 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, *, scale: float =
                 for score, vec in best:
                     for column, value in zip(out, (int(query), key, vec, score), strict=True):
                         column.append(value)
-        out[3] = [max(-_LONG - 1, min(_LONG, x)) for x in out[3]]
         names = ["query_id", "query_key", "vec_id", "score"]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, out, strict=True)})
 

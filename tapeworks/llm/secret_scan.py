@@ -84,12 +84,13 @@ def _pairs(samples: DataFrame) -> DataFrame:
     )
 
 
-def learn(docs: DataFrame, *, most_docs: int = LEARN_DOCS, weight: float = 1.0) -> list[float]:
+def learn(docs: DataFrame, *, most_docs: int = LEARN_DOCS, weight: float = 20.0) -> list[float]:
     """The log-likelihood ratios of all character pairs, as a table of len(ALPHABET) squared numbers.
 
     Samples: of about ``most_docs`` documents, taken by a hash of the id and text, the values of known
-    forms (random) and all other tokens of four characters or more (ordinary). ``weight`` is added to
-    each count, so a model without samples is uniform.
+    forms (random) and all other tokens of four characters or more (ordinary). Pairs seen too seldom lean
+    on the frequency of the second character, with a weight of ``weight`` pairs; that has 1 added to each
+    count, so a model without samples is uniform.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     n = max(1, docs.count())
@@ -110,13 +111,15 @@ def learn(docs: DataFrame, *, most_docs: int = LEARN_DOCS, weight: float = 1.0)
         (r["random"], r["a"], r["b"]): r["n"]
         for r in _pairs(samples).groupBy("random", "a", "b").agg(F.count("*").alias("n")).collect()
     }  # at most two squares of the alphabet
-    table = []
-    for a in ALPHABET:
-        totals = {k: sum(counts.get((k, a, b), 0) + weight for b in ALPHABET) for k in (True, False)}
-        for b in ALPHABET:
-            p, q = ((counts.get((k, a, b), 0) + weight) / totals[k] for k in (True, False))
-            table.append(math.log(p / q))
-    return table
+    models = {}
+    for kind in (True, False):
+        single = {b: 1 + sum(counts.get((kind, a, b), 0) for a in ALPHABET) for b in ALPHABET}
+        total = sum(single.values())
+        for a in ALPHABET:
+            after = sum(counts.get((kind, a, b), 0) for b in ALPHABET) + weight
+            for b in ALPHABET:
+                models[kind, a, b] = (counts.get((kind, a, b), 0) + weight * single[b] / total) / after
+    return [math.log(models[True, a, b] / models[False, a, b]) for a in ALPHABET for b in ALPHABET]
 
 
 def log_ratio(token: Column, table: Column) -> Column:

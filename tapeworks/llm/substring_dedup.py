@@ -129,6 +129,20 @@ _ROUTE_NAMES = ["doc_id", "key_", "pos", "ref_id", "ref_key", "ref_pos", "spread
 _MANY = 4
 
 
+_PIECES = "array<struct<first:int,text:binary>>"
+_RANGES = "array<struct<first:int,last:int>>"
+_PIECE = pa.list_(pa.struct([("first", pa.int32()), ("text", pa.binary())]))
+_RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+
+def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each piece: doc_id, key_, first, text."""
+    pieces = batch.column("pieces")
+    of, values = pc.list_parent_indices(pieces), pieces.flatten()
+    columns = [batch.column("doc_id").take(of), batch.column("key_").take(of), *values.flatten()]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "key_", "first", "text"])
+
+
 _SENT = ("bucket", "settled", "n", "h", "ids", "keys", "pos", "doc", "hot")
 
 
@@ -143,8 +157,8 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
-        for batch in (p for b in batches for p in parts(b, "text", _PART_BYTES)):
-            batch = batch.take(pc.sort_indices(pa.table(batch), [("doc_id", "ascending"), ("start", "ascending")]))
+        for batch in (p for b in batches for p in parts(_flat(b), "text", _PART_BYTES)):
+            batch = batch.take(pc.sort_indices(pa.table(batch), [("doc_id", "ascending"), ("first", "ascending")]))
             hashes = [hashes_of.of((x or b"").split()) for x in as_bytes(batch.column("text"))]
             ends = np.cumsum([len(x) for x in hashes])
             found, values = anchors(np.concatenate(hashes), ends, window, gram)
@@ -152,7 +166,7 @@ def routes(pieces: DataFrame, window: int, gram: int, n_buckets: int) -> DataFra
                 continue
             piece = np.searchsorted(ends, found, "right")
             begin = ends - [len(x) for x in hashes]
-            pos = (found - begin[piece] + np.asarray(batch.column("start"))[piece]).astype(np.int32)
+            pos = (found - begin[piece] + np.asarray(batch.column("first"))[piece]).astype(np.int32)
             ids, keys = np.asarray(batch.column("doc_id")), np.asarray(batch.column("key_"))
             _, first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
             hot = counts[inverse] > _MANY
@@ -241,11 +255,12 @@ def spans(pieces: DataFrame, found: DataFrame, window: int, gram: int, n_shards:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            texts, starts = as_bytes(batch.column("text")), batch.column("start").to_pylist()
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key_").to_pylist()
-            for i, needed in enumerate(batch.column("needs")):
-                words, begin = texts[i].split(), starts[i]
-                x = needed.values
+            needs_, of = batch.column("needs"), pc.list_parent_indices(batch.column("pieces")).to_pylist()
+            pieces_ = zip(of, batch.column("pieces").flatten().to_pylist(), strict=True)
+            for i, piece in pieces_:
+                words, begin = piece["text"].split(), piece["first"]
+                x = needs_[i].values
                 fields = [np.asarray(x.field(k)) for k in ("shard", "copy", "kind", "pos")]
                 inside = (fields[3] >= begin) & (fields[3] + gram <= begin + len(words))
                 fields = [f[inside] for f in fields]
@@ -265,75 +280,114 @@ def spans(pieces: DataFrame, found: DataFrame, window: int, gram: int, n_shards:
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return pieces.join(needs, ["doc_id", "key_"]).select("doc_id", "key_", "start", "text", "needs").mapInArrow(cut, schema)
+    return pieces.join(needs, ["doc_id", "key_"]).select("doc_id", "key_", "pieces", "needs").mapInArrow(cut, schema)
 
 
 def matched(sent: DataFrame, window: int) -> DataFrame:
-    """Runs of window starts in the asking spans: those found earlier in the shard (``hit``), and the
-    others with their text."""
-    schema = "hit boolean, doc_id long, key_ long, first int, last int, text binary"
+    """For each document and shard, runs of window starts found earlier (``hits``), and the text of the
+    other windows (``rest``)."""
+    schema = f"doc_id long, key_ long, hits {_RANGES}, rest {_PIECES}"
 
     def hold(table: pa.Table) -> pa.Table:
-        asks = pc.equal(table.column("kind"), 2).cast(pa.int8())
-        table = table.append_column("asks", asks)
+        table = table.append_column("asks", pc.equal(table.column("kind"), 2).cast(pa.int8()))
         table = table.sort_by([("asks", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
         codes: dict[bytes, int] = {}
         shard = Automaton()
         begins: list[int] = []
         where: list[tuple[int, int]] = []
-        out: list[tuple] = []
-        kinds_, ids, keys, starts = (table.column(c).to_pylist() for c in ("kind", "doc_id", "key_", "start"))
+        out: dict[tuple[int, int], tuple[list, list]] = {}
+        kinds, ids, keys, starts = (table.column(c).to_pylist() for c in ("kind", "doc_id", "key_", "start"))
         for i, text in enumerate(table.column("text")):
             words = text.as_py().split()
-            if kinds_[i] < 2:
+            hits, rest = out.setdefault((ids[i], keys[i]), ([], [])) if kinds[i] else ([], [])
+            if kinds[i] < 2:
                 shard.cut()
                 begins.append(shard.size)
                 where.append((ids[i], starts[i]))
                 shard.add([codes.setdefault(w, len(codes)) for w in words])
-                if kinds_[i]:
-                    out.append((False, ids[i], keys[i], starts[i], starts[i] + len(words) - window, text.as_py()))
+                rest.append({"first": starts[i], "text": text.as_py()})
                 continue
             found = np.zeros(len(words) - window + 1, bool)
-            ends: list[int] = []
-            at: list[int] = []
-            for start, end in shard.matches([codes.get(w) for w in words], window):
-                at.append(start)
-                ends.append(end)
-            if at:
+            pairs = list(shard.matches([codes.get(w) for w in words], window))
+            if pairs:
+                at, ends = np.array(pairs).T
                 begin = np.searchsorted(begins, ends, "right") - 1
-                for k, b, e in zip(at, begin.tolist(), ends, strict=True):
+                for k, b, e in zip(at.tolist(), begin.tolist(), ends.tolist(), strict=True):
                     ref_id, ref_start = where[b]
                     found[k] = (ref_id, ref_start + e - window + 1 - begins[b]) < (ids[i], starts[i] + k)
-            edges = np.flatnonzero(np.diff(found.astype(np.int8))) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(found)], strict=True):
-                hit = bool(found[lo])
-                text_ = None if hit else b" ".join(words[lo : hi + window - 1])
-                out.append((hit, ids[i], keys[i], starts[i] + lo, starts[i] + hi - 1, text_))
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["hit", "doc_id", "key_", "first", "last", "text"]
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
+            edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if found[lo]:
+                    hits.append({"first": starts[i] + lo, "last": starts[i] + hi - 1})
+                else:
+                    rest.append({"first": starts[i] + lo, "text": b" ".join(words[lo : hi + window - 1])})
+        own = list(out)
+        return pa.table(
+            {
+                "doc_id": pa.array([x[0] for x in own], pa.int64()),
+                "key_": pa.array([x[1] for x in own], pa.int64()),
+                "hits": pa.array([out[x][0] for x in own], _RANGE),
+                "rest": pa.array([out[x][1] for x in own], _PIECE),
+            }
+        )
 
     return sent.groupBy("shard", "copy").applyInArrow(hold, schema)
 
 
+def _left_over(hits: list[dict], rest: list[dict], window: int) -> list[dict]:
+    """The windows of ``rest`` that no shard has found, as few pieces of text."""
+    runs_: list[tuple[int, list[bytes]]] = []
+    for piece in sorted(rest, key=lambda x: x["first"]):
+        first, words = piece["first"], piece["text"].split()
+        if runs_ and first <= runs_[-1][0] + len(runs_[-1][1]) - window + 1:
+            begin, held = runs_[-1]
+            held += words[max(0, begin + len(held) - first) :]
+        else:
+            runs_.append((first, words))
+    out = []
+    for begin, words in runs_:
+        open_ = np.ones(len(words) - window + 3, bool)
+        open_[[0, -1]] = False
+        for x in hits:
+            lo, hi = max(0, x["first"] - begin), min(len(open_) - 2, x["last"] - begin + 1)
+            if lo < hi:
+                open_[lo + 1 : hi + 1] = False
+        edges = np.flatnonzero(np.diff(open_)).tolist()
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            out.append({"first": begin + lo, "text": b" ".join(words[lo : hi + window - 1])})
+    return out
+
+
 def _held(pieces: DataFrame, size: int, window: int, gram: int) -> DataFrame:
+    """hits of each document, and the pieces that are left over."""
     found = staged(routes(pieces, window, gram, 1 + size // BUCKET_BYTES), "routes")
     sent = spans(pieces, found, window, gram, 1 + size // SHARD_BYTES)
-    return staged(matched(sent, window), "matched")
+    each = matched(sent, window).groupBy("doc_id", "key_").agg(
+        F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("rest")).alias("rest")
+    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("hits").to_pylist(), batch.column("rest").to_pylist(), strict=True)
+            left = pa.array([_left_over(*x, window) for x in both], _PIECE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], left], ["doc_id", "key_", "hits", "pieces"])
+
+    return staged(each.mapInArrow(merge, f"doc_id long, key_ long, hits {_RANGES}, pieces {_PIECES}"), "held")
 
 
 def repeated(docs: DataFrame, *, window: int = WINDOW, gram: int = ANCHOR) -> DataFrame:
-    """doc_id, key_, first, last: runs of window starts whose words also start earlier."""
+    """doc_id, key_ and ranges: the runs of window starts whose words also start earlier."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    whole = docs.select("doc_id", "key_", F.lit(0).alias("start"), F.col("text").cast("binary").alias("text"))
-    one = _held(whole.filter("text IS NOT NULL"), size, window, gram)
-    rest = one.filter("NOT hit").select("doc_id", "key_", F.col("first").alias("start"), "text").distinct()
-    left = rest.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hits = one.filter("hit")
+    piece = F.struct(F.lit(0).alias("first"), F.col("text").cast("binary").alias("text"))
+    whole = docs.filter("text IS NOT NULL").select("doc_id", "key_", F.array(piece).alias("pieces"))
+    hits = one = _held(whole, size, window, gram)
+    lengths = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["text"]))
+    left = one.agg(F.sum(lengths)).first()[0] or 0
     if left:
-        hits = hits.unionByName(_held(staged(rest, "rest"), left, window, window).filter("hit"))
-    return hits.select("doc_id", "key_", "first", "last")
+        rest = one.filter(F.size("pieces") > 0).select("doc_id", "key_", "pieces")
+        hits = hits.unionByName(_held(rest, left, window, window))
+    hits = hits.filter(F.size("hits") > 0)
+    return hits.groupBy("doc_id", "key_").agg(F.flatten(F.collect_set("hits")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = ANCHOR, keep: bool = True) -> DataFrame:
@@ -350,8 +404,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = ANCHOR,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text",
         F.crc32(F.col("text").cast("binary")).alias("key_"),
     )
-    found = repeated(rows, window=window, gram=gram)
-    gone = found.groupBy("doc_id", "key_").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    gone = repeated(rows, window=window, gram=gram)
     joined = rows.join(gone, ["doc_id", "key_"], "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if keep:

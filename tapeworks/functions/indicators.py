@@ -9,21 +9,18 @@ from tapeworks.functions.series import (
     Grid,
     affine_scan,
     block_window,
+    last_of_earlier_blocks,
+    memory_rows,
     owned,
     positions,
-    runs_of,
     split_series,
 )
 
 KEYS = ("instrument_id",)
-# Recursive indicators keep this many earlier rows: after about ten thousand unchanged
-# prices even a sequential double recurrence has underflowed to zero.
-MEMORY_ROWS = 10240
-
 
 def positive_period(period: int, least: int = 1) -> int:
-    if isinstance(period, bool) or not isinstance(period, int) or period < least:
-        raise ValueError("period must be a positive integer")
+    if type(period) is not int or period < least:
+        raise ValueError(f"a period is a whole number of at least {least} bars, not {period!r}")
     return period
 
 
@@ -49,9 +46,17 @@ def lagged(column: str, rows: int = 1) -> Column:
     return F.lag(column, rows).over(over())
 
 
+def ema_decay(period: int) -> float:
+    return 1 - 2 / (period + 1)
+
+
+def wilder_decay(period: int) -> float:
+    return (period - 1) / period
+
+
 def ema_forcing(value: Column, period: int) -> tuple[Column, float]:
     alpha = 2 / (period + 1)
-    return F.when(F.col("_idx") == 0, value).otherwise(value * F.lit(alpha)), 1 - alpha
+    return F.when(F.col("_idx") == 0, value).otherwise(value * F.lit(alpha)), ema_decay(period)
 
 
 def wilder_forcing(
@@ -62,7 +67,7 @@ def wilder_forcing(
         .when(F.col("_idx") == seed_at, window_mean)
         .otherwise(value / F.lit(period))
     )
-    return u, (period - 1) / period
+    return u, wilder_decay(period)
 
 
 def true_range(previous_close: Column) -> Column:
@@ -99,16 +104,21 @@ def move_terms(period: int) -> dict[str, tuple[Column, float]]:
 
 
 def rsi_from_moves(df: DataFrame, name: str, period: int) -> DataFrame:
-    """An unchanged price scales both averages alike, so such rows repeat the last value."""
+    """An unchanged price scales both averages alike, so such rows repeat the last value, however far
+    back it is; 50 stands only where no price has moved yet."""
     g, l = F.col("_g"), F.col("_l")
     value = F.when(l == 0, F.when(g == 0, F.lit(50.0)).otherwise(F.lit(100.0))).otherwise(
         F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(g, l))
     )
-    moving = (F.col("_idx") == period) | ((F.col("_idx") > period) & (F.col("_chg") != 0))
-    fill = block_window(KEYS, "_sub", "ts").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_rsi_at", F.when(moving, value)).withColumn(
-        name, warm(period, F.coalesce(F.last("_rsi_at", ignorenulls=True).over(fill), F.lit(50.0)))
-    )
+    # A period of one bar remembers nothing that could be repeated.
+    moved = (F.col("_chg") != 0) | F.lit(period == 1)
+    moving = (F.col("_idx") == period) | ((F.col("_idx") > period) & moved)
+    # Copied rows lack the memory that makes values right; only a block's own rows may be repeated.
+    df = df.withColumn("_rsi_at", F.when(moving & F.col("_own"), value))
+    df = last_of_earlier_blocks(df, KEYS, "_rsi_at", "_rsi_before")
+    fill = block_window(KEYS, "ts").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last("_rsi_at", ignorenulls=True).over(fill)
+    return df.withColumn(name, warm(period, F.coalesce(here, F.col("_rsi_before"))))
 
 
 def returns(bars: DataFrame, grid: Grid, column: str = "close") -> DataFrame:
@@ -123,7 +133,7 @@ def sma(bars: DataFrame, grid: Grid, period: int, column: str = "close") -> Data
 
 def ema(bars: DataFrame, grid: Grid, period: int, column: str = "close") -> DataFrame:
     positive_period(period)
-    df = runs_of(frame(bars, grid, MEMORY_ROWS))
+    df = frame(bars, grid, memory_rows(ema_decay(period)))
     return owned(affine_scan(df, KEYS, "ts", {"ema": ema_forcing(F.col(column), period)}))
 
 
@@ -136,17 +146,19 @@ def rolling_volatility(bars: DataFrame, grid: Grid, period: int) -> DataFrame:
 
 
 def rsi(bars: DataFrame, grid: Grid, period: int = 14) -> DataFrame:
-    df = with_moves(frame(bars, grid, MEMORY_ROWS), positive_period(period))
-    df = affine_scan(runs_of(df), KEYS, "ts", move_terms(period))
+    positive_period(period)
+    df = with_moves(frame(bars, grid, memory_rows(wilder_decay(period)) + period + 1), period)
+    df = affine_scan(df, KEYS, "ts", move_terms(period))
     return owned(rsi_from_moves(df, "rsi", period))
 
 
 def atr(bars: DataFrame, grid: Grid, period: int = 14) -> DataFrame:
     positive_period(period)
-    df = frame(bars, grid, MEMORY_ROWS).withColumn("_tr", true_range(lagged("close")))
+    df = frame(bars, grid, memory_rows(wilder_decay(period)) + period + 1)
+    df = df.withColumn("_tr", true_range(lagged("close")))
     df = df.withColumn("_tr_mean", F.avg("_tr").over(over(period)))
     term = wilder_forcing(F.col("_tr"), F.col("_tr_mean"), period - 1, period)
-    df = affine_scan(runs_of(df), KEYS, "ts", {"_atr": term})
+    df = affine_scan(df, KEYS, "ts", {"_atr": term})
     return owned(df.withColumn("atr", warm(period - 1, F.col("_atr"))))
 
 

@@ -16,6 +16,7 @@ execution broadcasts them when their measured size allows and shuffles otherwise
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -199,51 +200,75 @@ def salted_lookup(
     return left.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+#: A weight of ``exp(-FADED)`` (1e-40) changes no double; ``exp(SPREAD)`` (1e100) overflows none.
+FADED, SPREAD = 92.0, 230.0
+
+
+def memory_rows(decay: float) -> int:
+    """Rows after which y[i] = d * y[i-1] + u[i] has forgotten where it started."""
+    return 1 if decay <= 0 else 1 + math.ceil(FADED / -math.log(decay))
+
+
+def _run_rows(decays: Sequence[float]) -> int | None:
+    """Rows of a run long enough to forget what was before the previous run, and short enough for
+    every power in it; none if the decays are too far apart for one length."""
+    least = max(memory_rows(d) for d in decays)
+    most = min(math.floor(SPREAD / -math.log(d)) for d in decays)
+    return most if least <= most else None
+
+
 def affine_scan(
     df: DataFrame, keys: Sequence[str], order: str, terms: dict[str, tuple[Column, float]]
 ) -> DataFrame:
-    """y[i] = d * y[i-1] + u[i] for several (u, d) in one pass over each block.
+    """y[i] = d * y[i-1] + u[i] for several (u, d), with 0 <= d < 1, in each block.
 
-    Needs ``_sub`` and ``_k`` (see ``runs_of``). Inside a run the sum is taken relative to the
-    run start; the end of the previous run is the carry. Weights older than a full run are
-    below 1e-30, far under double precision.
+    Needs ``_idx``. The sum is taken relative to the start of a run of rows, whose length follows from
+    d: powers stay in range, and what stood before the previous run weighs less than 1e-40. A block
+    must begin with ``memory_rows(d)`` copied rows for its own ones to be exact. Terms whose decays
+    suit the same length share their windows.
     """
+    df = df.withColumns({name: u for name, (u, d) in terms.items() if d <= 0})
+    moving = {name: x for name, x in terms.items() if x[1] > 0}
+    if not moving:
+        return df
+    rows = _run_rows([d for _, d in moving.values()])
+    if rows is None:
+        for name, x in moving.items():
+            df = affine_scan(df, keys, order, {name: x})
+        return df
+    run, k = F.floor(F.col("_idx") / F.lit(rows)), F.col("_idx") % F.lit(rows)
     local = (
-        Window.partitionBy(*keys, BLOCK, "_sub").orderBy(order)
+        Window.partitionBy(*keys, BLOCK, run).orderBy(order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    whole = block_window(keys, "_sub", order).rowsBetween(Window.unboundedPreceding, -1)
-    k = F.col("_k")
+    whole = block_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns(
         {
             f"_{name}_loc": F.pow(F.lit(d), k) * F.sum(u * F.pow(F.lit(d), -k)).over(local)
-            for name, (u, d) in terms.items()
+            for name, (u, d) in moving.items()
         }
     )
     df = df.withColumns(
         {
             f"_{name}_end": F.last(
-                F.when(k == RUN_ROWS - 1, F.col(f"_{name}_loc")), ignorenulls=True
+                F.when(k == rows - 1, F.col(f"_{name}_loc")), ignorenulls=True
             ).over(whole)
-            for name in terms
+            for name in moving
         }
     )
     return df.withColumns(
         {
             name: F.col(f"_{name}_loc")
             + F.coalesce(F.col(f"_{name}_end"), F.lit(0.0)) * F.pow(F.lit(d), k + 1)
-            for name, (_, d) in terms.items()
+            for name, (_, d) in moving.items()
         }
     )
 
 
-RUN_ROWS = 1024
-
-
-def runs_of(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "_sub": F.floor(F.col("_idx") / F.lit(RUN_ROWS)),
-            "_k": F.col("_idx") % F.lit(RUN_ROWS),
-        }
-    )
+def last_of_earlier_blocks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """``name``: the last non-null ``value`` of any block before the row's own, one row a block moving."""
+    known = F.when(F.col(value).isNotNull(), F.struct("_idx", F.col(value).alias("v")))
+    ends = df.filter(OWN).groupBy(*keys, BLOCK).agg(F.max(known).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, BLOCK, F.last("_end", ignorenulls=True).over(earlier)["v"].alias(name))
+    return df.join(ends, [*keys, BLOCK], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.indicators import (
     KEYS,
-    MEMORY_ROWS,
+    ema_decay,
     ema_forcing,
     frame,
     lagged,
@@ -18,10 +18,11 @@ from tapeworks.functions.indicators import (
     rsi_from_moves,
     true_range,
     warm,
+    wilder_decay,
     wilder_forcing,
     with_moves,
 )
-from tapeworks.functions.series import Grid, affine_scan, owned, runs_of
+from tapeworks.functions.series import Grid, affine_scan, memory_rows, owned
 
 FEATURE_VERSION = "research-v1"
 
@@ -107,7 +108,7 @@ def _trailing(df: DataFrame) -> DataFrame:
 
 def _recursive(df: DataFrame) -> DataFrame:
     """EMA, MACD, RSI and ATR by affine scans."""
-    df = runs_of(with_moves(df, 14))
+    df = with_moves(df, 14)
     close = F.col("close")
     df = affine_scan(
         df,
@@ -133,7 +134,10 @@ def _recursive(df: DataFrame) -> DataFrame:
 
 def feature_frame(bars: DataFrame, grid: Grid, *, after: int = 0) -> DataFrame:
     """Features with the block helpers still attached, for operators that add to the frame."""
-    return _recursive(_trailing(frame(bars, grid, MEMORY_ROWS, after)))
+    # The MACD signal remembers on top of what the averages under it remember.
+    slowest = max(ema_decay(26), wilder_decay(14))
+    before = memory_rows(slowest) + memory_rows(ema_decay(9)) + 50
+    return _recursive(_trailing(frame(bars, grid, before, after)))
 
 
 def build_features(bars: DataFrame, grid: Grid) -> DataFrame:

@@ -36,8 +36,9 @@ def ranking(rows: DataFrame) -> DataFrame:
     down, in quantile buckets so that no task sorts all of them.
     """
     scores = rows.groupBy("p").agg(
-        F.sum(F.col("y").cast("bigint")).alias("pos"),
-        F.sum((1 - F.col("y")).cast("bigint")).alias("neg"),
+        # Decimals: products of counts leave the range of a bigint.
+        F.sum(F.col("y").cast("bigint")).cast("decimal(19,0)").alias("pos"),
+        F.sum((1 - F.col("y")).cast("bigint")).cast("decimal(19,0)").alias("neg"),
     )
     cut = QuantileDiscretizer(
         numBuckets=1024, inputCol="p", outputCol="_q", relativeError=0.0005
@@ -51,16 +52,15 @@ def ranking(rows: DataFrame) -> DataFrame:
     sums = steps.agg(
         F.sum(pos).alias("p_all"),
         F.sum(neg).alias("n_all"),
-        F.sum((pos * (2 * fp - neg)).cast("decimal(38,0)")).alias("lost2"),
-        F.sum(pos * tp / (tp + fp)).alias("precision_sum"),
+        F.sum(pos.cast("double") * (2 * fp - neg).cast("double")).alias("lost2"),
+        F.sum(pos.cast("double") * tp.cast("double") / (tp + fp).cast("double")).alias("precision_sum"),
     )
     both = (F.col("p_all") > 0) & (F.col("n_all") > 0)
-    area = 1 - F.try_divide(
-        F.col("lost2").cast("double"), 2.0 * F.col("p_all") * F.col("n_all")
-    )
+    p_all, n_all = F.col("p_all").cast("double"), F.col("n_all").cast("double")
+    area = 1 - F.try_divide(F.col("lost2"), 2.0 * p_all * n_all)
     return sums.select(
         F.when(both, area).alias("roc_auc"),
-        F.when(both, F.try_divide(F.col("precision_sum"), F.col("p_all"))).alias("pr_auc"),
+        F.when(both, F.try_divide(F.col("precision_sum"), p_all)).alias("pr_auc"),
     )
 
 

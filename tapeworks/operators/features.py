@@ -60,14 +60,14 @@ def _trailing(df: DataFrame) -> DataFrame:
             "_vsd": warm(19, F.stddev_samp("volume").over(over(20))),
             "_vprev": warm(20, F.avg("volume").over(over(first=-20, last=-1))),
             "_hl": warm(
-                19, F.avg(F.pow(F.log(F.col("high") / F.col("low")), F.lit(2))).over(over(20))
+                19, F.avg(F.pow(F.log(F.try_divide(F.col("high"), F.col("low"))), F.lit(2))).over(over(20))
             ),
             "rolling_high_20": warm(19, F.max("high").over(over(20))),
             "rolling_low_20": warm(19, F.min("low").over(over(20))),
         }
     )
     df = df.withColumns(
-        {"_lr": F.log(close / F.col("_c1")), "_tr": true_range(F.col("_c1"))}
+        {"_lr": F.log(F.try_divide(close, F.col("_c1"))), "_tr": true_range(F.col("_c1"))}
     ).withColumns(
         {
             "realized_volatility_20": warm(20, F.stddev_samp("_lr").over(over(20))),
@@ -127,7 +127,7 @@ def _recursive(df: DataFrame) -> DataFrame:
         {
             "macd_histogram": F.col("macd") - F.col("macd_signal"),
             "atr_14": warm(13, F.col("_atr")),
-            "atr_pct": warm(13, F.col("_atr") / close),
+            "atr_pct": warm(13, F.try_divide(F.col("_atr"), close)),
         }
     )
 

@@ -72,7 +72,7 @@ def metrics(
     usable = c("_zeros") == 0  # one zero start leaves no defined return series
     base = base.withColumns(
         {
-            "total_return": c("_last") / c("_first") - 1,
+            "total_return": F.try_divide(c("_last"), c("_first")) - 1,
             "_n": F.when(usable, c("_n")).otherwise(0),
             "_mean": F.when(usable, c("_mean")),
             "_down": F.when(usable, F.sqrt("_down")),

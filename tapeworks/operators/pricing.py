@@ -164,7 +164,7 @@ def limit_reasons(tick: Column) -> Column:
     limit, price, side = F.col("limit_price"), F.col("fill_price"), F.col("side")
     away = ((side == "buy") & (price > limit)) | ((side == "sell") & (price < limit))
     return failed(
-        {"invalid_limit_tick": limit % tick != 0, "limit_not_marketable_at_open": away}
+        {"invalid_limit_tick": F.coalesce(F.try_mod(limit, tick) != 0, limit.isNotNull()), "limit_not_marketable_at_open": away}
     )
 
 
@@ -188,7 +188,7 @@ def eligibility_reasons() -> Column:
         "missing_contract": ~equity & ~has,
         "contract_mismatch": ~equity & has & ~same,
         "cost_product_mismatch": wrong_product,
-        "invalid_lot_quantity": has & (c("quantity") % ref("lot_size") != 0),
+        "invalid_lot_quantity": has & F.coalesce(F.try_mod(c("quantity"), ref("lot_size")) != 0, F.lit(True)),
     }
     return failed(checks)
 
@@ -198,16 +198,19 @@ def eligibility_reasons() -> Column:
 GROUP = ["instrument_id", "executed_at"]
 
 
-def partial_fills(orders: DataFrame, grid: Grid, fraction: float = 1.0) -> DataFrame:
+def partial_fills(orders: DataFrame, grid: Grid, fraction: str | float = "1") -> DataFrame:
     """Fill at most the wanted fraction and what is left of the prior volume, in whole lots.
 
-    Wanted sizes are multiples of the lot, so what earlier orders took is a prefix sum.
+    Wanted sizes are multiples of the lot, so what earlier orders took is a prefix sum. The fraction is
+    a decimal as written: 0.29 of 100 is 29. A lot of zero fills nothing.
     """
-    if not 0 < fraction <= 1:
-        raise ValueError("fill fraction must be in (0, 1]")
+    if not 0 < float(fraction) <= 1:
+        raise ValueError(f"no fraction of an order: {fraction!r}")
     lot = F.col("lot_size")
-    wanted = F.floor(F.floor(F.col("quantity") * F.lit(fraction)) / lot) * lot
-    room = F.floor(F.col("capacity") / lot) * lot
+    share = F.lit(str(fraction)).cast("decimal(18,12)")
+    wanted = F.floor(F.col("quantity").cast("decimal(19,0)") * share).cast("bigint")
+    wanted = F.coalesce(wanted - F.try_mod(wanted, lot), F.lit(0))
+    room = F.coalesce(F.col("capacity") - F.try_mod(F.col("capacity"), lot), F.lit(0))
     df = orders.withColumns({"_want": F.when(F.col("eligible"), wanted).otherwise(0), "_room": room})
     df = running(
         df, GROUP, ["arrival"], F.shiftright("arrival", 16), {"_taken": ("sum", F.col("_want"))},

@@ -16,24 +16,32 @@ def repeated_trades(trades: DataFrame) -> DataFrame:
 
 
 def compare_trades(simulated: DataFrame, paper: DataFrame) -> DataFrame:
-    """Matched differences (simulated minus paper) and ids found on one side only."""
+    """Matched differences (simulated minus paper), ids on one side only, and repeated ids.
+
+    An id that either side records more than once is ``repeated``: one row, no differences, so copies
+    never multiply.
+    """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(ID, F.struct("quantity", "price", "fees").alias(name))
+        one = F.first(F.struct("quantity", "price", "fees")).alias(name)
+        return df.groupBy(ID).agg(one, (F.count(F.lit(1)) > 1).alias(f"{name}_repeats"))
 
     both = side(simulated, "s").join(side(paper, "p"), ID, "full")
     c = F.col
+    again = F.coalesce(c("s_repeats"), F.lit(False)) | F.coalesce(c("p_repeats"), F.lit(False))
     status = (
-        F.when(c("p").isNull(), "only_simulated")
+        F.when(again, "repeated")
+        .when(c("p").isNull(), "only_simulated")
         .when(c("s").isNull(), "only_paper")
         .otherwise("matched")
     )
     return both.select(
         ID,
         status.alias("status"),
-        (c("s.quantity") - c("p.quantity")).alias("quantity_difference"),
-        (c("s.price") - c("p.price")).alias("price_difference"),
-        (c("s.fees") - c("p.fees")).alias("fee_difference"),
+        *[
+            F.when(~again, c(f"s.{field}") - c(f"p.{field}")).alias(f"{name}_difference")
+            for field, name in (("quantity", "quantity"), ("price", "price"), ("fees", "fee"))
+        ],
     )
 
 

@@ -87,6 +87,8 @@ def text_rules() -> dict[str, Column]:
             raw(name).isNotNull() & (F.col(name).isNull() | (F.col(name) <= 0))
         )
     for name in (*PRICES, "strike"):
+        # In the digits themselves: a cast would round what stands beyond its own scale.
+        scale = scale | raw(name).rlike(r"\.[0-9]{4}[0-9]*[1-9]")
         scale = scale | (raw(name).try_cast(exact) != F.col(name).cast(exact))
     whole = r"^[0-9]+$"
     return {
@@ -169,7 +171,7 @@ def contract_disagrees(contract: str = "contract") -> Column:
 def tick_misaligned(tick: Column) -> Column:
     bad = F.lit(False)
     for name in PRICES:
-        bad = bad | (F.col(name) % tick != 0)
+        bad = bad | (F.try_mod(F.col(name), tick) != 0)
     return tick.isNotNull() & bad
 
 

@@ -315,20 +315,19 @@ def latest_positions(spark, sf):
 
 @query(
     "daily_pnl",
-    """SELECT run_id, CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS trading_day,
-    arg_max(equity, ts) AS equity, arg_min(equity, ts) AS day_start_equity,
-    arg_max(equity, ts) - arg_min(equity, ts) AS daily_pnl
-    FROM equity GROUP BY ALL""",
+    """SELECT run_id, trading_day, equity, day_start_equity, equity - day_start_equity AS daily_pnl FROM (
+    SELECT *, coalesce(lag(equity) OVER (PARTITION BY run_id ORDER BY trading_day), opening) AS day_start_equity
+    FROM (SELECT run_id, CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS trading_day,
+      arg_max(equity, ts) AS equity, arg_min(equity, ts) AS opening FROM equity GROUP BY ALL))""",
 )
 def daily_pnl(spark, sf):
-    from tapeworks.functions.cells import local_date
+    from tapeworks.operators.ledger import day_baseline
 
-    rows = fx.equity(spark, sf).withColumn("trading_day", local_date(F.col("ts")).cast("string"))
-    return rows.groupBy("run_id", "trading_day").agg(
-        F.max_by("equity", "ts").alias("equity"),
-        F.min_by("equity", "ts").alias("day_start_equity"),
-        (F.max_by("equity", "ts") - F.min_by("equity", "ts")).alias("daily_pnl"),
+    rows = day_baseline(fx.equity(spark, sf), key="run_id")
+    days = rows.groupBy("run_id", F.col("trading_day").cast("string").alias("trading_day")).agg(
+        F.max_by("equity", "ts").alias("equity"), F.max("day_start_equity").alias("day_start_equity")
     )
+    return days.withColumn("daily_pnl", F.col("equity") - F.col("day_start_equity"))
 
 
 @query("event_append")

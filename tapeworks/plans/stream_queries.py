@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeworks.operators import risk
 from tapeworks.plans import fixtures as fx
 from tapeworks.plans.registry import query, rounded, sql_rounded, sql_stamp, stamp
 from tapeworks.plans.rule_queries import ARRIVALS, _arrivals
-from tapeworks.plans.trading_queries import POLICY
 from tapeworks.session import scratch_path
 from tapeworks.streaming import operators as ops
 from tapeworks.streaming import runs
@@ -85,28 +83,3 @@ def stream_indicators(spark, sf):
     bars = fx.research_daily(spark, sf).select("instrument_id", "ts", "close", "high", "low")
     live = runs.drain(ops.indicators(_stream(spark, bars, "bars")), "indicators")
     return live.select("instrument_id", stamp().alias("ts"), *rounded(_VALUES, 2))
-
-
-@query("stream_screening")
-def stream_screening(spark, sf):
-    """Ordered screening and filling per account, with event tables appended per batch."""
-    policy = risk.Policy(
-        initial_cash="100000",
-        allowed_symbols=POLICY.allowed_symbols,
-        quote_max_age_seconds=POLICY.quote_max_age_seconds,
-    )
-    screened = ops.screen_accounts(_stream(spark, fx.risk_orders(spark, sf), "orders"), policy)
-    path = scratch_path(spark, "paper")
-
-    def tables(batch):
-        return {
-            "decisions": batch.select("account", "client_order_id", "status", "reasons", "ts"),
-            "fills": batch.filter("status = 'filled'").select("account", "client_order_id", "ts"),
-            "snapshots": batch.select("account", "ts", "cash", "equity", "exposure", "realized_pnl"),
-        }
-
-    runs.append_batches(screened, path, tables)
-    decisions = spark.read.parquet(f"{path}/decisions")
-    return decisions.groupBy("status", F.array_join("reasons", ",").alias("reasons")).agg(
-        F.count(F.lit(1)).alias("n")
-    )

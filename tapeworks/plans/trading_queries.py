@@ -121,9 +121,8 @@ def sig_crossover(spark, sf):
 @query(
     "sig_explain",
     f"""SELECT instrument_id, {sql_stamp()} AS ts,
-    CASE WHEN idx < 20 THEN 'Warm-up: insufficient closed bars'
-      ELSE 'Demo SMA(5,20) crossover: ' || side || '; no profit claim' END
-    || '; context source=feed; equity INR ' || CAST(close AS VARCHAR) AS explanation FROM cross_values""",
+    CASE WHEN idx < 20 THEN 'fewer than 21 closes so far' ELSE side || ': mean of 5 closes against mean of 20' END
+    || '; research by feed, account worth ' || CAST(close AS VARCHAR) AS explanation FROM cross_values""",
 )
 def sig_explain(spark, sf):
     rows = signals.crossover(fx.bars_daily(spark, sf), DAILY)
@@ -133,15 +132,16 @@ def sig_explain(spark, sf):
 
 @query(
     "sig_orders",
-    f"""SELECT instrument_id, {sql_stamp()} AS ts, side, 7::BIGINT AS quantity, 'equity_delivery' AS product,
+    f"""SELECT 'research-' || substr(sha256(instrument_id), 1, 16) || '-' || CAST(epoch(ts) AS BIGINT) AS client_order_id,
+    instrument_id AS symbol, instrument_id, {sql_stamp()} AS ts, side, 7::BIGINT AS quantity, 'equity_delivery' AS product,
     CAST(close * CASE side WHEN 'buy' THEN 0.95 ELSE 1.05 END AS DECIMAL(18,4)) AS stop_loss
     FROM cross_values WHERE side <> 'hold'""",
 )
 def sig_orders(spark, sf):
-    bars = fx.bars_daily(spark, sf).withColumn("asset_class", F.lit("equity"))
+    bars = fx.bars_daily(spark, sf).withColumns({"asset_class": F.lit("equity"), "symbol": F.col("instrument_id")})
     orders = signals.orders_from(signals.crossover(bars, DAILY), 7)
     return orders.select(
-        "instrument_id", stamp().alias("ts"), "side", "quantity", "product", "stop_loss"
+        "client_order_id", "symbol", "instrument_id", stamp().alias("ts"), "side", "quantity", "product", "stop_loss"
     )
 
 
@@ -183,23 +183,34 @@ def sig_probability(spark, sf):
 
 # --- costs and prices --------------------------------------------------------------------
 
-# An illustrative schedule. (buy rate, sell rate, cap)
+# Rates made up for these tables: buy rate, sell rate, cap.
 _SCHEDULE = {
     "equity_delivery": dict(
-        brokerage=("0.0001", "0.0001", "7"), stt=("0", "0.0003", None),
-        exchange=("0.00002", "0.00002", None), sebi=("0.000001", "0.000001", None),
-        stamp=("0.00001", "0", None), gst_rate="0.1",
+        brokerage=("0.0004", "0.0003", "11"), stt=("0", "0.0007", None),
+        exchange=("0.00005", "0.00005", None), sebi=("0.000003", "0.000003", None),
+        stamp=("0.00004", "0", None), gst_rate="0.07",
     ),
     "equity_intraday": dict(
-        brokerage=("0.0002", "0.0002", "7"), stt=("0", "0.0006", None),
-        exchange=("0.00002", "0.00002", None), stamp=("0.00002", "0", None), gst_rate="0.1",
+        brokerage=("0.0005", "0.0006", "13"), stt=("0", "0.0002", None),
+        exchange=("0.00003", "0.00004", None), stamp=("0.00006", "0", None), gst_rate="0.07",
         gst=("brokerage", "brokerage", "exchange"),
     ),
-    "future": dict(brokerage=("0.0003", "0.0003", "9"), sebi=("0.000001", "0.000001", None)),
+    "future": dict(brokerage=("0.0007", "0.0008", "17"), sebi=("0.000004", "0.000005", None)),
     "option": dict(),
 }
 
 
+def _fee_sql(fee: str) -> str:
+    """The schedule's twin: one CASE over products."""
+    cases = []
+    for product, fees in _SCHEDULE.items():
+        if fee in fees:
+            buy, sell, cap = fees[fee]
+            paid = f"turnover * CASE side WHEN 'buy' THEN {buy}::DECIMAL(8,6) ELSE {sell}::DECIMAL(8,6) END"
+            cases.append(f"WHEN '{product}' THEN " + (f"least({paid}, {cap})" if cap else paid))
+    return f"CASE product {' '.join(cases)} ELSE 0 END AS {fee}"
+
+
 def _schedules(spark):
     return pricing.cost_schedules(
         spark, [pricing.schedule_row(product, **fees) for product, fees in _SCHEDULE.items()]
@@ -223,19 +234,11 @@ SELECT *, price * quantity AS turnover, CASE CAST(price * 100 AS BIGINT) % 5 WHE
 )
 view(
     "fee_rows",
-    """
-SELECT *, CASE product WHEN 'equity_delivery' THEN (brokerage + exchange + sebi)::DOUBLE * 0.1::DOUBLE
-    WHEN 'equity_intraday' THEN (brokerage + exchange)::DOUBLE * 0.1::DOUBLE ELSE 0 END AS gst_fee
+    f"""
+SELECT *, CASE product WHEN 'equity_delivery' THEN (brokerage + exchange + sebi)::DOUBLE * 0.07::DOUBLE
+    WHEN 'equity_intraday' THEN (brokerage + exchange)::DOUBLE * 0.07::DOUBLE ELSE 0 END AS gst_fee
 FROM (SELECT client_order_id, account, symbol, product, side, ts,
-  CASE product WHEN 'equity_delivery' THEN least(turnover * 0.0001, 7)
-    WHEN 'equity_intraday' THEN least(turnover * 0.0002, 7) WHEN 'future' THEN least(turnover * 0.0003, 9) ELSE 0 END AS brokerage,
-  CASE WHEN side = 'sell' THEN CASE product WHEN 'equity_delivery' THEN turnover * 0.0003
-    WHEN 'equity_intraday' THEN turnover * 0.0006 ELSE 0 END ELSE 0 END AS stt,
-  CASE WHEN product IN ('equity_delivery', 'equity_intraday') THEN turnover * 0.00002 ELSE 0 END AS exchange,
-  CASE WHEN product IN ('equity_delivery', 'future') THEN turnover * 0.000001 ELSE 0 END AS sebi,
-  CASE WHEN side = 'buy' THEN CASE product WHEN 'equity_delivery' THEN turnover * 0.00001
-    WHEN 'equity_intraday' THEN turnover * 0.00002 ELSE 0 END ELSE 0 END AS stamp
-  FROM priced_fills)""",
+  {", ".join(map(_fee_sql, ("brokerage", "stt", "exchange", "sebi", "stamp")))} FROM priced_fills)""",
 )
 
 
@@ -390,7 +393,7 @@ SELECT instrument_id, executed_at, arrival, max(quantity) AS quantity, max(lot)
   max(prior_volume) AS capacity, bool_and(eligible) AS eligible
 FROM (SELECT p_brand AS instrument_id, date_trunc('month', l_shipdate) AS executed_at,
     l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS arrival,
-    CAST(l_quantity AS BIGINT) AS quantity, l_suppkey % 3 + 1 AS lot, l_returnflag <> 'R' AS eligible,
+    CAST(l_quantity AS BIGINT) AS quantity, CAST(substr(p_brand, 7) AS INTEGER) % 3 + 1 AS lot, l_returnflag <> 'R' AS eligible,
     100 + p_partkey * 0 + month(l_shipdate) * 10 AS prior_volume
   FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY instrument_id, executed_at, arrival""",
 )
@@ -407,7 +410,8 @@ def _open_orders(spark, sf):
         (c("l_orderkey") * 1000000000 + c("l_linenumber") * 100000000 + c("l_partkey") * 1000
          + c("l_suppkey") % 1000).alias("arrival"),
         c("l_quantity").cast("bigint").alias("quantity"),
-        (c("l_suppkey") % 3 + 1).alias("lot"),
+        # A lot belongs to the instrument.
+        (F.substring("p_brand", 7, 9).cast("int") % 3 + 1).alias("lot"),
         (F.lit(100) + F.month("l_shipdate") * 10).cast("bigint").alias("room"),
         (c("l_returnflag") != "R").alias("eligible"),
     )
@@ -446,22 +450,19 @@ def liquidity_fold(spark, sf):
 
 
 def _part_take(q: str) -> str:
-    want = f"least(CAST(floor({q}.quantity * 0.5) AS BIGINT), r.rest) // {q}.lot_size * {q}.lot_size"
+    want = f"least(CAST(floor({q}.quantity * 0.29) AS BIGINT), r.rest) // {q}.lot_size * {q}.lot_size"
     got = f"CASE WHEN {q}.eligible THEN {want} ELSE 0 END"
     return f"r.rest - {got} AS rest, {got} AS filled_quantity, {q}.eligible AS eligible"
 
 
 @query(
     "liquidity_partial",
-    _STEPS.replace("FROM open_orders", "FROM (SELECT * REPLACE (1 AS lot_size) FROM open_orders)").format(
-        first=_part_take("r"), next=_part_take("q")
-    )
+    _STEPS.format(first=_part_take("r"), next=_part_take("q"))
     + f""" SELECT instrument_id, {sql_stamp("executed_at")} AS executed_at, arrival, filled_quantity,
     CASE WHEN eligible AND filled_quantity <= 0 THEN 'no_fill_quantity' END AS liquidity_reason FROM steps""",
 )
 def liquidity_partial(spark, sf):
-    orders = _open_orders(spark, sf).withColumn("lot_size", F.lit(1).cast("bigint"))
-    rows = pricing.partial_fills(orders, DAILY, 0.5)
+    rows = pricing.partial_fills(_open_orders(spark, sf), DAILY, "0.29")
     return rows.select(
         "instrument_id", stamp("executed_at").alias("executed_at"), "arrival", "filled_quantity",
         "liquidity_reason",
@@ -470,9 +471,7 @@ def liquidity_partial(spark, sf):
 
 @query(
     "fill_status",
-    _STEPS.replace("FROM open_orders", "FROM (SELECT * REPLACE (1 AS lot_size) FROM open_orders)").format(
-        first=_part_take("r"), next=_part_take("q")
-    )
+    _STEPS.format(first=_part_take("r"), next=_part_take("q"))
     + """ SELECT status, reasons, count(*) AS n FROM (
       SELECT CASE WHEN NOT eligible OR filled_quantity <= 0 THEN 'rejected'
         WHEN filled_quantity < quantity THEN 'partially_filled' ELSE 'filled' END AS status,
@@ -481,8 +480,7 @@ def liquidity_partial(spark, sf):
     GROUP BY ALL""",
 )
 def fill_status(spark, sf):
-    orders = _open_orders(spark, sf).withColumn("lot_size", F.lit(1).cast("bigint"))
-    rows = pricing.partial_fills(orders, DAILY, 0.5)
+    rows = pricing.partial_fills(_open_orders(spark, sf), DAILY, "0.29")
     reasons = F.array_compact(
         F.array(
             F.when(~F.col("eligible"), "instrument_mismatch"),

@@ -9,13 +9,11 @@ MONEY = T.DecimalType(18, 4)
 # Vocabularies and versions that stored tables must agree on.
 SCHEMA_VERSION = "canonical-v1"
 LABEL_VERSION = "targets-v1"
-DATASET_VERSION = "research-dataset-v1"
 ASSET_CLASSES = ["equity", "future", "option"]
 INSTRUMENT_TYPES = ["equity", "future", "option", "etf"]
 CONTRACT_TYPES = ["FUTSTK", "FUTIDX", "OPTSTK", "OPTIDX"]
 OPTION_TYPES = ["CE", "PE"]
 SIDES = ["buy", "sell"]
-SIGNAL_SIDES = ["buy", "sell", "hold"]
 PRODUCTS = ["equity_delivery", "equity_intraday", "future", "option"]
 NAME_PATTERN = r"^\S(?:.*\S)?$"
 SYMBOL_PATTERN = r"^[A-Z0-9][A-Z0-9&._-]{0,29}$"
@@ -60,9 +58,6 @@ BARS = _struct(
 REQUIRED_BAR_FIELDS = [
     "asset_class", "symbol", "exchange", "ts", "open", "high", "low", "close", "volume",
 ]
-IDENTITY_FIELDS = [
-    "asset_class", "exchange", "symbol", "underlying", "expiry", "strike", "option_type",
-]
 
 SESSIONS = _struct(
     ("session_date", T.DateType()),

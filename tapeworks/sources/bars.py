@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -16,6 +15,13 @@ from tapeworks import schemas as S
 CORRUPT = "_corrupt"
 
 
+def reject_first(*checks: tuple[object, str]) -> None:
+    """Raise for the first check that holds."""
+    for wrong, message in checks:
+        if wrong:
+            raise ValueError(message)
+
+
 @dataclass(frozen=True)
 class CsvMapping:
     """Which file header feeds which canonical field; ``defaults`` are constants."""
@@ -28,29 +34,30 @@ class CsvMapping:
     timestamp_format: str | None = None
 
     def __post_init__(self) -> None:
-        known = set(S.BARS.fieldNames())
-        mapped, fixed = set(self.columns), set(self.defaults)
-        if not self.provider or len(self.delimiter) != 1:
-            raise ValueError("provider and a one-character delimiter are required")
-        if (mapped | fixed) - known:
-            raise ValueError(f"unknown canonical fields: {sorted((mapped | fixed) - known)}")
-        if mapped & fixed:
-            raise ValueError("mapped columns and defaults cannot overlap")
-        if set(S.REQUIRED_BAR_FIELDS) - (mapped | fixed):
-            raise ValueError("mapping does not supply every required canonical field")
+        sources = [*self.columns, *self.defaults]
+        left_out = [f for f in S.REQUIRED_BAR_FIELDS if f not in sources]
+        strange = sorted({f for f in sources if f not in S.BARS.fieldNames()})
+        twice = sorted({f for f in sources if sources.count(f) > 1})
+        reject_first(
+            (self.provider == "", "a mapping names its provider"),
+            (len(self.delimiter) != 1, f"cells are separated by one character, not {self.delimiter!r}"),
+            (strange, f"bars have no fields {strange}"),
+            (twice, f"a column and a constant both feed {twice}"),
+            (left_out, f"nothing feeds {left_out}"),
+        )
 
 
 def csv_header(spark: SparkSession, path: str, mapping: CsvMapping) -> list[str]:
-    """First line only; the engine compares every file of the path to it later."""
+    """The first line of one file; the scan compares the header of every file of the path to it."""
     first = spark.read.option("encoding", mapping.encoding).text(path).limit(1).collect()
-    if not first or not (first[0][0] or "").strip("﻿"):
-        raise ValueError("missing or duplicate CSV headers")
-    line = first[0][0].lstrip("﻿")
-    header = next(csv.reader(io.StringIO(line), delimiter=mapping.delimiter))
-    if len(header) != len(set(header)) or any(not h for h in header):
-        raise ValueError("missing or duplicate CSV headers")
-    if set(mapping.columns.values()) - set(header):
-        raise ValueError("CSV missing mapped columns")
+    line = (first[0][0] or "").lstrip("\ufeff") if first else ""
+    header = next(csv.reader([line], delimiter=mapping.delimiter), [])
+    wanted = sorted(set(mapping.columns.values()).difference(header))
+    reject_first(
+        (not all(header) or not header, f"a header needs a name in every cell: {line!r}"),
+        (len(set(header)) < len(header), f"a header names a column twice: {line!r}"),
+        (wanted, f"the file has no columns {wanted}"),
+    )
     return header
 
 
@@ -70,6 +77,8 @@ def scan_csv(spark: SparkSession, path: str, mapping: CsvMapping) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("columnPruning", False)
+        # A file whose header differs stops the scan; its cells would land in wrong columns.
+        .option("enforceSchema", False)
         .csv(path)
     )
     quoted = F.lit(False)

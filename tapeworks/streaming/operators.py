@@ -1,12 +1,11 @@
 """Stateful stream forms of the order-dependent operators.
 
-State is keyed by instrument or account and lives in RocksDB. The rows of a key inside one
+State is keyed by instrument and lives in RocksDB. The rows of a key inside one
 micro-batch are put in order first, so the source's batch cap bounds what a task holds.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapeworks.operators.risk import Policy, market_closed
 from tapeworks.streaming.runs import use_rocksdb
 
 
@@ -195,159 +193,3 @@ def indicators(stream: DataFrame) -> DataFrame:
         F.timestamp_micros("us").alias("ts"),
         *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in _VALUES],
     )
-
-
-# --- account screening -------------------------------------------------------------------
-
-
-class _Account:
-    """Cash, positions and day baseline of one account, in integer hundredths of a rupee."""
-
-    def __init__(self, policy: dict, saved: dict | None):
-        self.policy = policy
-        self.book = saved or {
-            "cash": policy["initial_cash"], "positions": {}, "day": None,
-            "day_start": policy["initial_cash"], "realized": 0.0,
-        }
-
-    def exposure(self) -> int:
-        return sum(p["quantity"] * p["mark"] for p in self.book["positions"].values())
-
-    def submit(self, o: dict) -> list[str]:
-        """Mark, screen and, when nothing objects, fill one order at its quote."""
-        b, p = self.book, self.policy
-        held = b["positions"].get(o["symbol"])
-        equity_before = b["cash"] + self.exposure()
-        if b["day"] != o["day"]:
-            b["day"], b["day_start"] = o["day"], equity_before
-        if held:
-            held["mark"] = o["price"]
-        exposure = self.exposure()
-        amount, buying = o["price"] * o["quantity"], o["side"] == "buy"
-        stop = o["stop"]
-        good_stop = stop is not None and (0 < stop < o["price"] if buying else stop > o["price"])
-        checks = [
-            ("market_closed", o["closed"]),
-            ("duplicate_order", o["repeated"]),
-            ("symbol_not_allowed", o["symbol"] not in p["symbols"]),
-            ("instrument_type_not_allowed", o["kind"] not in p["kinds"]),
-            ("quote_mismatch", o["quote_symbol"] != o["symbol"] or o["quote_kind"] != o["kind"]),
-            ("future_quote", o["age"] < 0),
-            ("stale_quote", o["age"] > p["max_age"]),
-            ("capital_per_trade", amount > p["per_trade"]),
-            ("daily_loss", b["cash"] + exposure - b["day_start"] <= -p["daily_loss"]),
-            ("insufficient_cash", buying and amount > b["cash"]),
-            ("portfolio_exposure", buying and exposure + amount > p["exposure"]),
-            ("open_positions", buying and not held and len(b["positions"]) >= p["positions"]),
-            ("insufficient_position", not buying and (not held or o["quantity"] > held["quantity"])),
-            ("invalid_stop_loss", not good_stop if stop is not None else p["stop_needed"]),
-            ("unsupported_paper_instrument", o["kind"] != "equity"),
-        ]
-        reasons = [name for name, bad in checks if bad]
-        if not reasons:
-            self._fill(o, held, amount, buying)
-        return reasons
-
-    def _fill(self, o: dict, held: dict | None, amount: int, buying: bool) -> None:
-        b, q = self.book, o["quantity"]
-        if buying:
-            old = held or {"quantity": 0, "average": 0.0}
-            total = old["quantity"] + q
-            average = (old["average"] * old["quantity"] + amount) / total
-            b["positions"][o["symbol"]] = {"quantity": total, "average": average, "mark": o["price"]}
-            b["cash"] -= amount
-            return
-        b["realized"] += (o["price"] - held["average"]) * q
-        b["cash"] += amount
-        held["quantity"] -= q
-        if not held["quantity"]:
-            del b["positions"][o["symbol"]]
-
-
-class _Screening(StatefulProcessor):
-    def __init__(self, policy: dict):
-        self.policy = policy
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", "json string")
-        self.seen = handle.getMapState("seen", "id string", "n int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["us", "arrival"])
-        saved = json.loads(self.book.get()[0]) if self.book.exists() else None
-        account, out = _Account(self.policy, saved), []
-        for o in batch.to_dict("records"):
-            # Rejected ids are used up too.
-            o["repeated"] = self.seen.containsKey((o["client_order_id"],))
-            if not o["repeated"]:
-                self.seen.updateValue((o["client_order_id"],), (1,))
-            o["stop"] = None if pd.isna(o["stop"]) else int(o["stop"])
-            reasons = account.submit(o)
-            exposure = account.exposure()
-            out.append(
-                (
-                    key[0], o["arrival"], o["client_order_id"], o["us"],
-                    "rejected" if reasons else "filled", ",".join(reasons),
-                    account.book["cash"], account.book["cash"] + exposure, exposure,
-                    account.book["realized"],
-                )
-            )
-        self.book.update((json.dumps(account.book),))
-        names = ["account", "arrival", "client_order_id", "us", "status", "reasons", "cash",
-                 "equity", "exposure", "realized"]
-        yield pd.DataFrame(out, columns=names)
-
-    def close(self) -> None:
-        pass
-
-
-def _cents(text: str) -> int:
-    return round(float(text) * 100)
-
-
-def screen_accounts(orders: DataFrame, policy: Policy) -> DataFrame:
-    """Orders of every account screened and filled strictly in order.
-
-    Each decision depends on the fills before it, so an account is serial by definition;
-    accounts run in parallel and the micro-batch bounds the orders one account brings.
-    """
-    use_rocksdb(orders.sparkSession)
-    limits = {
-        "initial_cash": _cents(policy.initial_cash),
-        "per_trade": _cents(policy.max_capital_per_trade),
-        "exposure": _cents(policy.max_portfolio_exposure),
-        "daily_loss": _cents(policy.max_daily_loss),
-        "positions": policy.max_open_positions,
-        "max_age": policy.quote_max_age_seconds,
-        "stop_needed": policy.mandatory_stop_loss,
-        "symbols": set(policy.allowed_symbols),
-        "kinds": set(policy.allowed_instrument_types),
-    }
-    cents = lambda c: (F.col(c) * 100).cast("bigint")
-    us = F.unix_micros("now")
-    rows = orders.select(
-        "account", "arrival", "client_order_id", "symbol", "side", "quantity", "quote_symbol",
-        us.alias("us"),
-        F.col("instrument_type").alias("kind"),
-        F.col("quote_type").alias("quote_kind"),
-        cents("quote_price").alias("price"),
-        cents("stop_loss").alias("stop"),
-        ((us - F.unix_micros("quote_ts")) / F.lit(1e6)).alias("age"),
-        market_closed(policy, F.col("now")).alias("closed"),
-        F.date_format(F.from_utc_timestamp("now", "Asia/Kolkata"), "yyyy-MM-dd").alias("day"),
-    )
-    out = rows.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=_Screening(limits),
-        outputStructType="account bigint, arrival bigint, client_order_id string, us bigint, "
-        "status string, reasons string, cash bigint, equity bigint, exposure bigint, realized double",
-        outputMode="Append",
-        timeMode="None",
-    )
-    money = lambda c: (F.col(c) / 100).cast("decimal(18,2)").alias(c)
-    return out.select(
-        "account", "arrival", "client_order_id", F.timestamp_micros("us").alias("ts"), "status",
-        F.when(F.col("reasons") == "", F.array().cast("array<string>"))
-        .otherwise(F.split("reasons", ",")).alias("reasons"),
-        *[money(c) for c in ("cash", "equity", "exposure")],
-        F.round(F.col("realized") / 100, 4).alias("realized_pnl"),
-    )

@@ -1,5 +1,4 @@
 import time
-from decimal import Decimal as D
 
 import pytest
 from market import BAR_SCHEMA, walk
@@ -8,7 +7,6 @@ from test_trading import NOW
 
 from tapeworks.functions.series import Grid
 from tapeworks.operators.features import build_features
-from tapeworks.operators.risk import Policy
 from tapeworks.streaming import operators as ops
 from tapeworks.streaming import runs
 
@@ -42,33 +40,3 @@ def test_late_rows_are_flagged_across_batches(spark, tmp_path):
     two = spark.createDataFrame([("A", 3, NOW), ("B", 4, NOW.replace(hour=6))], schema)
     out = runs.drain(ops.chronology(slices(spark, str(tmp_path / "c"), one, two)), "chron")
     assert {r.row_id: r.out_of_order for r in out.collect()} == {1: False, 2: False, 3: True, 4: False}
-
-
-def test_account_screening_keeps_its_book(spark, tmp_path):
-    schema = (
-        "account bigint, arrival bigint, client_order_id string, symbol string, instrument_type string, "
-        "side string, quantity bigint, quote_symbol string, quote_type string, quote_price decimal(18,2), "
-        "quote_ts timestamp, now timestamp, stop_loss decimal(18,2)"
-    )
-
-    def order(arrival, oid, side, quantity, price, stop):
-        return (
-            1, arrival, oid, "DEMO", "equity", side, quantity, "DEMO", "equity", D(price), NOW, NOW,
-            None if stop is None else D(stop),
-        )
-
-    one = spark.createDataFrame([order(1, "a", "buy", 10, 100, 90), order(2, "b", "buy", 1, 100, None)], schema)
-    two = spark.createDataFrame(
-        [order(3, "a", "buy", 10, 100, 90), order(4, "c", "sell", 4, 120, 130),
-         order(5, "b", "buy", 1, 100, 90), order(6, "d", "sell", 7, 120, 130)],
-        schema,
-    )
-    rows = runs.drain(ops.screen_accounts(slices(spark, str(tmp_path / "o"), one, two), Policy()), "paper")
-    got = {r.arrival: r for r in rows.collect()}
-    assert [got[i].status for i in range(1, 7)] == [
-        "filled", "rejected", "rejected", "filled", "rejected", "rejected",
-    ]
-    assert got[2].reasons == ["invalid_stop_loss"] and got[3].reasons == ["duplicate_order"]
-    assert got[5].reasons == ["duplicate_order"]  # a rejected id is used up as well
-    assert got[6].reasons == ["insufficient_position"]
-    assert got[4].cash == D("99480.00") and got[4].realized_pnl == 80 and got[4].equity == D("100200.00")

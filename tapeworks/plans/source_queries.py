@@ -48,7 +48,11 @@ def scan_csv_mapped(spark, sf):
     )
 
 
-@query("scan_csv_rejects")
+@query(
+    "scan_csv_rejects",
+    """SELECT day(CAST(substr(ts, 1, 10) AS DATE)) IN (3, 5, 7) AS bad_structure, count(*) AS lines
+    FROM raw_bars GROUP BY ALL""",
+)
 def scan_csv_rejects(spark, sf):
     """Lines with a missing or extra cell or a stray quote, made from every bar's feed line."""
     raw = fx.raw_bars(spark, sf)
@@ -330,7 +334,7 @@ def daily_pnl(spark, sf):
     return days.withColumn("daily_pnl", F.col("equity") - F.col("day_start_equity"))
 
 
-@query("event_append")
+@query("event_append", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def event_append(spark, sf):
     """Append-only audit table written in two batches, then read back."""
     path = scratch_path(spark, "audit")

@@ -156,3 +156,33 @@ def test_calendar_and_contract_documents(spark, tmp_path):
     assert str(reference.read_contracts(spark, write(tmp_path, text, "k.json")).first().tick_size) == "0.0500"
     with pytest.raises(ValueError):
         reference.latest(holidays, 0)
+
+
+def test_second_file_with_other_columns_stops_the_scan(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEAD + GOOD)
+    (folder / "b.csv").write_text(HEAD.replace("O,H", "H,O") + GOOD)
+    with pytest.raises(Exception, match="(?i)header"):
+        src.scan_csv(spark, str(folder), mapping()).collect()
+
+
+def test_shared_folder_must_be_named_off_one_machine(spark, monkeypatch):
+    from tapeworks import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_digits_beyond_any_scale_are_seen(spark, tmp_path):
+    lines = [GOOD.replace("100.50", x) for x in ("100.50000000000", "100.50000000001", "100.5001", "100.50001")]
+    raw = src.scan_csv(spark, write(tmp_path, HEAD + "".join(lines)), mapping())
+    rows = rules.validate_bars(raw).orderBy("row_id").select("reasons").collect()
+    assert ["unsupported_scale" in r.reasons for r in rows] == [False, True, False, True]

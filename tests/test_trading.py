@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal as D
 
@@ -222,3 +223,40 @@ def test_reconciliation(spark):
     assert (got["m"].quantity_difference, got["m"].price_difference, got["m"].fee_difference) == (1, 0.5, -0.5)
     assert got["l"].status == "only_simulated" and got["r"].status == "only_paper"
     assert reconcile.repeated_trades(a.unionByName(a)).count() == 2
+
+
+def test_fill_fraction_is_a_decimal(spark):
+    rows = [("A", NOW, i, 100, 1000, True, lot) for i, lot in enumerate((1, 1, 0))]
+    df = spark.createDataFrame(
+        rows,
+        "instrument_id string, executed_at timestamp, arrival bigint, quantity bigint, capacity bigint, "
+        "eligible boolean, lot_size bigint",
+    )
+    got = {r.arrival: r.filled_quantity for r in pricing.partial_fills(df, GRID, "0.29").collect()}
+    assert got == {0: 29, 1: 29, 2: 0}
+
+
+def test_repeated_trades_do_not_multiply(spark):
+    schema = "client_order_id string, quantity bigint, price decimal(18,2), fees decimal(18,2)"
+    one = spark.createDataFrame([("a", 1, D(5), D(0))] * 2 + [("b", 2, D(5), D(1))], schema)
+    got = {r.client_order_id: r for r in reconcile.compare_trades(one, one).collect()}
+    assert got["a"].status == "repeated" and got["a"].quantity_difference is None
+    assert got["b"].status == "matched" and got["b"].fee_difference == 0 and len(got) == 2
+
+
+def test_one_run_that_starts_at_zero_leaves_the_others_alone(spark):
+    rows = [(run, datetime(2024, 1, 1, h, tzinfo=UTC), D(v)) for run, vs in (("x", (0, 5)), ("y", (10, 20)))
+            for h, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "run_id string, ts timestamp, equity decimal(18,2)")
+    got = {r.run_id: r.total_return for r in perf.metrics(df, Grid(bar_seconds=3600)).collect()}
+    assert got == {"x": None, "y": 1.0}
+
+
+def test_order_ids_are_valid_for_any_instrument_name(spark):
+    from tapeworks import schemas as S
+
+    row = ("Brand #12/é", datetime(2024, 1, 1, tzinfo=UTC), D(100), "buy", "equity", "S", 7)
+    schema = "instrument_id string, ts timestamp, close decimal(18,4), side string, asset_class string, symbol string, account long"
+    got = signals.orders_from(spark.createDataFrame([row], schema)).first()
+    assert got.symbol == "S" and got.account == 7
+    assert re.fullmatch(S.ORDER_ID_PATTERN, got.client_order_id)

@@ -16,8 +16,8 @@ from tapeworks.llm.base import text_key
 from tapeworks.session import staged
 
 WINDOW = 10
-#: Rows of a broadcast table; what has more is joined in several rounds.
-BROADCAST_ROWS = 500_000
+#: Rows of a broadcast table or a word list; what has more is joined in several rounds.
+BROADCAST_ROWS = 20_000
 
 #: All ASCII characters that are not letters or digits.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -101,24 +101,42 @@ def _agreeing(mine: Column, theirs: Column, most: Column) -> Column:
     return F.when(first > 0, first.cast("int") - 1).otherwise(most)
 
 
-def passages(docs: DataFrame, found: DataFrame, rows: int) -> DataFrame:
-    """doc_id, key_, seq, first and last word position of the windows found around each anchor."""
+def _spots(words: list[str], reach: int):
+    """A word that is one of ``words``, with its place and what stands up to ``reach`` words away."""
+
+    def near(w: Column, i: Column) -> Column:
+        low, left = _lower(w), F.least(i, F.lit(reach))
+        around = F.slice("cut", i - left + 1, left + 1 + reach)
+        made = F.struct(low.alias("word"), i.alias("p"), left.alias("at"), around.alias("near"))
+        return F.when(low.isin(words), made)
+
+    return near
+
+
+def passages(docs: DataFrame, found: DataFrame, window: int, rows: int) -> DataFrame:
+    """doc_id, key_, seq, first and last word position of the windows found around each anchor.
+
+    Words that anchor nothing are sorted out inside the array of a text; only the others become rows,
+    each with the few words around it that an anchor can reach.
+    """
     cut = docs.select("doc_id", "key_", _cut("text").alias("cut"))
-    each = cut.select("doc_id", "key_", "cut", F.posexplode("cut").alias("p", "as_written"))
-    each = each.withColumn("word", _lower(F.col("as_written")))
     hits = []
     for a in _rounds(found, "word", rows):
-        left = F.least(F.col("before"), F.col("p"))
-        right = F.least(F.col("after"), F.size("cut") - 1 - F.col("p"))
-        near = each.join(a, "word").select(
+        words = [r["word"] for r in a.select("word").distinct().collect()]  # at most ``rows``
+
+        each = F.explode(F.filter(F.transform("cut", _spots(words, window - 1)), lambda c: c.isNotNull()))
+        spots = cut.select("doc_id", "key_", each.alias("c")).select("doc_id", "key_", "c.*")
+        left = F.least("before", "at")
+        right = F.least(F.col("after"), F.size("near") - 1 - F.col("at"))
+        sides = spots.join(a, "word").select(
             "doc_id", "key_", "seq", "p", "size", left.alias("l"), right.alias("r"),
-            F.slice("cut", F.col("p") - left + 1, left).alias("dl"),
+            F.slice("near", F.col("at") - left + 1, left).alias("dl"),
             F.slice("words", F.col("before") - left + 1, left).alias("wl"),
-            F.slice("cut", F.col("p") + 2, right).alias("dr"),
+            F.slice("near", F.col("at") + 2, right).alias("dr"),
             F.slice("words", F.col("before") + 2, right).alias("wr"),
         )
         hits.append(
-            near.select(
+            sides.select(
                 "doc_id", "key_", "seq", "size", "p",
                 _agreeing(F.reverse("dl"), F.reverse("wl"), F.col("l")).alias("l"),
                 _agreeing(F.col("dr"), F.col("wr"), F.col("r")).alias("r"),
@@ -159,7 +177,7 @@ def contamination(
     seqs, items = sequences(benchmark)
     seqs = staged(seqs, "sequences")
     found = staged(anchors(rows_of, seqs, window, rows), "anchors")
-    hits = staged(passages(rows_of, found, rows), "passages")
+    hits = staged(passages(rows_of, found, window, rows), "passages")
     by = ["doc_id", "key_"]
     ranges = hits.groupBy(*by).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges"))
     named = (

@@ -30,10 +30,13 @@ def inventory_clamp(fills: DataFrame, grid: Grid) -> DataFrame:
     """Long-only acceptance of unit sells: a sell needs something held.
 
     The held quantity is a running sum reflected at zero, so it is the running sum minus its
-    running minimum, and no step depends on an earlier decision.
+    running minimum, and no step depends on an earlier decision. That holds for sells of one unit
+    only; a larger one fails the job instead of being judged wrongly.
     """
     bucket = grid.bucket("ts")
-    step = _signed(F.col("quantity"))
+    large = (F.col("side") == "sell") & (F.col("quantity") > 1)
+    refused = F.raise_error(F.lit("inventory_clamp takes sells of one unit")).cast("bigint")
+    step = F.when(large, refused).otherwise(_signed(F.col("quantity")))
     df = staged(running(fills, KEYS, ORDER, bucket, {"_sum": ("sum", step)}), "inventory")
     df = running(df, KEYS, ORDER, bucket, {"_low": ("min", F.col("_sum"))}, include_current=False)
     before = F.col("_sum") - step - F.least(F.coalesce("_low", F.lit(0)), F.lit(0))

@@ -60,14 +60,8 @@ def compare_equity(simulated: DataFrame, paper: DataFrame, keys: list[str]) -> D
 
 def key_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     """How many distinct ids are on both sides, or on one only."""
-    a, b = left.select(ID).distinct(), right.select(ID).distinct()
-
-    def tag(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("side"), ID)
-
-    parts = (
-        tag(a.intersect(b), "both")
-        .unionByName(tag(a.exceptAll(b), "only_left"))
-        .unionByName(tag(b.exceptAll(a), "only_right"))
-    )
-    return parts.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    a = left.select(ID).distinct().withColumn("_left", F.lit(True))
+    b = right.select(ID).distinct().withColumn("_right", F.lit(True))
+    side = F.when(F.col("_right").isNull(), "only_left").when(F.col("_left").isNull(), "only_right")
+    both = a.join(b, ID, "full").select(side.otherwise("both").alias("side"))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"))

@@ -260,3 +260,12 @@ def test_order_ids_are_valid_for_any_instrument_name(spark):
     got = signals.orders_from(spark.createDataFrame([row], schema)).first()
     assert got.symbol == "S" and got.account == 7
     assert re.fullmatch(S.ORDER_ID_PATTERN, got.client_order_id)
+
+
+def test_clamp_refuses_what_it_can_not_judge(spark):
+    rows = [("A", "S", "o1", "buy", 2, NOW), ("A", "S", "o2", "sell", 2, NOW + timedelta(hours=1))]
+    df = spark.createDataFrame(
+        rows, "account string, symbol string, client_order_id string, side string, quantity bigint, ts timestamp"
+    )
+    with pytest.raises(Exception, match="one unit"):
+        led.inventory_clamp(df, GRID).collect()

@@ -367,10 +367,16 @@ def _trades(spark, sf):
 
 @query(
     "trade_recon",
-    """SELECT client_order_id, CASE WHEN r.price IS NULL THEN 'only_simulated' WHEN l.price IS NULL
-      THEN 'only_paper' ELSE 'matched' END AS status, l.quantity - r.quantity AS quantity_difference,
-      CAST(l.price - r.price AS DOUBLE) AS price_difference, CAST(l.fees - r.fees AS DOUBLE) AS fee_difference
-    FROM trades_left l FULL JOIN trades_right r USING (client_order_id)""",
+    """WITH l AS (SELECT client_order_id, count(*) AS n, any_value(quantity) AS quantity, any_value(price) AS price,
+      any_value(fees) AS fees FROM trades_left GROUP BY ALL),
+    r AS (SELECT client_order_id, count(*) AS n, any_value(quantity) AS quantity, any_value(price) AS price,
+      any_value(fees) AS fees FROM trades_right GROUP BY ALL),
+    both_ AS (SELECT client_order_id, coalesce(l.n > 1, false) OR coalesce(r.n > 1, false) AS again, l.n AS ln, r.n AS rn,
+      l.quantity - r.quantity AS q, CAST(l.price - r.price AS DOUBLE) AS p, CAST(l.fees - r.fees AS DOUBLE) AS f
+      FROM l FULL JOIN r USING (client_order_id))
+    SELECT client_order_id, CASE WHEN again THEN 'repeated' WHEN rn IS NULL THEN 'only_simulated' WHEN ln IS NULL
+      THEN 'only_paper' ELSE 'matched' END AS status, CASE WHEN NOT again THEN q END AS quantity_difference,
+      CASE WHEN NOT again THEN p END AS price_difference, CASE WHEN NOT again THEN f END AS fee_difference FROM both_""",
 )
 def trade_recon(spark, sf):
     rows = rec.compare_trades(*_trades(spark, sf))

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.chunks import ChunkEncoder, Memo
 
-MEMO = 500_000
+#: Entries of one generation of a memo.
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

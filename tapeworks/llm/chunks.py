@@ -17,25 +17,51 @@ _UNSAFE = re.compile(rf" [{_WIDE}]|[{_WIDE}] ")
 
 
 class Memo(dict):
-    """Bounded memo: when full it starts anew, so a worker's memory stays flat."""
+    """Bounded memo in two generations: a full one becomes the old one, from which what is asked for
+    again is taken over, so common keys stay and a worker's memory does not grow."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
+#: Marks that stand apart from a word of the letters below _PLAIN before them.
+_MARKS = frozenset(".,;:!?")
+_PLAIN = chr(0x250)
+
+
+class _Chunks(Memo):
+    """Ids of what follows a space. A word with a mark behind it is put together, not kept."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        super().__init__(lambda rest: encode(" " + rest), limit)
+        self.marks = {x: encode(x) for x in _MARKS}
+
+    def __missing__(self, rest: str) -> bytes:
+        if rest[-1:] in _MARKS:
+            word = rest[:-1]
+            if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+                return self[word] + self.marks[rest[-1]]
+        return super().__missing__(rest)
+
+
 class ChunkEncoder:
-    """``encode`` maps any text to packed ids; texts are cut where that changes nothing."""
+    """``encode`` maps any text to packed ids; texts are cut where that changes nothing. At most twice
+    ``limit`` chunks are kept."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 250_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 700_000):
         self.encode = encode
-        self.after_space = Memo(lambda rest: encode(" " + rest), limit)
+        self.after_space = _Chunks(encode, limit)
 
     def __call__(self, text: str) -> bytes:
         if _UNSAFE.search(text):

@@ -13,6 +13,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,7 +141,7 @@ class LibraryEncoder:
 
     def _library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         whole = any(x in text for x in self.added)

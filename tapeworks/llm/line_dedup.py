@@ -168,6 +168,8 @@ def dedup_lines(
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_docs)
     )
+    # Read back as a table of its own, so that a join can split the rows of a hot line.
+    spread = staged(spread.select("line", "keeper"), "spread")
     drops = (
         moved.join(spread, "line")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))

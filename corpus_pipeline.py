@@ -16,6 +16,8 @@ from tapeworks.session import staged
 
 #: Least agreement of ranks for a text to count as one of the learned languages.
 LEAST_SCORE = 0.2
+#: Near copies: words in a shingle, and least similarity in hundredths. Looser than the query of op 10.
+SHINGLE, LEAST = 5, 80
 
 
 def with_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     one document. Texts without words are no copies of each other.
     """
     prepared(spark)
-    groups = staged(ngram_join.jaccard_groups(docs), "groups")
+    groups = staged(ngram_join.jaccard_groups(docs, size=SHINGLE, least=LEAST), "groups")
     first = groups.filter("n_shingles > 0").groupBy("component_id").agg(
         F.min(F.struct("doc_id", "key_")).alias("kept")
     )

@@ -34,7 +34,7 @@ LEAST = 90
 BUCKET_BYTES, BLOCK, BIN_SETS = 48 << 20, 1000, 2000
 NO_ID = -(2**63)
 _PART_BYTES = 4 << 20
-#: Classes beyond those that may differ: as many empty ones need not be sent.
+#: Classes beyond those that may differ, at least: as many empty ones need not be sent.
 _SPARE = 2
 
 
@@ -58,11 +58,19 @@ class Bands:
         self._grow(size)
         return int(np.searchsorted(self.upto, size, "left"))
 
-    def classes(self, band: int) -> int:
+    def differ(self, band: int) -> int:
         while len(self.upto) <= band:
             self._grow(self.upto[-1] + 1)
-        differ = 2 * self.upto[band] * (100 - self.least) // (100 + self.least)
-        return differ + 1 + _SPARE
+        return 2 * self.upto[band] * (100 - self.least) // (100 + self.least)
+
+    def spare(self, band: int) -> int:
+        """As many classes as are likely to be empty: small sets of the band before have the most. A set
+        that must send its empty ones meets all others that do."""
+        share = (100 + self.least) / (2 * (100 - self.least)) * (self.least / 100) ** 2 if self.least < 100 else np.inf
+        return _SPARE + int(1.6 * self.differ(band) * np.exp(-share))
+
+    def classes(self, band: int) -> int:
+        return self.differ(band) + 1 + self.spare(band)
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -79,7 +87,7 @@ def class_hashes(found: np.ndarray, bands: Bands) -> np.ndarray:
         order = np.argsort(kind, kind="stable")
         here, starts = np.unique(kind[order], return_index=True)
         sums = np.add.reduceat(mixed[order], starts)
-        if n - len(here) > _SPARE:
+        if n - len(here) > bands.spare(band):
             every = np.zeros(n, np.uint64)
             every[here] = sums
             here, sums = np.arange(n), every
@@ -326,7 +334,9 @@ def jaccard_groups(docs: DataFrame, *, size: int = SHINGLE, least: int = LEAST)
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("key_"),
     )
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    facts = staged(sets_and_edges(rows, size, least, 1 + n_bytes // BUCKET_BYTES), "sets")
+    # The lower the threshold, the more class hashes for the same text (1 at 90 hundredths).
+    weight = max(1, 19 * (100 - least) / (100 + least))
+    facts = staged(sets_and_edges(rows, size, least, 1 + int(n_bytes * weight) // BUCKET_BYTES), "sets")
     members = facts.filter("NOT edge").select("doc_id", "key_", "n", "a1", "a2")
     # One document stands for all with the same set.
     reps = members.filter("n > 0").groupBy("a1", "a2").agg(F.min(F.struct("doc_id", "key_")).alias("rep"))

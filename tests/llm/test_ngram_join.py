@@ -83,6 +83,22 @@ def test_similar_sets_share_a_class():
             assert shared
 
 
+def test_only_similar_sets_share_a_class_at_four_fifths():
+    rng, bands, met = np.random.default_rng(4), ngram_join.Bands(80), {}
+    for i in range(300):
+        n = int(rng.integers(20, 600))
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        new = rng.integers(0, 2**63, n // 9 if i % 2 else 0, dtype=np.uint64)
+        other = np.unique(np.concatenate([base[len(new) :], new]))
+        both = len(np.intersect1d(base, other))
+        mine = set(ngram_join.class_hashes(base, bands).tolist())
+        if 100 * both >= 80 * (len(base) + len(other) - both):
+            assert mine & set(ngram_join.class_hashes(other, bands).tolist())
+        for x in mine:
+            met.setdefault(x, []).append(i)
+    assert len({i for x in met.values() if len(x) > 1 for i in x}) < 60
+
+
 def test_search_finds_all_overlaps():
     rng = np.random.default_rng(2)
     pool = np.sort(rng.choice(2**40, 260, replace=False)).astype(np.uint64)

@@ -72,3 +72,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns and 0 < out.count() <= 20
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for g in range(8):
+        body = words(rng, 100, 5000)
+        for k in range(6):
+            copy = list(body)
+            for at in rng.sample(range(5, 95), k):
+                copy[at] = f"edit{g}x{k}x{at}"
+            rows.append((10 * g + k, " ".join(copy)))
+    groups = near.brute(rows, 5, 80)
+    want = [i for (i, _), (own, _, top) in zip(sorted(rows), groups, strict=True) if own == top]
+    stricter = [own[1] for own, _, top in near.brute(rows) if own == top]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == want
+    assert 8 <= len(want) < len(stricter)

@@ -68,7 +68,8 @@ def stream_quote_join(spark, sf):
     fresh = ops.freshest_quotes(
         _stream(spark, orders, "orders"), _stream(spark, quotes, "quotes"), 30
     )
-    rows = runs.drain(fresh, "fresh-quotes")
+    # The twin reports quoted orders only.
+    rows = runs.drain(fresh, "fresh-quotes").filter("quote_ts IS NOT NULL")
     return rows.select("client_order_id", "price", stamp("quote_ts").alias("quote_ts"))
 
 

@@ -80,7 +80,10 @@ def first_orders(stream: DataFrame, within: str | None = None) -> DataFrame:
 def freshest_quotes(
     orders: DataFrame, quotes: DataFrame, max_age_seconds: int, delay: str = "1 hour"
 ) -> DataFrame:
-    """Latest quote not older than the limit per order, by an interval join of two streams."""
+    """Latest quote not older than the limit per order, by an interval join of two streams.
+
+    An order without such a quote comes out with nulls, once the watermarks have passed it.
+    """
     use_rocksdb(orders.sparkSession)
     o = orders.select("client_order_id", "symbol", "now").withWatermark("now", delay)
     q = quotes.select(
@@ -89,7 +92,7 @@ def freshest_quotes(
     age = F.expr(
         f"quote_symbol = symbol AND quote_ts <= now AND quote_ts >= now - INTERVAL {max_age_seconds} SECONDS"
     )
-    found = o.join(q, age)
+    found = o.join(q, age, "left_outer")
     return (
         found.groupBy(F.window("now", "1 minute").alias("w"), "client_order_id")
         .agg(F.max_by("price", "quote_ts").alias("price"), F.max("quote_ts").alias("quote_ts"))

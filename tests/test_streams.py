@@ -1,4 +1,5 @@
 import time
+from datetime import timedelta
 
 import pytest
 from market import BAR_SCHEMA, walk
@@ -40,3 +41,18 @@ def test_late_rows_are_flagged_across_batches(spark, tmp_path):
     two = spark.createDataFrame([("A", 3, NOW), ("B", 4, NOW.replace(hour=6))], schema)
     out = runs.drain(ops.chronology(slices(spark, str(tmp_path / "c"), one, two)), "chron")
     assert {r.row_id: r.out_of_order for r in out.collect()} == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_orders_without_a_fresh_quote_come_out(spark, tmp_path):
+    at = lambda seconds: NOW + timedelta(seconds=seconds)
+    orders = [("quoted", "HOT", at(60)), ("later", "HOT", at(70)), ("stale", "HOT", at(200)), ("none", "COLD", at(60))]
+    quotes = [("HOT", at(40), 1.0), ("HOT", at(50), 2.0), ("HOT", at(65), 3.0), ("HOT", at(201), 4.0)]
+    far = at(10_000_000)
+    first = spark.createDataFrame(orders, "client_order_id string, symbol string, now timestamp")
+    prices = spark.createDataFrame(quotes, "symbol string, quote_ts timestamp, price double")
+    end, far_quote = spark.createDataFrame([("END", "END", far)], first.schema), spark.createDataFrame([("FAR", far, 0.0)], prices.schema)
+    live = ops.freshest_quotes(
+        slices(spark, str(tmp_path / "o"), first, end), slices(spark, str(tmp_path / "q"), prices, far_quote), 30
+    )
+    got = {r.client_order_id: r.price for r in runs.drain(live, "fresh").collect()}
+    assert got == {"quoted": 2.0, "later": 3.0, "stale": None, "none": None}

@@ -194,3 +194,54 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.ngram_join import jaccard_groups
 
     return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) AS c,
+         regexp_matches(body, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY body) AS e
+  FROM docs LEFT JOIN known USING (doc_id)),
+cells AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+         count(*) FILTER (WHERE toxic) AS toxic
+  FROM judged GROUP BY ALL),
+letter AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM letter p, letter q, letter r, letter s, letter t
+  WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+seen AS (
+  SELECT part, o, step, n, good, toxic, fails[o[step]] AS fails_this,
+         list_contains([fails[x] FOR x IN o[1:step - 1]], true) AS gone,
+         len([x FOR x IN fails IF x]) AS n_fails
+  FROM cells, steps),
+done AS (
+  SELECT part, o, step, sum(CASE WHEN NOT gone AND NOT fails_this THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT gone AND fails_this THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND fails_this THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails_this AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails_this THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND fails_this THEN toxic ELSE 0 END) AS toxic_lost
+  FROM seen GROUP BY part, o, step)
+SELECT part, array_to_string([chr(CAST(64 + x AS INTEGER)) FOR x IN o], '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM done
+"""

@@ -245,3 +245,79 @@ SELECT part, array_to_string([chr(CAST(64 + x AS INTEGER)) FOR x IN o], '') AS f
        CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
 FROM done
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS all_n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, CAST(sum(all_n) AS HUGEINT) AS all_total, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+own AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, CAST(coalesce(t.total, 0) AS HUGEINT) AS total, coalesce(l.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL) t USING (lang, source)
+  LEFT JOIN langs l ON l.lang = g.lang),
+filled AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+         1 + 1000000000 * (coalesce(o.n, 0) + 1) // (g.total + g.v) AS p,
+         1 + 1000000000 * (CAST(k.all_n AS HUGEINT) + 1) // (l.all_total + l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN own o USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM filled x JOIN filled y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+rows AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM filled WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.lsh_forest import near_groups
+
+    found = near_groups(table(spark, sf_dir, "documents"), size=2, least=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# Every pair that shares a shingle is counted, then the links are followed to their smallest ends.
+SQL["op12_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT u, v FROM (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * both >= 80 * (x.n + y.n - both)),
+reached AS (
+  SELECT doc_id, doc_id AS component_id FROM documents
+  UNION SELECT l.v, r.component_id FROM reached r JOIN links l ON l.u = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(component_id) AS component_id,
+       d.doc_id = min(component_id) AS kept
+FROM documents d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""

@@ -62,18 +62,22 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, fails (bits A to E), n, good, toxic: the tensors of all parts, as rows of their filled cells."""
-    own = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
-    ).mapInArrow(_flags, "doc_id long, part string, fails int, digest binary")
+    )
+    # Rows without an id have no label; apart, they are no burden to one task of the join.
+    own, nameless = (
+        rows.filter(x).mapInArrow(_flags, "doc_id long, part string, fails int, digest binary")
+        for x in ("doc_id IS NOT NULL", "doc_id IS NULL")
+    )
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id_")).agg(
         F.coalesce(F.max((F.col("quality") == 1).cast("long")), F.lit(0)).alias("good"),
         F.coalesce(F.max((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic"),
     )
     zero = [F.lit(0).cast("long").alias(k) for k in _KINDS[1:]]
-    # Rows without an id have no label; apart, they are no burden to one task of the join.
-    named = own.filter("doc_id IS NOT NULL").join(known, F.col("doc_id") == F.col("id_"), "left").drop("id_")
-    rows = named.na.fill(0, ["good", "toxic"]).unionByName(own.filter("doc_id IS NULL").select("*", *zero))
+    named = own.join(known, F.col("doc_id") == F.col("id_"), "left").drop("id_").na.fill(0, ["good", "toxic"])
+    rows = named.unionByName(nameless.select("*", *zero))
     # Copies of a text are counted by id before they meet, then by text and part: a group of copies is a few
     # rows for each task that holds some of them.
     like = ["digest", "part", "fails", "good", "toxic"]

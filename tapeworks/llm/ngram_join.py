@@ -2,11 +2,13 @@
 
 Two sets with a Jaccard similarity of 0.9 differ in few shingles. If a hash deals the shingles of both
 into more classes than they can differ in, some classes must agree whole; so sets that share no class
-never need to meet. Each set sends a hash for every class (of its own size band and the next one), and
-sets that share one are gathered in clusters. Within a cluster, every set searches an inverted index of
-shingles: the short lists of its shingles are merged with a heap, which gives the sets that occur often
-enough to be candidates; the long lists are probed by binary search, and a candidate is dropped as soon
-as it can't reach the overlap. A large cluster is cut into blocks, every pair of which is one task.
+never need to meet. Each set sends a hash for every class (of its own size band and the next one). Sets that
+share one are compared by their sizes and parity maps: each shingle flips one bit of a map, so two maps can't
+differ in more bits than the sets do in shingles. What that bound leaves is gathered in clusters. Within a
+cluster, every set searches an inverted index of shingles: the short lists of its shingles are merged with a
+heap, which gives the sets that occur often enough to be candidates; the long lists are probed by binary
+search, and a candidate is dropped as soon as it can't reach the overlap. A large cluster is cut into blocks,
+every pair of which is one task.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ SHINGLE = 3
 LEAST = 90
 #: Text whose class hashes meet in one task; sets of one block; sets of small clusters in one task.
 BUCKET_BYTES, BLOCK, BIN_SETS = 48 << 20, 1000, 2000
+#: Sets that share a class hash: in one task; in one group, beyond which they are taken for alike.
+TASK_SETS, CROWDED = 30_000, 4096
+#: Bits of a parity map: so many times the shingles that may differ, within these bounds.
+MAP_BITS, LEAST_BITS, MOST_BITS = 4, 64, 4096
 NO_ID = -(2**63)
 _PART_BYTES = 4 << 20
 #: Classes beyond those that may differ, at least: as many empty ones need not be sent.
@@ -97,6 +103,49 @@ def class_hashes(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity_map(found: np.ndarray, bands: Bands) -> bytes:
+    """Every shingle flips one bit; a power of two of them, so that maps of two lengths can be compared."""
+    want, bits = MAP_BITS * bands.differ(bands.of(len(found)) + 1), LEAST_BITS
+    while bits < min(want, MOST_BITS):
+        bits *= 2
+    odd = np.bincount(((found >> np.uint64(17)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class ParityMaps:
+    """Parity maps of the sets of a group, folded to the shortest, for bounds on how much sets differ."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray, least: int):
+        width = min(map(len, maps))
+        folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in maps]
+        self.maps, self.sizes, self.least = np.stack(folded).view(np.uint64), sizes, least
+
+    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
+        """False where set ``i`` can't be similar enough."""
+        apart = np.bitwise_count(self.maps[others] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+        total = self.sizes[others] + self.sizes[i]
+        near = 100 * np.minimum(self.sizes[others], self.sizes[i]) >= self.least * np.maximum(self.sizes[others], self.sizes[i])
+        return near & ((100 + self.least) * apart <= (100 - self.least) * total)
+
+    def joined(self) -> list[tuple[int, int]]:
+        """Pairs enough to join all sets that may belong together."""
+        left, queue, out = np.arange(len(self.sizes)), [], []
+        while len(left) + len(queue) > 1:
+            if queue:
+                at = queue.pop()
+            else:
+                at, left = int(left[0]), left[1:]
+            if not len(left):
+                break
+            like = self.may_link(at, left)
+            if like.any():
+                new = left[like].tolist()
+                out += [(at, x) for x in new]
+                queue += new
+                left = left[~like]
+        return out
+
+
 def _packed(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -105,26 +154,29 @@ def _open(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
-_FACT = {"edge": pa.bool_(), "doc_id": pa.int64(), "key_": pa.int64(), "n": pa.int64(),
-         "a1": pa.int64(), "a2": pa.int64(), "b1": pa.int64(), "b2": pa.int64()}
+#: kind 0: a document, whose set has the 128-bit hash a1, a2; 1: a set (a1) with the class hash x that others
+#: have too; 2: two sets (a1, a2) of a class hash that very many have.
+_FACT = {"kind": pa.int32(), "doc_id": pa.int64(), "key_": pa.int64(), "n": pa.int64(),
+         "a1": pa.int64(), "a2": pa.int64(), "x": pa.int64(), "map": pa.binary()}
+_X_BYTES = 5
 
 
-def sets_and_edges(docs: DataFrame, size: int, least: int, n_buckets: int) -> DataFrame:
-    """Rows of documents (doc_id, key_, n, and the set's 128-bit hash in a1, a2), and rows of edges
-    between sets that share a class hash, as stars around one of them."""
-    names = ("bucket", "docs", "n", "x", "ids", "keys", "sizes", "sets", "of")
+def sets_and_classes(docs: DataFrame, size: int, least: int, n_buckets: int) -> DataFrame:
+    """Rows of documents with their sets, and rows of sets that share a class hash with another one."""
+    names = ("bucket", "docs", "n", "x", "ids", "keys", "sizes", "sets", "of", "maps")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of, bands = WordHashes(), Bands(least)
         for batch in (p for b in batches for p in parts(b, "text", _PART_BYTES)):
             known: dict[bytes, int] = {}
-            own, sizes, classes = [], [], []
+            own, sizes, classes, maps = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 words = (text or b"").lower().split()
                 found = shingles(words, hashes_of.of(words), size)
                 key = xxhash.xxh3_128_digest(found.tobytes())
                 own.append(key)
                 sizes.append(len(found))
+                maps.append(parity_map(found, bands) if len(found) else b"")
                 if len(found) and key not in known:
                     known[key] = len(known)
                     classes.append(class_hashes(found, bands))
@@ -135,56 +187,103 @@ def sets_and_edges(docs: DataFrame, size: int, least: int, n_buckets: int) -> Da
                     out[k].append(v)
 
             ids, keys = np.asarray(batch.column("doc_id")), np.asarray(batch.column("key_"))
-            add(int(keys[0] % n_buckets), True, len(own), b"", _packed(ids), _packed(keys),
-                _packed(np.array(sizes)), _packed(np.frombuffer(b"".join(own), "<i8")), b"")
+            lengths = np.array([len(x) for x in maps], np.int32)
+            add(int(keys[0] % n_buckets), True, len(own), _packed(lengths), _packed(ids), _packed(keys),
+                _packed(np.array(sizes)), _packed(np.frombuffer(b"".join(own), "<i8")), b"",
+                zstandard.ZstdCompressor(level=1).compress(b"".join(maps)))
             if classes:
                 x = np.concatenate(classes)
                 of = np.repeat(np.arange(len(classes)), [len(c) for c in classes]).astype(np.int32)
-                sets = np.frombuffer(b"".join(known), "<i8").reshape(-1, 2)
+                sets = np.frombuffer(b"".join(known), "<i8").reshape(-1, 2)[:, 0]
                 bucket = (x >> np.uint64(11)) % np.uint64(n_buckets)
                 order = np.lexsort((x, bucket))
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     mine = order[cuts[b] : cuts[b + 1]]
                     held, here = np.unique(of[mine], return_inverse=True)
-                    add(int(b), False, len(mine), _packed(x[mine]), b"", b"", b"", _packed(sets[held]),
-                        _packed(here.astype(np.int32)))
-            kinds = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 6]
+                    short = x[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _X_BYTES :]
+                    kind = np.uint16 if len(held) < 1 << 16 else np.int32
+                    add(int(b), False, len(mine), _packed(short), b"", b"", b"", _packed(sets[held]),
+                        _packed(here.astype(kind)), b"")
+            kinds = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(names))
 
     def settle(table: pa.Table) -> pa.Table:
-        docs_, xs, sets = [], [], []
+        columns: dict[str, list] = {k: [] for k in _FACT}
+
+        def give(rows: int, **given) -> None:
+            none = np.zeros(rows, np.int64)
+            for k in _FACT:
+                columns[k].append(pa.array(given.get(k, [None] * rows if k == "map" else none), _FACT[k]))
+
+        xs, sets = [], []
         for row in table.to_pylist():
-            mine = _open(row["sets"], "<i8").reshape(-1, 2)
             if row["docs"]:
-                docs_.append((_open(row["ids"], "<i8"), _open(row["keys"], "<i8"), _open(row["sizes"], "<i8"), mine))
+                ends = np.cumsum(_open(row["x"], "<i4"))
+                maps, own = zstandard.decompress(row["maps"]), _open(row["sets"], "<i8").reshape(-1, 2)
+                give(row["n"], doc_id=_open(row["ids"], "<i8"), key_=_open(row["keys"], "<i8"), n=_open(row["sizes"], "<i8"),
+                     a1=own[:, 0], a2=own[:, 1],
+                     map=[maps[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
             else:
-                xs.append(_open(row["x"], "<u8"))
-                sets.append(mine[_open(row["of"], "<i4")])
-        columns = {k: [] for k in _FACT}
-        if docs_:
-            ids, keys, sizes, own = (np.concatenate(x) for x in zip(*docs_, strict=True))
-            none = np.zeros(len(ids), np.int64)
-            for k, v in zip(_FACT, (none > 0, ids, keys, sizes, own[:, 0], own[:, 1], none, none), strict=True):
-                columns[k].append(v)
+                x = np.zeros((row["n"], 8), np.uint8)
+                x[:, 8 - _X_BYTES :] = _open(row["x"], np.uint8).reshape(-1, _X_BYTES)
+                xs.append(x.view("<u8")[:, 0])
+                mine = _open(row["sets"], "<i8")
+                sets.append(mine[_open(row["of"], np.uint16 if len(mine) < 1 << 16 else np.int32)])
         if xs:
-            x, both = np.concatenate(xs), np.concatenate(sets)
-            order = np.lexsort((both[:, 1], both[:, 0], x))
-            x, both = x[order], both[order]
-            new = np.concatenate([[True], x[1:] != x[:-1]])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (both != both[first]).any(axis=1)
-            pairs = np.unique(np.hstack([both[first[later]], both[later]]), axis=0)
-            none = np.zeros(len(pairs), np.int64)
-            for k, v in zip(_FACT, (none == 0, none, none, none, *pairs.T), strict=True):
-                columns[k].append(v)
-        return pa.table({k: pa.array(np.concatenate(v) if v else [], _FACT[k]) for k, v in columns.items()})
+            x, own = np.concatenate(xs), np.concatenate(sets)
+            order = np.lexsort((own, x))
+            x, own = x[order], own[order]
+            new = np.append(True, (x[1:] != x[:-1]) | (own[1:] != own[:-1]))
+            x, own = x[new], own[new]
+            starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            m = np.repeat(np.diff(np.append(starts, len(x))), np.diff(np.append(starts, len(x))))
+            first = np.repeat(own[starts], np.diff(np.append(starts, len(x))))
+            # The same pair met in several classes is told once.
+            two, many = m == 2, (m > 2) & (m <= CROWDED)
+            lead = np.flatnonzero(two & (first == own))
+            pairs = np.unique(np.stack([own[lead], own[lead + 1]], axis=1), axis=0) if len(lead) else np.empty((0, 2), np.int64)
+            named = np.array([xxhash.xxh64_intdigest(p.tobytes()) for p in pairs], np.uint64)
+            some = np.concatenate([x[many] * _A, np.repeat(named, 2)]).view(np.int64)
+            give(len(some), kind=np.ones(len(some), np.int32), x=some, a1=np.concatenate([own[many], pairs.reshape(-1)]))
+            crowd = (m > CROWDED) & (first != own)
+            stars = np.unique(np.stack([first[crowd], own[crowd]], axis=1), axis=0)
+            give(len(stars), kind=np.full(len(stars), 2, np.int32), a1=stars[:, 0], a2=stars[:, 1])
+        return pa.table({k: pa.chunked_array(v, _FACT[k]) for k, v in columns.items()})
 
     sent = ", ".join(f"{k} binary" for k in names[3:])
-    facts = "edge boolean, " + ", ".join(f"{k} long" for k in list(_FACT)[1:])
+    facts = "kind int, " + ", ".join(f"{k} long" for k in list(_FACT)[1:-1]) + ", map binary"
     return docs.mapInArrow(send, f"bucket int, docs boolean, n int, {sent}").groupBy("bucket").applyInArrow(settle, facts)
 
 
+def candidates(shared: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """u, v: nodes of sets that share a class hash and may be similar enough, enough pairs to join all those."""
+
+    def bound(table: pa.Table) -> pa.Table:
+        x = np.asarray(table.column("x"))
+        order = np.lexsort((np.asarray(table.column("node")), x))
+        x, nodes, sizes = x[order], np.asarray(table.column("node"))[order], np.asarray(table.column("n"))[order]
+        maps = as_bytes(table.column("map").combine_chunks())
+        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist()
+        out: set[tuple[int, int]] = set()
+        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+            if b - a > 1:
+                group = ParityMaps([maps[i] for i in order[a:b].tolist()], sizes[a:b], least)
+                out.update((int(nodes[a + i]), int(nodes[a + j])) for i, j in group.joined())
+        u, v = zip(*sorted(out), strict=True) if out else ([], [])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    n_bins = 1 + shared.filter("kind = 1").count() // TASK_SETS
+    # The same group, or pair, met in several buckets is told once.
+    told = shared.filter("kind = 1").select("x", "a1").distinct()
+    named = told.join(reps.select("a1", "node", "n", "map"), "a1").withColumn("bin", F.pmod(F.xxhash64("x"), F.lit(n_bins)))
+    met = named.select("bin", "x", "node", "n", "map").groupBy("bin").applyInArrow(bound, "u long, v long")
+    ends = shared.filter("kind = 2").select("a1", F.col("a2").alias("b1")).distinct()
+    ends = ends.join(reps.select("a1", F.col("node").alias("u")), "a1")
+    ends = ends.join(reps.select(F.col("a1").alias("b1"), F.col("node").alias("v")), "b1")
+    return met.unionByName(ends.select("u", "v")).distinct()
+
+
 class Index:
     """Inverted lists over the sets of one block, searched as DivideSkip does."""
 
@@ -263,23 +362,23 @@ def _links(ids: list[int], sets: list[np.ndarray], asks: list[bool], gives: list
 
 
 def search_clusters(docs: DataFrame, clusters: DataFrame, size: int, least: int) -> DataFrame:
-    """u, v: links between the sets of each cluster. ``clusters``: doc_id, key_, cluster."""
+    """u, v: links between the sets of each cluster. ``clusters``: node, doc_id, key_, cluster."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
     n_bins = 1 + clusters.count() // BIN_SETS
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = clusters.join(sizes, "cluster").withColumn("blocks", blocks)
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id", "key_"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Small clusters share tasks; a large one has a task for each pair of its blocks.
     bins = F.pmod(F.xxhash64("cluster"), F.lit(n_bins)).cast("long")
-    placed = placed.select("doc_id", "key_", "cluster", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    placed = placed.select("node", "doc_id", "key_", "cluster", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     placed = placed.select(
-        "doc_id", "key_", "cluster", "own",
+        "node", "doc_id", "key_", "cluster", "own",
         F.struct(
             F.when(F.col("blocks") == 1, bins).otherwise(F.col("cluster")).alias("where"),
             F.col("blocks") > 1, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
         ).alias("task"),
     )
-    schema = "task string, cluster long, doc_id long, own int, i int, j int, found binary"
+    schema = "task string, cluster long, node long, own int, i int, j int, found binary"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
@@ -288,15 +387,15 @@ def search_clusters(docs: DataFrame, clusters: DataFrame, size: int, least: int)
             for text in as_bytes(batch.column("text")):
                 words = (text or b"").lower().split()
                 made.append(shingles(words, hashes_of.of(words), size).tobytes())
-            columns = [batch.column(k) for k in ("task", "cluster", "doc_id", "own", "i", "j")]
+            columns = [batch.column(k) for k in ("task", "cluster", "node", "own", "i", "j")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(made, pa.binary())], ["task", "cluster", "doc_id", "own", "i", "j", "found"]
+                [*columns, pa.array(made, pa.binary())], ["task", "cluster", "node", "own", "i", "j", "found"]
             )
 
     def join(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        table = table.sort_by([("cluster", "ascending"), ("doc_id", "ascending")])
-        rows = [table.column(k).to_pylist() for k in ("cluster", "doc_id", "own", "i", "j", "found")]
+        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")])
+        rows = [table.column(k).to_pylist() for k in ("cluster", "node", "own", "i", "j", "found")]
         for _, group in groupby(zip(*rows, strict=True), key=lambda r: r[0]):
             group = list(group)
             sets = [np.frombuffer(r[5], np.uint64) for r in group]
@@ -310,7 +409,7 @@ def search_clusters(docs: DataFrame, clusters: DataFrame, size: int, least: int)
     return (
         docs.join(placed, ["doc_id", "key_"])
         .select(
-            "text", F.to_json("task").alias("task"), "cluster", "doc_id", "own",
+            "text", F.to_json("task").alias("task"), "cluster", "node", "own",
             F.col("task.i").alias("i"), F.col("task.j").alias("j"),
         )
         .mapInArrow(make, schema)
@@ -336,25 +435,19 @@ def jaccard_groups(docs: DataFrame, *, size: int = SHINGLE, least: int = LEAST)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # The lower the threshold, the more class hashes for the same text (1 at 90 hundredths).
     weight = max(1, 19 * (100 - least) / (100 + least))
-    facts = staged(sets_and_edges(rows, size, least, 1 + int(n_bytes * weight) // BUCKET_BYTES), "sets")
-    members = facts.filter("NOT edge").select("doc_id", "key_", "n", "a1", "a2")
-    # One document stands for all with the same set.
-    reps = members.filter("n > 0").groupBy("a1", "a2").agg(F.min(F.struct("doc_id", "key_")).alias("rep"))
-    reps = staged(reps.select("a1", "a2", "rep.doc_id", "rep.key_"), "reps")
-    edges = facts.filter("edge").select("a1", "a2", "b1", "b2").distinct()
-    ends = edges.join(reps.select("a1", "a2", F.col("doc_id").alias("u")), ["a1", "a2"]).join(
-        reps.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("doc_id").alias("v")), ["b1", "b2"]
-    )
-    ends = staged(ends.select("u", "v"), "ends")
-    clusters = components(ends).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    clusters = reps.select("doc_id", "key_").join(clusters, "doc_id")
+    facts = staged(sets_and_classes(rows, size, least, 1 + int(n_bytes * weight) // BUCKET_BYTES), "sets")
+    members = facts.filter("kind = 0").select("doc_id", "key_", "n", "a1", "a2", "map")
+    # One document stands for all with the same set; sets have numbers of their own, as ids may be shared.
+    reps = members.filter("n > 0").groupBy("a1", "a2").agg(F.min(F.struct("doc_id", "key_", "n", "map")).alias("rep"))
+    reps = staged(reps.select("a1", "a2", "rep.*").withColumn("node", F.monotonically_increasing_id()), "reps")
+    clusters = components(staged(candidates(facts, reps, least), "ends"))
+    clusters = staged(reps.select("node", "doc_id", "key_").join(clusters.withColumnRenamed("component", "cluster"), "node"), "clusters")
     linked = components(staged(search_clusters(rows, clusters, size, least), "links"))
-    named = reps.select("a1", "a2", F.col("doc_id").alias("rep")).join(
-        linked.withColumnRenamed("node", "rep"), "rep", "left"
-    )
-    named = named.select("a1", "a2", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return members.join(named, ["a1", "a2"], "left").select(
+    named = reps.select("a1", "a2", "node", "doc_id").join(linked, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    firsts = named.groupBy("component").agg(F.min("doc_id").alias("first"))
+    named = staged(named.join(firsts, "component").select("a1", "a2", "first"), "named")
+    return members.drop("map").join(named, ["a1", "a2"], "left").select(
         F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "key_", F.col("n").alias("n_shingles"),
-        F.nullif(own, F.lit(NO_ID)).alias("component_id"),
+        F.nullif(F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")), F.lit(NO_ID)).alias("component_id"),
     )

@@ -311,9 +311,9 @@ shingles AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
   SELECT u, v FROM (
-    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared
     FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL)
-  JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * both >= 80 * (x.n + y.n - both)),
+  JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 reached AS (
   SELECT doc_id, doc_id AS component_id FROM documents
   UNION SELECT l.v, r.component_id FROM reached r JOIN links l ON l.u = r.doc_id)

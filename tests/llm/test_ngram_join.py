@@ -124,3 +124,30 @@ def test_components(spark):
     got = components(df).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_shared_ids_keep_texts_apart(spark):
+    rng = random.Random(8)
+    x, y = words(rng, 60, 5000), words(rng, 60, 5000)
+    rows = [(1, " ".join(x)), (5, " ".join(x[:-1])), (5, " ".join(y)), (9, " ".join(y[:-1]))]
+    got = ngram_join.jaccard_groups(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 5), (9, 5)]
+
+
+def test_crowded_class_hashes_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWDED", 4)
+    rows = near_copies(6)
+    assert run(spark, rows, size=5, least=80) == brute(rows, 5, 80)
+
+
+def test_parity_maps_never_rule_out_a_link():
+    rng, bands = np.random.default_rng(5), ngram_join.Bands(80)
+    for _ in range(300):
+        n = int(rng.integers(4, 3000))
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        new = rng.integers(0, 2**63, int(rng.integers(0, n // 9 + 2)), dtype=np.uint64)
+        other = np.unique(np.concatenate([base[int(rng.integers(0, n // 9 + 1)) :], new]))
+        both = len(np.intersect1d(base, other))
+        maps = [ngram_join.parity_map(x, bands) for x in (base, other)]
+        may = ngram_join.ParityMaps(maps, np.array([len(base), len(other)]), 80).may_link(0, np.array([1]))[0]
+        assert may or 100 * both < 80 * (len(base) + len(other) - both)

@@ -61,7 +61,7 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token), token))
         self.automaton.make_automaton()
-        self.encode = ChunkEncoder(self._text, MEMO)
+        self.encode = ChunkEncoder(self._text, limit=MEMO)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """No merge across the border would have come before those that made the two tokens.

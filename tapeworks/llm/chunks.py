@@ -40,28 +40,37 @@ _MARKS = frozenset(".,;:!?")
 _PLAIN = chr(0x250)
 
 
+def _is_word(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or max(text) < _PLAIN)
+
+
 class _Chunks(Memo):
     """Ids of what follows a space. A word with a mark behind it is put together, not kept."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int):
-        super().__init__(lambda rest: encode(" " + rest), limit)
+    def __init__(self, encode: Callable[[str], bytes], limit: int, word: Callable[[str], bytes] | None):
+        def make(rest: str) -> bytes:
+            return (word if word and _is_word(rest) else encode)(" " + rest)
+
+        super().__init__(make, limit)
         self.marks = {x: encode(x) for x in _MARKS}
 
     def __missing__(self, rest: str) -> bytes:
         if rest[-1:] in _MARKS:
             word = rest[:-1]
-            if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+            if _is_word(word):
                 return self[word] + self.marks[rest[-1]]
         return super().__missing__(rest)
 
 
 class ChunkEncoder:
-    """``encode`` maps any text to packed ids; texts are cut where that changes nothing. At most twice
-    ``limit`` chunks are kept."""
+    """``encode`` maps any text to packed ids, ``word`` a space and a word of letters where that can be had
+    cheaper; texts are cut where that changes nothing. At most twice ``limit`` chunks are kept."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 700_000):
+    def __init__(
+        self, encode: Callable[[str], bytes], word: Callable[[str], bytes] | None = None, limit: int = 700_000
+    ):
         self.encode = encode
-        self.after_space = _Chunks(encode, limit)
+        self.after_space = _Chunks(encode, limit, word)
 
     def __call__(self, text: str) -> bytes:
         if _UNSAFE.search(text):

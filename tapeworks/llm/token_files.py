@@ -124,6 +124,11 @@ def read_file(path: str) -> Iterator[tuple[int | None, list[np.ndarray]]]:
             yield doc_id, pieces
 
 
+#: The letter that stands for each byte: itself where it can be seen, else the next one from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
+
+
 class LibraryEncoder:
     """The tokenizers library over chunks, each met chunk or word encoded once.
 
@@ -137,7 +142,16 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_str(definition)
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.chunked = ChunkEncoder(self._library)
+        # With the split pattern of byte-level BPE, a space and a word of letters are one piece, which the
+        # library's model takes as it is, without splitting and offsets.
+        split = json.loads(definition).get("pre_tokenizer") or {}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        unchanged = self.library.normalizer is None and plain.items() <= split.items()
+        self.chunked = ChunkEncoder(self._library, self._word if unchanged else None)
+
+    def _word(self, word: str) -> bytes:
+        piece = word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [x.id for x in self.library.model.tokenize(piece)]).tobytes()
 
     def _library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids

@@ -60,3 +60,12 @@ def test_no_documents_and_broken_file(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"short, but long enough")
     with pytest.raises(ValueError, match="whole token file"):
         list(tf.read_file(f"file://{tmp_path}/x"))
+
+
+def test_plain_words_encode_as_the_library():
+    encode = tf.LibraryEncoder(DEFINITION)
+    letters = [chr(x) for x in range(0x250) if chr(x).isalpha()]
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        word = " " + "".join(rng.choice(letters, int(rng.integers(1, 14))))
+        assert encode("x" + word).tolist()[-1:] and encode(word).tolist() == LIBRARY.encode(word).ids, word

@@ -65,6 +65,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder == 2, F.lit(True))
 
 
+def last_hash(most: int, n: int) -> int:
+    """The 64-bit hash up to which a share of ``most`` of ``n`` rows lies, however many there are."""
+    return -(2**63) - 1 + max(1, min(2**64, most * 2**64 // n))
+
+
 def learn(
     docs: DataFrame, *, profile: int = PROFILE, most_docs: int = LEARN_DOCS
 ) -> dict[str, list[int]]:
@@ -80,10 +85,10 @@ def learn(
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    share = F.lit(0)
+    upto = F.lit(0)
     for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(1_000_000, most_docs * 1_000_000 // n)).otherwise(share)
-    taken = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "text")
+        upto = F.when(F.col("lang") == lang, F.lit(last_hash(most_docs, n))).otherwise(upto)
+    taken = labelled.filter(F.xxhash64("id") <= upto).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

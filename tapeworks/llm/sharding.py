@@ -14,19 +14,46 @@ from pyspark.sql import functions as F
 
 from tapeworks.session import staged
 
-#: About so many rows are ordered in one task.
-PART_ROWS = 50_000
+#: About so many rows are ordered in one task, and the most partitions that are drawn for; beyond a thousand
+#: million rows partitions grow instead, and Spark sorts them with spills.
+PART_ROWS, MOST_PARTS = 50_000, 20_000
 _COPIES = 1 << 16
 
 
+def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn from ``good`` and ``bad`` ones are good; no number is too large.
+
+    Chances relative to the likeliest count follow from ratios of neighbours, as far as they are above 1e-16
+    of it or so.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = good + bad
+    top = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1)))
+    reach = int(12 * spread) + 40
+    up = np.arange(top, min(high, top + reach), dtype=np.float64)
+    down = np.arange(top, max(low, top - reach), -1, dtype=np.float64)
+    rise = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    fall = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    chances = np.cumsum(np.concatenate([fall[::-1], [1.0], rise]))
+    at = int(np.searchsorted(chances, rng.random() * chances[-1], "right"))
+    return top - len(fall) + min(at, len(chances) - 1)
+
+
 def matrix(rows: list[int], n_shards: int, seed: int) -> np.ndarray:
     """Counts from each partition to each shard: row sums as given, column sums one apart at most."""
     total = sum(rows)
-    left = np.array([total // n_shards + (s < total % n_shards) for s in range(n_shards)], np.int64)
+    left = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     rng, out = np.random.default_rng(seed), np.zeros((len(rows), n_shards), np.int64)
     for i, n in enumerate(rows):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals") if n else 0
-        left -= out[i]
+        rest = sum(left)
+        for s in range(n_shards):
+            rest -= left[s]
+            out[i, s] = _drawn(rng, left[s], rest, n)
+            n -= int(out[i, s])
+            left[s] -= int(out[i, s])
     return out
 
 
@@ -62,7 +89,7 @@ def shuffle_rows(docs: DataFrame, n_shards: int = 8, *, seed: int = 7) -> DataFr
     )
     row_hash = [F.xxhash64(F.lit(seed + k), *columns, "block", "copy") for k in range(3)]
     n = docs.count()
-    n_parts = 1 + n // PART_ROWS
+    n_parts = min(1 + n // PART_ROWS, MOST_PARTS)
     placed = each.select(
         *columns,
         F.pmod(row_hash[0], F.lit(n_parts)).cast("int").alias("part"),

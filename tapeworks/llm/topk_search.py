@@ -23,6 +23,8 @@ SEGMENTS = (1, 4, 16)
 STEP = 1024
 _EXACT = 2.0**53
 _LONG = 2**63 - 1
+#: Components beyond this count as this, so that squares stay finite; their scores are beyond a long anyway.
+_WIDEST = 1e150
 
 
 def _statistics(rows: np.ndarray, segments: int) -> np.ndarray:
@@ -105,7 +107,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, *, scale: float =
     component, or has a null vec_id, takes no part; vectors meet only others of their length. Repeated
     candidates count as often as they stand there; a repeated query is asked once, and queries that
     share a vec_id but not the vector each get their list. Scores beyond a long become its limit
-    before they are compared.
+    before they are compared; scaled components beyond 1e150 count as 1e150.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, *, scale: float =
         rows = rows.filter("id IS NOT NULL AND v IS NOT NULL").filter(
             F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         )
-        scaled = F.transform("v", lambda x: x * scale)
+        scaled = F.transform("v", lambda x: F.greatest(F.least(x * scale, F.lit(_WIDEST)), F.lit(-_WIDEST)))
         return rows.select("id", scaled.alias("vector"), F.size("v").alias("dim"), F.xxhash64("v").alias("key"))
 
     asked = valid(queries).dropDuplicates(["id", "vector"])

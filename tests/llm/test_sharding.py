@@ -54,3 +54,22 @@ def test_places_are_uniform(spark):
 
 def test_no_rows(spark):
     assert sharding.shuffle_rows(frame(spark, [])).count() == 0
+
+
+def test_matrix_beyond_a_thousand_million_rows():
+    rows = [2_000_000_000, 1_999_999_993, 0, 7]
+    counts = sharding.matrix(rows, 8, 3)
+    sizes = counts.sum(axis=0)
+    assert counts.sum(axis=1).tolist() == rows and sizes.max() - sizes.min() <= 1 and (counts >= 0).all()
+    # Each cell lies within a few standard deviations of its mean.
+    assert abs(counts[0, 0] - 250_000_000) < 8 * 2e4
+
+
+def test_draws_follow_the_hypergeometric_law():
+    rng = np.random.default_rng(5)
+    for good, bad, n in [(5, 9, 6), (400, 300, 120), (3, 100_000, 50_000), (10**10, 10**10, 40)]:
+        got = np.array([sharding._drawn(rng, good, bad, n) for _ in range(4000)])
+        mean = n * good / (good + bad)
+        spread = np.sqrt(mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1))
+        assert abs(got.mean() - mean) < 5 * spread / np.sqrt(4000) and abs(got.std() / spread - 1) < 0.06
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)

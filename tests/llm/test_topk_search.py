@@ -52,3 +52,9 @@ def test_few_candidates_large_values_and_no_rows(spark):
     assert run(spark, rows, rows) == brute(rows, rows)
     assert run(spark, [], rows) == set()
     assert run(spark, rows[:1], []) == set()
+
+
+def test_widest_finite_components(spark):
+    df = spark.createDataFrame([(0, [1e307, 1.0]), (1, [1.0, 1.0]), (2, [-1e308, 2.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = search(df.filter("vec_id = 1"), df, 3).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(0, 2**63 - 1), (3, 2 * 256 * 128), (2, -(2**63))]

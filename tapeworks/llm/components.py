@@ -64,13 +64,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Read back as tables of their own, so that the joins can split the rows of a hub.
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = (
             both.filter("v > u").join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         )
         large = staged(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         edges = staged(
             small.select("u", F.col("m").alias("v"))

@@ -1,18 +1,29 @@
 """Average-cost ledger, marks, snapshots and equity curves from tables of fills.
 
-The cost basis of a position follows ``basis' = a * basis + b``: a buy adds its value, a sell
-keeps the share of the quantity that is left. Such steps compose, so a long history is folded
-in blocks: every block becomes one (a, b), the blocks are chained, and each block is then
-replayed from its starting basis. No account or symbol has to fit in one task.
+Two things depend on every earlier fill of a position: whether a sell finds enough, and what the shares held
+have cost. Both are worked on in blocks. The effect of a block of fills on the quantity held before it is an
+interval-shift map: starting quantities fall into intervals, each moved by a number of its own. The effect on
+average price and fees is affine. Maps compose, so the starting states of blocks follow from one row a block,
+and every block is then replayed. No account or symbol has to fit in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.functions.blocks import (
+    BITS,
+    continued,
+    grouped_rows,
+    ordered_blocks,
+    schema_of,
+    starting_states,
+)
 from tapeworks.functions.cells import local_date
 from tapeworks.functions.series import BLOCK, Grid, running
 from tapeworks.session import staged
@@ -20,141 +31,235 @@ from tapeworks.session import staged
 KEYS = ["account", "symbol"]
 ORDER = ["ts", "client_order_id"]
 VALUE = "decimal(26,4)"
+SHARE = "decimal(28,8)"
 
 
 def _signed(amount: Column) -> Column:
     return F.when(F.col("side") == "buy", amount).otherwise(-amount)
 
 
-def inventory_clamp(fills: DataFrame, grid: Grid) -> DataFrame:
-    """Long-only acceptance of unit sells: a sell needs something held.
+class ShiftMap:
+    """What a run of fills makes of any quantity held before it, up to ``most``.
 
-    The held quantity is a running sum reflected at zero, so it is the running sum minus its
-    running minimum, and no step depends on an earlier decision. That holds for sells of one unit
-    only; a larger one fails the job instead of being judged wrongly.
+    ``lows`` are the first quantities of each interval, ``shifts`` what is added there. A sell acts only on
+    quantities that hold enough, so it splits the interval in which its own size, seen backwards, lies.
     """
-    bucket = grid.bucket("ts")
-    large = (F.col("side") == "sell") & (F.col("quantity") > 1)
-    refused = F.raise_error(F.lit("inventory_clamp takes sells of one unit")).cast("bigint")
-    step = F.when(large, refused).otherwise(_signed(F.col("quantity")))
-    df = staged(running(fills, KEYS, ORDER, bucket, {"_sum": ("sum", step)}), "inventory")
-    df = running(df, KEYS, ORDER, bucket, {"_low": ("min", F.col("_sum"))}, include_current=False)
-    before = F.col("_sum") - step - F.least(F.coalesce("_low", F.lit(0)), F.lit(0))
-    return df.withColumn("held_before", before).withColumn(
-        "accepted", (F.col("side") == "buy") | (F.col("held_before") >= F.col("quantity"))
-    ).drop("_sum", "_low")
-
-
-def _then(acc: Column, a: Column, b: Column, f: Column) -> Column:
-    """Compose an accumulated map with one more step."""
-    return F.struct(
-        (acc["a"] * a).alias("a"), (acc["b"] * a + b).alias("b"), (acc["f"] * a + f).alias("f")
-    )
 
+    def __init__(self, lows: np.ndarray, shifts: np.ndarray, most: int):
+        self.lows, self.shifts, self.most = lows, shifts, most
+
+    @classmethod
+    def of(cls, buys: list[bool], quantities: list[int], most: int) -> ShiftMap:
+        lows, shifts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for buy, quantity in zip(buys, quantities, strict=True):
+            if buy:
+                shifts = shifts + quantity
+                continue
+            need = quantity - shifts  # the least start that holds enough
+            ends = np.append(lows[1:], most + 1)
+            whole, cut = need <= lows, (need > lows) & (need < ends)
+            moved = np.where(whole, shifts - quantity, shifts)
+            if cut.any():
+                at = np.flatnonzero(cut) + 1
+                lows = np.insert(lows, at, need[cut])
+                moved = np.insert(moved, at, shifts[cut] - quantity)
+            new = np.append(True, moved[1:] != moved[:-1])
+            lows, shifts = lows[new], moved[new]
+        return cls(lows, shifts, most)
+
+    def at(self, quantity: int) -> int:
+        return quantity + int(self.shifts[np.searchsorted(self.lows, quantity, "right") - 1])
+
+    def then(self, later: ShiftMap) -> ShiftMap:
+        """This map and a later one as one; ``later`` must take whatever this one gives."""
+        lows, shifts = [], []
+        ends = np.append(self.lows[1:], self.most + 1)
+        for low, end, shift in zip(self.lows.tolist(), ends.tolist(), self.shifts.tolist(), strict=True):
+            i = int(np.searchsorted(later.lows, low + shift, "right")) - 1
+            j = int(np.searchsorted(later.lows, end + shift, "left"))
+            lows += [low, *(later.lows[i + 1 : j] - shift).tolist()]
+            shifts += (later.shifts[i:j] + shift).tolist()
+        lows, shifts = np.array(lows, np.int64), np.array(shifts, np.int64)
+        new = np.append(True, shifts[1:] != shifts[:-1])
+        return ShiftMap(lows[new], shifts[new], self.most)
+
+    def pack(self) -> bytes:
+        return struct.pack("<q", self.most) + self.lows.astype("<i8").tobytes() + self.shifts.astype("<i8").tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> ShiftMap:
+        both = np.frombuffer(raw, "<i8")
+        n = len(both) // 2
+        return cls(both[1 : n + 1], both[n + 1 :], int(both[0]))
+
+
+def _shift_maps(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """keys, at, map for every block of a key that goes on in a later one.
+
+    A position is never larger than a bound that is easy to follow: a sell of s leaves at most the larger of
+    what it would leave if accepted, and s - 1 if not. It keeps maps small where sells are often refused.
+    """
+    on = [*KEYS, BLOCK]
+    inside = Window.partitionBy(*on).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    moved = _signed(F.col("quantity"))
+    held = rows.join(blocks.filter("more"), on).select(*on, "at", *ORDER, "side", "quantity", F.sum(moved).over(inside).alias("_sum"))
+    refused = F.max(F.when(F.col("side") == "sell", F.col("quantity") - 1 - F.col("_sum")))
+    bounds = held.groupBy(*on, "at").agg(F.sum(moved).alias("_net"), refused.alias("_over"))
+    earlier = Window.partitionBy(*KEYS).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = bounds.withColumn("_base", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
+    peak = F.greatest(F.lit(0), F.max(F.col("_over") - F.col("_base")).over(earlier))
+    bounds = bounds.select(*on, (F.col("_base") + peak).alias("_most"))
+
+    def make(key: tuple, table: pa.Table) -> pa.Table:
+        table, _ = grouped_rows(table, KEYS, ORDER)
+        buys = [x == "buy" for x in table.column("side").to_pylist()]
+        found = ShiftMap.of(buys, table.column("quantity").to_pylist(), table.column("_most")[0].as_py())
+        own = {k: table.column(k).slice(0, 1) for k in (*KEYS, "at")}
+        return pa.table(own | {"map": pa.array([found.pack()], pa.binary())})
+
+    named = schema_of(rows, KEYS)
+    return held.drop("_sum").join(bounds, on).groupBy(*on).applyInArrow(make, f"{named}, at long, map binary")
+
+
+def _with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame) -> DataFrame:
+    """``state`` of the block before, null where a key begins. One row a block of a key that goes on."""
+    starts = blocks.join(states.withColumn("at", F.col("at") + 1), [*KEYS, "at"])
+    return rows.join(starts.select(*KEYS, BLOCK, "state"), [*KEYS, BLOCK], "left")
+
+
+def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = BITS, levels: int = 1) -> DataFrame:
+    """Long-only acceptance: a sell needs as much held as it sells, else it is refused and changes nothing.
+
+    Adds held_before and accepted. Quantities are whole numbers from 1 on. Fills of a position follow each
+    other by ts, then client_order_id; rows equal in all of these are taken in any order.
+    """
+    rows = ordered_blocks(fills, KEYS, ORDER, bits=bits)
+    blocks = staged(continued(rows, KEYS), "blocks")
+    states = starting_states(
+        _shift_maps(rows, blocks), KEYS, [0],
+        lambda a, b: ShiftMap.unpack(a).then(ShiftMap.unpack(b)).pack(),
+        lambda state, x: [float(ShiftMap.unpack(x).at(int(state[0])))], levels=levels,
+    )
 
-def _identity() -> Column:
-    return F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("f"))
+    def replay(table: pa.Table) -> pa.Table:
+        table, starts = grouped_rows(table, KEYS, ORDER)
+        sides, quantities = table.column("side").to_pylist(), table.column("quantity").to_pylist()
+        given, before, accepted = table.column("state"), [], []
+        for a, b in zip(starts, starts[1:], strict=False):
+            held = int((given[a].as_py() or [0])[0])
+            for side, quantity in zip(sides[a:b], quantities[a:b], strict=True):
+                taken = side == "buy" or held >= quantity
+                before.append(held)
+                accepted.append(taken)
+                if taken:
+                    held += quantity if side == "buy" else -quantity
+        table = table.drop_columns(["state"]).append_column("held_before", pa.array(before, pa.int64()))
+        return table.append_column("accepted", pa.array(accepted, pa.bool_()))
 
+    schema = f"{schema_of(rows, rows.columns)}, held_before long, accepted boolean"
+    joined = _with_start(rows, blocks, states).select(*rows.columns, "state")
+    return joined.groupBy(BLOCK).applyInArrow(replay, schema)
 
-def _chain(maps: DataFrame, keys: Sequence[str], position: str, levels: int) -> DataFrame:
-    """For every map of a key, the state (basis ``b``, fees ``f``) right before it.
 
-    ``levels`` times, 512 neighbouring maps are first composed into one, so the list that is
-    finally folded for a key is 512**levels times shorter than its number of maps.
-    """
-    fanout = 512
-    packed = F.struct(F.col(position).alias("at"), "a", "b", "f")
-    if levels:
-        grouped = maps.withColumn("_group", F.floor(F.col(position) / F.lit(fanout)))
-        composed = grouped.groupBy(*keys, "_group").agg(
-            F.array_sort(F.collect_list(packed)).alias("_maps")
-        )
-        whole = F.aggregate(
-            "_maps", _identity(), lambda acc, m: _then(acc, m["a"], m["b"], m["f"])
-        )
-        upper = composed.select(*keys, "_group", whole.alias("w")).select(*keys, "_group", "w.*")
-        start = _chain(upper, keys, "_group", levels - 1).withColumnsRenamed({"b": "_b0", "f": "_f0"})
-        lists = composed.join(start, [*keys, "_group"])
-        first_b, first_f = F.col("_b0"), F.col("_f0")
-    else:
-        lists = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("_maps"))
-        first_b = first_f = F.lit(0.0)
-    out_type = "array<struct<at:bigint,b:double,f:double>>"
-    begin = F.struct(
-        first_b.alias("b"), first_f.alias("f"), F.array().cast(out_type).alias("out")
-    )
+_PREFIX = ["_a0", "_a1", "_m0", "_m1", "_g0", "_g1", "_f0", "_f1"]
 
-    def step(acc: Column, m: Column) -> Column:
-        here = F.struct(m["at"].alias("at"), acc["b"].alias("b"), acc["f"].alias("f"))
-        return F.struct(
-            (acc["b"] * m["a"] + m["b"]).alias("b"),
-            (acc["f"] * m["a"] + m["f"]).alias("f"),
-            F.concat(acc["out"], F.array(here).cast(out_type)).alias("out"),
-        )
 
-    states = F.aggregate("_maps", begin, step, lambda acc: acc["out"])
-    return lists.select(*keys, F.inline(states)).withColumnRenamed("at", position)
+def _affine_then(first: bytes, later: bytes) -> bytes:
+    a, m, g, f = struct.unpack("<4d", first)
+    a2, m2, g2, f2 = struct.unpack("<4d", later)
+    return struct.pack("<4d", a * a2, m * a2 + m2, g * g2, f * g2 + f2)
 
 
-def ledger(fills: DataFrame, grid: Grid, *, block_rows: int = 64, levels: int = 1) -> DataFrame:
-    """Per accepted fill: quantities, average price, remaining entry fees, realised P&L.
+def _affine_step(state: list[float], one: bytes) -> list[float]:
+    a, m, g, f = struct.unpack("<4d", one)
+    return [a * state[0] + m, g * state[1] + f]
+
 
-    Entry fees are allocated pro rata on sells; pass a zero ``cost`` for the plain ledger. A
-    fill that would go short is flagged in ``oversold`` (it should have been screened out).
+def _prefixes(table: pa.Table) -> pa.Table:
+    """Quantities, and average and fees after each fill as an affine function of those before the block.
+
+    Average: ``a * start + m``; fees: ``g * start + f``.
     """
-    df = running(
-        fills,
-        KEYS,
-        ORDER,
-        grid.bucket("ts"),
-        {"quantity_after": ("sum", _signed(F.col("quantity"))), "_nth": ("count", F.lit(1))},
-    ).withColumn(BLOCK, F.floor((F.col("_nth") - 1) / F.lit(block_rows)))
-    df = df.withColumn("quantity_before", F.col("quantity_after") - _signed(F.col("quantity")))
-    buying = F.col("side") == "buy"
-    value = F.col("price").cast("double") * F.col("quantity")
-    kept = F.coalesce(
-        F.try_divide(F.col("quantity_after").cast("double"), F.col("quantity_before")), F.lit(0.0)
-    )
-    df = df.withColumns(
-        {
-            "_a": F.when(buying, F.lit(1.0)).otherwise(kept),
-            "_b": F.when(buying, value).otherwise(F.lit(0.0)),
-            "_f": F.when(buying, F.col("cost").cast("double")).otherwise(F.lit(0.0)),
-        }
-    )
-    values = [c for c in df.columns if c not in (*KEYS, *ORDER, BLOCK, "_nth")]
-    blocks = df.groupBy(*KEYS, BLOCK).agg(
-        F.array_sort(F.collect_list(F.struct(*ORDER, *values))).alias("_rows")
-    )
-    blocks = staged(blocks, "ledger-blocks")
-    whole = F.aggregate(
-        "_rows", _identity(), lambda acc, r: _then(acc, r["_a"], r["_b"], r["_f"])
-    )
-    maps = blocks.select(*KEYS, BLOCK, whole.alias("w")).select(*KEYS, BLOCK, "w.*")
-    start = _chain(maps, KEYS, BLOCK, levels)
-    out_type = "array<struct<basis_before:double,fees_before:double>>"
-
-    def step(acc: Column, r: Column) -> Column:
-        here = F.struct(acc["b"].alias("basis_before"), acc["f"].alias("fees_before"))
-        return F.struct(
-            (acc["b"] * r["_a"] + r["_b"]).alias("b"),
-            (acc["f"] * r["_a"] + r["_f"]).alias("f"),
-            F.concat(acc["out"], F.array(here).cast(out_type)).alias("out"),
-        )
+    table, starts = grouped_rows(table, KEYS, ORDER)
+    sides, quantities, first = (table.column(k).to_pylist() for k in ("side", "quantity", "_held0"))
+    prices = table.column("price").cast(pa.float64()).to_pylist()
+    costs = table.column("cost").cast(pa.float64()).to_pylist()
+    short = table.column("_short").to_pylist()
+    out: list[list] = [[] for _ in range(11)]
+    for i, b in zip(starts, starts[1:], strict=False):
+        held, a, m, g, f, over = first[i], 1.0, 0.0, 1.0, 0.0, short[i]
+        for k in range(i, b):
+            quantity, before = quantities[k], (a, m, g, f)
+            old = held
+            if sides[k] == "buy":
+                held += quantity
+                a, m = (a * old / held, (m * old + prices[k] * quantity) / held) if held else (0.0, 0.0)
+                f += costs[k]
+            else:
+                held -= quantity
+                if held <= 0:
+                    a = m = g = f = 0.0
+                else:
+                    g, f = g - g * quantity / old, f - f * quantity / old
+            over = over or held < 0
+            row = (old, held, over, before[0], a, before[1], m, before[2], g, before[3], f)
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 8]
+    table = table.drop_columns(["_held0", "_short"])
+    for name, kind, column in zip(["quantity_before", "quantity_after", "oversold", *_PREFIX], kinds, out, strict=True):
+        table = table.append_column(name, pa.array(column, kind))
+    return table
+
+
+def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 << BITS, levels: int = 1) -> DataFrame:
+    """Per accepted fill: quantities, average price, remaining entry fees, realised P&L.
 
-    begin = F.struct(F.col("b"), F.col("f"), F.array().cast(out_type).alias("out"))
-    states = F.aggregate("_rows", begin, step, lambda acc: acc["out"])
-    replay = blocks.join(start, [*KEYS, BLOCK]).select(*KEYS, "_rows", states.alias("_states"))
-    flat = replay.select(*KEYS, F.inline(F.arrays_zip("_rows", "_states"))).select(
-        *KEYS, "_rows.*", "_states.*"
-    )
+    Entry fees are allocated pro rata on sells; pass a zero ``cost`` for the plain ledger. A fill that would
+    go short should have been screened out: it and all later ones of its position are flagged in ``oversold``.
+    Rows that come from ``inventory_clamp`` keep their blocks.
+    """
+    if BLOCK in fills.columns:
+        rows = fills
+        if "accepted" in rows.columns:
+            rows = rows.filter("accepted").drop("accepted", "held_before")
+        rows = staged(rows, "accepted")
+    else:
+        rows = ordered_blocks(fills, KEYS, ORDER, bits=max(0, (block_rows - 1).bit_length()))
+    own, on = list(rows.columns), [*KEYS, BLOCK]
+    along = Window.partitionBy(*KEYS).orderBy(BLOCK)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    nets = rows.groupBy(*on).agg(F.sum(_signed(F.col("quantity"))).alias("_net"))
+    blocks = staged(nets.select(
+        *on, (F.row_number().over(along) - 1).cast("long").alias("at"), F.lead(BLOCK).over(along).isNotNull().alias("more"),
+        F.sum("_net").over(earlier).alias("_held0"),
+    ), "blocks")
+    begun = rows.join(blocks.filter("at > 0").select(*on, "_held0"), on, "left").select(*own, "_held0").na.fill(0, ["_held0"])
+    kinds = "quantity_before long, quantity_after long, oversold boolean, " + ", ".join(f"{k} double" for k in _PREFIX)
+    found = begun.withColumn("_short", F.col("_held0") < 0).groupBy(BLOCK).applyInArrow(_prefixes, f"{schema_of(rows, own)}, {kinds}")
+    found = staged(found, "prefixes")
+    ends = found.join(blocks.filter("more").select(*on, "at"), on)
+    ends = ends.withColumn("_row", F.row_number().over(Window.partitionBy(*on).orderBy(*[F.desc(c) for c in ORDER]))).filter("_row = 1")
+
+    def packed(batches):
+        for batch in batches:
+            maps = zip(*[batch.column(k).to_pylist() for k in ("_a1", "_m1", "_g1", "_f1")], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in (*KEYS, "at")], pa.array([struct.pack("<4d", *x) for x in maps], pa.binary())],
+                [*KEYS, "at", "map"],
+            )
+
+    maps = ends.select(*KEYS, "at", "_a1", "_m1", "_g1", "_f1").mapInArrow(packed, f"{schema_of(rows, KEYS)}, at long, map binary")
+    states = starting_states(maps, KEYS, [0, 0], _affine_then, _affine_step, levels=levels)
     c = F.col
-    selling = c("side") == "sell"
+    flat = _with_start(found, blocks, states)
+    average, fees = (F.coalesce(F.get("state", i), F.lit(0.0)) for i in (F.lit(0), F.lit(1)))
     flat = flat.withColumns(
         {
-            "basis_after": c("basis_before") * c("_a") + c("_b"),
-            "fees_after": c("fees_before") * c("_a") + c("_f"),
-            "average_before": F.try_divide(c("basis_before"), c("quantity_before")),
+            "average_before": c("_a0") * average + c("_m0"),
+            "_average": c("_a1") * average + c("_m1"),
+            "fees_before": c("_g0") * fees + c("_f0"),
+            "fees_after": c("_g1") * fees + c("_f1"),
         }
     )
     share = F.try_divide(c("fees_before") * c("quantity"), c("quantity_before"))
@@ -163,13 +268,16 @@ def ledger(fills: DataFrame, grid: Grid, *, block_rows: int = 64, levels: int =
         - share
         - c("cost").cast("double")
     )
-    return flat.withColumns(
+    held = c("quantity_after") > 0
+    flat = flat.withColumns(
         {
-            "average_price": F.try_divide(c("basis_after"), c("quantity_after")),
-            "realized_pnl": F.when(selling, realised).otherwise(F.lit(0.0)),
-            "oversold": c("quantity_after") < 0,
+            "average_price": F.when(held, c("_average")),
+            "basis_before": c("average_before") * c("quantity_before"),
+            "basis_after": c("_average") * c("quantity_after"),
+            "realized_pnl": F.when(c("side") == "sell", realised).otherwise(F.lit(0.0)),
         }
-    ).drop("_a", "_b", "_f")
+    )
+    return flat.drop(*_PREFIX, "_average", "state", BLOCK)
 
 
 def open_positions(book: DataFrame) -> DataFrame:
@@ -207,11 +315,14 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
     """Account state after every instant with a fill or a mark.
 
     Each event changes an account by a known amount, so states are running sums of the changes
-    added up per instant. ``marks`` holds (symbol, ts, price) closes; they apply after fills
+    added up per instant. A fill marks its position at the ``open`` seen then, if the book has it,
+    else at its price. ``marks`` holds (symbol, ts, price) closes; they apply after fills
     of the same instant. ``book`` is read several times and should be a stored table.
     """
     c = F.col
     money = lambda n: c(n).cast("double")
+    # Sums of these are the same in any order.
+    exact = lambda n: c(n).cast(SHARE)
     price_q = (c("price") * c("quantity").cast("decimal(12,0)")).cast(VALUE)
     fill_events = book.select(
         *KEYS,
@@ -219,12 +330,12 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
         F.lit(0).alias("_side"),
         c("client_order_id").alias("_id"),
         c("quantity_after").cast("double").alias("_q"),
-        money("price").alias("_m"),
+        money("open" if "open" in book.columns else "price").alias("_m"),
         F.when(c("side") == "buy", -price_q - c("cost")).otherwise(price_q - c("cost")).cast(VALUE)
         .alias("_cash"),
-        (c("basis_after") - c("basis_before") + c("fees_after") - c("fees_before"))
+        (exact("basis_after") + exact("fees_after") - exact("basis_before") - exact("fees_before")).cast(SHARE)
         .alias("_carried"),
-        c("realized_pnl").alias("_realized"),
+        exact("realized_pnl").alias("_realized"),
     )
     held = book.select(*KEYS).distinct()
     mark_events = marks.join(held, "symbol").select(
@@ -235,8 +346,8 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
         F.lit(None).cast("double").alias("_q"),
         money("price").alias("_m"),
         F.lit(0).cast(VALUE).alias("_cash"),
-        F.lit(0.0).alias("_carried"),
-        F.lit(0.0).alias("_realized"),
+        F.lit(0).cast(SHARE).alias("_carried"),
+        F.lit(0).cast(SHARE).alias("_realized"),
     )
     line = running(
         fill_events.unionByName(mark_events),
@@ -251,8 +362,8 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
     changes = staged(line.groupBy("account", "ts").agg(
         F.sum("_cash").cast(VALUE).alias("_cash"),
         F.sum(new - old).alias("_exposure"),
-        F.sum("_carried").alias("_carried"),
-        F.sum("_realized").alias("_realized"),
+        F.sum("_carried").cast(SHARE).alias("_carried"),
+        F.sum("_realized").cast(SHARE).alias("_realized"),
     ), "account-changes")
     sums = running(
         changes,
@@ -273,8 +384,8 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
         cash.alias("cash"),
         "exposure",
         (cash.cast("double") + c("exposure")).alias("equity"),
-        "realized_pnl",
-        (c("exposure") - c("carried")).alias("unrealized_pnl"),
+        c("realized_pnl").cast("double").alias("realized_pnl"),
+        (c("exposure") - c("carried").cast("double")).alias("unrealized_pnl"),
     )
 
 

@@ -90,7 +90,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item; unit sells and small buys so that inventory matters."""
+    """One row per line item; about a third are sells, many of more than is held."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = table(spark, sf_dir, "lineitem")
     sell = F.col("l_returnflag") == "R"
@@ -103,10 +103,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
             F.col("p_brand").alias("symbol"),
             F.when(sell, "sell").otherwise("buy").alias("side"),
-            F.when(sell, F.lit(1))
-            .otherwise((F.col("l_linenumber") == 1).cast("bigint") + 1)
-            .cast("bigint")
-            .alias("quantity"),
+            F.col("l_quantity").cast("bigint").alias("quantity"),
             _money("l_extendedprice").alias("price"),
             F.round(F.col("l_tax") * 100, 0).cast("decimal(18,2)").alias("cost"),
             F.col("l_shipdate").cast("timestamp").alias("ts"),

@@ -46,8 +46,7 @@ view("book", "SELECT * FROM book_steps WHERE accepted")
 
 
 def _accepted(spark, sf):
-    clamped = led.inventory_clamp(fx.fills(spark, sf), GRID)
-    return clamped.filter("accepted").drop("held_before", "accepted")
+    return led.inventory_clamp(fx.fills(spark, sf), GRID)
 
 
 def _book(spark, sf):

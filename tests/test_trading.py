@@ -262,10 +262,57 @@ def test_order_ids_are_valid_for_any_instrument_name(spark):
     assert re.fullmatch(S.ORDER_ID_PATTERN, got.client_order_id)
 
 
-def test_clamp_refuses_what_it_can_not_judge(spark):
-    rows = [("A", "S", "o1", "buy", 2, NOW), ("A", "S", "o2", "sell", 2, NOW + timedelta(hours=1))]
+def clamp_loop(fills):
+    held, out = {}, {}
+    for account, symbol, order, side, quantity, _ in sorted(fills, key=lambda r: (r[0], r[1], r[5], r[2])):
+        have = held.get((account, symbol), 0)
+        ok = side == "buy" or have >= quantity
+        held[account, symbol] = have + (quantity if side == "buy" else -quantity) * ok
+        out[account, symbol, order] = (have, ok)
+    return out
+
+
+@pytest.mark.parametrize(("bits", "levels", "sells"), [(16, 1, 0.4), (3, 1, 0.5), (2, 2, 0.7)])
+def test_clamp_takes_sells_of_any_size(spark, bits, levels, sells):
+    rng, rows = random.Random(bits), []
+    for i in range(700):
+        symbol = "HOT" if i % 10 else f"S{i % 3}"  # one position has nearly all fills
+        side = "sell" if rng.random() < sells else "buy"
+        rows.append(("A", symbol, f"o{i:04d}", side, rng.choice([1, 2, 7, 40]), NOW + timedelta(minutes=i // 5)))
     df = spark.createDataFrame(
         rows, "account string, symbol string, client_order_id string, side string, quantity bigint, ts timestamp"
     )
-    with pytest.raises(Exception, match="one unit"):
-        led.inventory_clamp(df, GRID).collect()
+    got = led.inventory_clamp(df.repartition(5), bits=bits, levels=levels).collect()
+    assert {(r.account, r.symbol, r.client_order_id): (r.held_before, r.accepted) for r in got} == clamp_loop(rows)
+    if bits < 16:
+        sizes = {}
+        for r in got:
+            sizes[r["_block"]] = sizes.get(r["_block"], 0) + 1
+        assert max(sizes.values()) <= 1 << bits
+    assert led.inventory_clamp(df.limit(0)).count() == 0
+
+
+def test_shift_maps_compose():
+    rng = random.Random(4)
+    for _ in range(60):
+        runs = [[(rng.random() < 0.4, rng.randint(1, 30)) for _ in range(rng.randrange(0, 12))] for _ in range(2)]
+        first, whole = (led.ShiftMap.of([b for b, _ in x], [q for _, q in x], 60) for x in (runs[0], runs[0] + runs[1]))
+        second = led.ShiftMap.of([b for b, _ in runs[1]], [q for _, q in runs[1]], 60 + 12 * 30)
+        both = led.ShiftMap.unpack(first.then(second).pack())
+        for start in range(61):
+            held = start
+            for buy, quantity in runs[0] + runs[1]:
+                held += quantity if buy else -quantity if held >= quantity else 0
+            assert whole.at(start) == both.at(start) == held
+
+
+def test_a_fill_marks_at_the_open_it_saw(spark):
+    fills = fill_table(spark, [("A", "buy", 10, 101, 0), ("A", "sell", 4, 120, 0)]).withColumn("open", F.lit(D("100.00")))
+    book = led.ledger(fills)
+    states = led.snapshots(book, fills.select("symbol", "ts", "price").limit(0), GRID, "100000").orderBy("ts").collect()
+    assert [r.exposure for r in states] == [1000, 600] and states[0].equity == pytest.approx(99990)
+
+
+def test_all_after_an_oversell_is_flagged(spark):
+    book = led.ledger(fill_table(spark, [("A", "buy", 1, 5, 0), ("A", "sell", 2, 5, 0), ("A", "buy", 9, 5, 0), ("B", "buy", 1, 5, 0)]))
+    assert [(r.symbol, r.oversold) for r in book.orderBy("symbol", "ts").collect()] == [("A", False), ("A", True), ("A", True), ("B", False)]

@@ -24,7 +24,7 @@ TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else
 #: Bytes of a text that are split at once; terms of a task that are added up before they are given on.
 _PIECE, _HELD = 8 << 20, 400_000
 #: Shares that a task compares at once (terms times sources).
-CELLS = 4_000_000
+CELLS = 400_000
 
 
 def pieces(text: bytes, most: int = _PIECE) -> Iterator[bytes]:

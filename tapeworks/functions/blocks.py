@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.series import BLOCK
@@ -22,13 +22,17 @@ from tapeworks.session import staged
 BITS = 16
 
 
-def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS) -> DataFrame:
-    """``df`` with ``_block``, which never falls along (keys, order); rows equal in both may be parted.
+def ordered_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, tie: Column | None = None
+) -> DataFrame:
+    """``df`` with ``_block``, which never falls along (keys, order). With ``tie``, rows equal in both are
+    parted by it, so that very many of them don't meet in one task.
 
     The table is written, as what a sample cut once must stay cut.
     """
     columns = [c for c in df.columns if c != BLOCK]
-    ranged = df.select(*columns).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    by = [F.col(c) for c in (*keys, *order)] + ([] if tie is None else [tie])
+    ranged = df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by)
     number = F.shiftright(F.monotonically_increasing_id(), bits)
     return staged(ranged.withColumn(BLOCK, number), "ordered")
 
@@ -54,6 +58,12 @@ def continued(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``state`` of the block before, null where a key begins. One row a block of a key that goes on is joined."""
+    starts = blocks.join(states.withColumn("at", F.col("at") + 1), [*keys, "at"])
+    return rows.join(starts.select(*keys, BLOCK, "state"), [*keys, BLOCK], "left")
+
+
 def starting_states(
     maps: DataFrame,
     keys: Sequence[str],

@@ -1,31 +1,23 @@
 """Average-cost ledger, marks, snapshots and equity curves from tables of fills.
 
 Two things depend on every earlier fill of a position: whether a sell finds enough, and what the shares held
-have cost. Both are worked on in blocks. The effect of a block of fills on the quantity held before it is an
-interval-shift map: starting quantities fall into intervals, each moved by a number of its own. The effect on
-average price and fees is affine. Maps compose, so the starting states of blocks follow from one row a block,
-and every block is then replayed. No account or symbol has to fit in one task.
+have cost. Both are worked on in blocks: the effect of a block on what came before it is a map (of the
+quantity by intervals, of average price and fees affine). Maps compose, so the starting states of blocks
+follow from one row a block. No account or symbol has to fit in one task.
 """
 
 from __future__ import annotations
 
 import struct
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.blocks import (
-    BITS,
-    continued,
-    grouped_rows,
-    ordered_blocks,
-    schema_of,
-    starting_states,
-)
+from tapeworks.functions.blocks import BITS, grouped_rows, ordered_blocks, schema_of, starting_states, with_start
 from tapeworks.functions.cells import local_date
 from tapeworks.functions.series import BLOCK, Grid, running
+from tapeworks.functions.shift_maps import DELTA, START, accept_in_order
 from tapeworks.session import staged
 
 KEYS = ["account", "symbol"]
@@ -38,95 +30,6 @@ def _signed(amount: Column) -> Column:
     return F.when(F.col("side") == "buy", amount).otherwise(-amount)
 
 
-class ShiftMap:
-    """What a run of fills makes of any quantity held before it, up to ``most``.
-
-    ``lows`` are the first quantities of each interval, ``shifts`` what is added there. A sell acts only on
-    quantities that hold enough, so it splits the interval in which its own size, seen backwards, lies.
-    """
-
-    def __init__(self, lows: np.ndarray, shifts: np.ndarray, most: int):
-        self.lows, self.shifts, self.most = lows, shifts, most
-
-    @classmethod
-    def of(cls, buys: list[bool], quantities: list[int], most: int) -> ShiftMap:
-        lows, shifts = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for buy, quantity in zip(buys, quantities, strict=True):
-            if buy:
-                shifts = shifts + quantity
-                continue
-            need = quantity - shifts  # the least start that holds enough
-            ends = np.append(lows[1:], most + 1)
-            whole, cut = need <= lows, (need > lows) & (need < ends)
-            moved = np.where(whole, shifts - quantity, shifts)
-            if cut.any():
-                at = np.flatnonzero(cut) + 1
-                lows = np.insert(lows, at, need[cut])
-                moved = np.insert(moved, at, shifts[cut] - quantity)
-            new = np.append(True, moved[1:] != moved[:-1])
-            lows, shifts = lows[new], moved[new]
-        return cls(lows, shifts, most)
-
-    def at(self, quantity: int) -> int:
-        return quantity + int(self.shifts[np.searchsorted(self.lows, quantity, "right") - 1])
-
-    def then(self, later: ShiftMap) -> ShiftMap:
-        """This map and a later one as one; ``later`` must take whatever this one gives."""
-        lows, shifts = [], []
-        ends = np.append(self.lows[1:], self.most + 1)
-        for low, end, shift in zip(self.lows.tolist(), ends.tolist(), self.shifts.tolist(), strict=True):
-            i = int(np.searchsorted(later.lows, low + shift, "right")) - 1
-            j = int(np.searchsorted(later.lows, end + shift, "left"))
-            lows += [low, *(later.lows[i + 1 : j] - shift).tolist()]
-            shifts += (later.shifts[i:j] + shift).tolist()
-        lows, shifts = np.array(lows, np.int64), np.array(shifts, np.int64)
-        new = np.append(True, shifts[1:] != shifts[:-1])
-        return ShiftMap(lows[new], shifts[new], self.most)
-
-    def pack(self) -> bytes:
-        return struct.pack("<q", self.most) + self.lows.astype("<i8").tobytes() + self.shifts.astype("<i8").tobytes()
-
-    @classmethod
-    def unpack(cls, raw: bytes) -> ShiftMap:
-        both = np.frombuffer(raw, "<i8")
-        n = len(both) // 2
-        return cls(both[1 : n + 1], both[n + 1 :], int(both[0]))
-
-
-def _shift_maps(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """keys, at, map for every block of a key that goes on in a later one.
-
-    A position is never larger than a bound that is easy to follow: a sell of s leaves at most the larger of
-    what it would leave if accepted, and s - 1 if not. It keeps maps small where sells are often refused.
-    """
-    on = [*KEYS, BLOCK]
-    inside = Window.partitionBy(*on).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    moved = _signed(F.col("quantity"))
-    held = rows.join(blocks.filter("more"), on).select(*on, "at", *ORDER, "side", "quantity", F.sum(moved).over(inside).alias("_sum"))
-    refused = F.max(F.when(F.col("side") == "sell", F.col("quantity") - 1 - F.col("_sum")))
-    bounds = held.groupBy(*on, "at").agg(F.sum(moved).alias("_net"), refused.alias("_over"))
-    earlier = Window.partitionBy(*KEYS).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = bounds.withColumn("_base", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
-    peak = F.greatest(F.lit(0), F.max(F.col("_over") - F.col("_base")).over(earlier))
-    bounds = bounds.select(*on, (F.col("_base") + peak).alias("_most"))
-
-    def make(key: tuple, table: pa.Table) -> pa.Table:
-        table, _ = grouped_rows(table, KEYS, ORDER)
-        buys = [x == "buy" for x in table.column("side").to_pylist()]
-        found = ShiftMap.of(buys, table.column("quantity").to_pylist(), table.column("_most")[0].as_py())
-        own = {k: table.column(k).slice(0, 1) for k in (*KEYS, "at")}
-        return pa.table(own | {"map": pa.array([found.pack()], pa.binary())})
-
-    named = schema_of(rows, KEYS)
-    return held.drop("_sum").join(bounds, on).groupBy(*on).applyInArrow(make, f"{named}, at long, map binary")
-
-
-def _with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame) -> DataFrame:
-    """``state`` of the block before, null where a key begins. One row a block of a key that goes on."""
-    starts = blocks.join(states.withColumn("at", F.col("at") + 1), [*KEYS, "at"])
-    return rows.join(starts.select(*KEYS, BLOCK, "state"), [*KEYS, BLOCK], "left")
-
-
 def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = BITS, levels: int = 1) -> DataFrame:
     """Long-only acceptance: a sell needs as much held as it sells, else it is refused and changes nothing.
 
@@ -134,31 +37,8 @@ def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = B
     other by ts, then client_order_id; rows equal in all of these are taken in any order.
     """
     rows = ordered_blocks(fills, KEYS, ORDER, bits=bits)
-    blocks = staged(continued(rows, KEYS), "blocks")
-    states = starting_states(
-        _shift_maps(rows, blocks), KEYS, [0],
-        lambda a, b: ShiftMap.unpack(a).then(ShiftMap.unpack(b)).pack(),
-        lambda state, x: [float(ShiftMap.unpack(x).at(int(state[0])))], levels=levels,
-    )
-
-    def replay(table: pa.Table) -> pa.Table:
-        table, starts = grouped_rows(table, KEYS, ORDER)
-        sides, quantities = table.column("side").to_pylist(), table.column("quantity").to_pylist()
-        given, before, accepted = table.column("state"), [], []
-        for a, b in zip(starts, starts[1:], strict=False):
-            held = int((given[a].as_py() or [0])[0])
-            for side, quantity in zip(sides[a:b], quantities[a:b], strict=True):
-                taken = side == "buy" or held >= quantity
-                before.append(held)
-                accepted.append(taken)
-                if taken:
-                    held += quantity if side == "buy" else -quantity
-        table = table.drop_columns(["state"]).append_column("held_before", pa.array(before, pa.int64()))
-        return table.append_column("accepted", pa.array(accepted, pa.bool_()))
-
-    schema = f"{schema_of(rows, rows.columns)}, held_before long, accepted boolean"
-    joined = _with_start(rows, blocks, states).select(*rows.columns, "state")
-    return joined.groupBy(BLOCK).applyInArrow(replay, schema)
+    rows = rows.withColumns({DELTA: _signed(F.col("quantity")), START: F.lit(0).cast("long")})
+    return accept_in_order(rows, KEYS, ORDER, levels=levels)
 
 
 _PREFIX = ["_a0", "_a1", "_m0", "_m1", "_g0", "_g1", "_f0", "_f1"]
@@ -252,7 +132,7 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
     maps = ends.select(*KEYS, "at", "_a1", "_m1", "_g1", "_f1").mapInArrow(packed, f"{schema_of(rows, KEYS)}, at long, map binary")
     states = starting_states(maps, KEYS, [0, 0], _affine_then, _affine_step, levels=levels)
     c = F.col
-    flat = _with_start(found, blocks, states)
+    flat = with_start(found, blocks, states, KEYS)
     average, fees = (F.coalesce(F.get("state", i), F.lit(0.0)) for i in (F.lit(0), F.lit(1)))
     flat = flat.withColumns(
         {
@@ -349,27 +229,28 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
         F.lit(0).cast(SHARE).alias("_carried"),
         F.lit(0).cast(SHARE).alias("_realized"),
     )
+    events = ordered_blocks(fill_events.unionByName(mark_events), KEYS, ["ts", "_side", "_id"])
     line = running(
-        fill_events.unionByName(mark_events),
+        events,
         KEYS,
         ["ts", "_side", "_id"],
-        grid.bucket("ts"),
+        c(BLOCK),
         {"_q0": ("last", c("_q")), "_m0": ("last", c("_m"))},
         include_current=False,
     )
     old = F.coalesce(c("_q0") * c("_m0"), F.lit(0.0))
     new = F.coalesce(c("_q"), c("_q0"), F.lit(0.0)) * c("_m")
-    changes = staged(line.groupBy("account", "ts").agg(
+    changes = ordered_blocks(line.groupBy("account", "ts").agg(
         F.sum("_cash").cast(VALUE).alias("_cash"),
         F.sum(new - old).alias("_exposure"),
         F.sum("_carried").cast(SHARE).alias("_carried"),
         F.sum("_realized").cast(SHARE).alias("_realized"),
-    ), "account-changes")
+    ), ["account"], ["ts"])
     sums = running(
         changes,
         ["account"],
         ["ts"],
-        grid.bucket("ts"),
+        c(BLOCK),
         {
             "cash_moved": ("sum", c("_cash")),
             "exposure": ("sum", c("_exposure")),

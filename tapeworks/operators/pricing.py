@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.functions.blocks import BITS, ordered_blocks
 from tapeworks.functions.cells import failed
 from tapeworks.functions.indicators import frame, lagged
-from tapeworks.functions.series import Grid, owned, running
+from tapeworks.functions.series import BLOCK, Grid, owned, running
+from tapeworks.functions.shift_maps import DELTA, START, accept_in_order
 from tapeworks.operators.sessions import next_after
 from tapeworks.session import staged
 
@@ -212,82 +213,63 @@ def partial_fills(orders: DataFrame, grid: Grid, fraction: str | float = "1") ->
     wanted = F.coalesce(wanted - F.try_mod(wanted, lot), F.lit(0))
     room = F.coalesce(F.col("capacity") - F.try_mod(F.col("capacity"), lot), F.lit(0))
     df = orders.withColumns({"_want": F.when(F.col("eligible"), wanted).otherwise(0), "_room": room})
+    df = ordered_blocks(df, GROUP, ["arrival"])
     df = running(
-        df, GROUP, ["arrival"], F.shiftright("arrival", 16), {"_taken": ("sum", F.col("_want"))},
-        include_current=False,
-    )
+        df, GROUP, ["arrival"], F.col(BLOCK), {"_taken": ("sum", F.col("_want"))}, include_current=False
+    )
     left = F.greatest(F.col("_room") - F.coalesce("_taken", F.lit(0)), F.lit(0))
     filled = F.least("_want", left).cast("bigint")
     df = df.withColumn("filled_quantity", filled)
     reason = F.when(F.col("eligible") & (F.col("filled_quantity") <= 0), "no_fill_quantity")
-    return df.withColumn("liquidity_reason", reason).drop("_want", "_room", "_taken")
+    return df.withColumn("liquidity_reason", reason).drop("_want", "_room", "_taken", BLOCK)
+
 
+def rejected_fills(orders: DataFrame) -> DataFrame:
+    """The mode in which nothing is filled: every eligible order is refused with its own reason."""
+    return orders.withColumns(
+        {
+            "accepted": F.lit(False),
+            "liquidity_reason": F.when(F.col("eligible"), "fill_model_reject"),
+        }
+    )
 
-def full_fills(orders: DataFrame, grid: Grid) -> DataFrame:
+
+def full_fills(orders: DataFrame, grid: Grid | None = None, *, bits: int = BITS) -> DataFrame:
     """All-or-nothing fills against the prior volume, in arrival order.
 
     A rejected order takes nothing, so each decision depends on the ones before it. Three
     exact reductions leave little for the ordered pass: an order above the capacity is
     rejected outright; a group whose total fits is accepted whole; and orders whose running
-    total still fits are accepted by prefix sum. Only what follows the first overflow of a
-    contested group is scanned row by row, with one number of state per group.
+    total still fits are accepted by prefix sum. What follows the first overflow of a contested
+    group is settled in blocks, by maps from the room left before a block to what it leaves.
     """
     df = orders.withColumn(
         "_ask", F.when(F.col("eligible") & (F.col("quantity") <= F.col("capacity")), F.col("quantity"))
     )
-    df = running(
-        df, GROUP, ["arrival"], F.shiftright("arrival", 16), {"_upto": ("sum", F.col("_ask"))}
-    )
-    df = staged(df, "asks")
+    df = ordered_blocks(df, GROUP, ["arrival"], bits=bits)
+    df = running(df, GROUP, ["arrival"], F.col(BLOCK), {"_upto": ("sum", F.col("_ask"))})
+    df = staged(df.drop(BLOCK), "asks")
     asks = F.col("_ask").isNotNull()
     fits = asks & (F.col("_upto") <= F.col("capacity"))
     overflow = (
-        df.filter(asks & ~fits)
+        df.filter(asks)
         .groupBy(*GROUP)
-        .agg(F.min("arrival").alias("_over"), F.min("_upto").alias("_first"))
+        .agg(F.min(F.when(~fits, F.col("arrival"))).alias("_over"), F.max(F.when(fits, F.col("_upto"))).alias("_spent"))
     )
-    df = df.join(overflow, GROUP, "left")
+    df = df.join(overflow.filter("_over IS NOT NULL"), GROUP, "left")
     before = F.col("_over").isNull() | (F.col("arrival") < F.col("_over"))
-    settled = df.filter(before | ~asks).withColumn("accepted", fits)
-    contested = df.filter(~before & asks)
-    schema = contested.withColumn("accepted", F.lit(True)).schema
-    spent = (
-        df.filter(fits & before & F.col("_over").isNotNull())
-        .groupBy(*GROUP)
-        .agg(F.max("_upto").alias("_spent"))
-    )
-    contested = contested.join(spent, GROUP, "left").withColumn(
-        "_left", F.col("capacity") - F.coalesce("_spent", F.lit(0))
-    )
-    # What cannot fit in the room that is left is rejected before the ordered pass.
-    small = F.col("_ask") <= F.col("_left")
-    hopeless = contested.filter(~small).withColumn("accepted", F.lit(False))
-    ordered = (
-        contested.filter(small)
-        .repartition(*GROUP)
-        .sortWithinPartitions(*GROUP, "arrival")
-        .drop("_spent")
-    )
-    columns = [f.name for f in schema]
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, room = None, 0
-        for batch in batches:
-            keys = zip(*[batch[c] for c in GROUP], strict=True)
-            accepted = []
-            for key, ask, left in zip(keys, batch["_ask"], batch["_left"], strict=True):
-                if key != group:
-                    group, room = key, left
-                accepted.append(ask <= room)
-                room -= ask if ask <= room else 0
-            yield batch.assign(accepted=accepted)[columns]
-
-    scanned = ordered.mapInPandas(take, schema)
-    done = settled.unionByName(hopeless.select(*settled.columns)).unionByName(scanned)
+    left = F.col("capacity") - F.coalesce("_spent", F.lit(0))
+    # What can't fit in the room that is left is rejected before the ordered pass.
+    hopeless = ~before & asks & (F.col("_ask") > left)
+    settled = df.filter(before | ~asks | hopeless).withColumn("accepted", fits & ~hopeless)
+    contested = df.filter(~before & asks & (F.col("_ask") <= left))
+    contested = contested.withColumns({DELTA: (-F.col("_ask")).cast("long"), START: left.cast("long")})
+    taken = accept_in_order(ordered_blocks(contested, GROUP, ["arrival"], bits=bits), GROUP, ["arrival"])
+    done = settled.unionByName(taken.select(*settled.columns))
     reason = F.when(F.col("eligible") & ~F.col("accepted"), "partial_fill_unsupported")
     return done.withColumn("accepted", F.coalesce("accepted", F.lit(False))).withColumn(
         "liquidity_reason", reason
-    ).drop("_ask", "_upto", "_over", "_first")
+    ).drop("_ask", "_upto", "_over", "_spent")
 
 
 def fill_status(orders: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.functions.blocks import ordered_blocks
 from tapeworks.functions.cells import local_date
-from tapeworks.functions.series import Grid, running
+from tapeworks.functions.series import BLOCK, Grid, running
 from tapeworks.schemas import CONTRACTS
 
 
@@ -56,8 +57,8 @@ def next_after(
 ) -> DataFrame:
     """Forward as-of: for each left row the first right row of its key strictly later.
 
-    Both sides are put on one timeline and scanned in time buckets with a carry from later
-    buckets, so neither a range join nor a whole key in one task is needed. On equal times the
+    Both sides are put on one timeline and scanned in blocks of counted size with a carry from later
+    blocks, so neither a range join nor a whole key in one task is needed. On equal times the
     right row comes first, so it is not taken.
     """
     return _asof(left, right, keys, columns, grid, prefix, "next", left_rank=1)
@@ -83,9 +84,10 @@ def _asof(left, right, keys, columns, grid, prefix, kind, left_rank) -> DataFram
         *keys, "ts", F.struct(*left.columns).alias("_row"), F.lit(left_rank).alias("_side")
     )
     timeline = packed.unionByName(events, allowMissingColumns=True)
-    scanned = running(
-        timeline, keys, ["ts", "_side"], grid.bucket("ts"), {"_found": (kind, F.col("_hit"))}
-    )
+    # Orders may crowd at one time, so pieces follow from counted rows, and equal times are parted too.
+    tie = F.xxhash64("_row", "_hit")
+    timeline = ordered_blocks(timeline, keys, ["ts", "_side"], tie=tie)
+    scanned = running(timeline, keys, ["ts", "_side"], F.col(BLOCK), {"_found": (kind, F.col("_hit"))})
     found = scanned.filter(F.col("_side") == left_rank)
     return found.select(
         "_row.*",

@@ -449,6 +449,18 @@ def liquidity_fold(spark, sf):
     )
 
 
+@query(
+    "liquidity_reject",
+    f"""SELECT instrument_id, {sql_stamp("executed_at")} AS executed_at, arrival, false AS accepted,
+    CASE WHEN eligible THEN 'fill_model_reject' END AS liquidity_reason FROM open_orders""",
+)
+def liquidity_reject(spark, sf):
+    rows = pricing.rejected_fills(_open_orders(spark, sf))
+    return rows.select(
+        "instrument_id", stamp("executed_at").alias("executed_at"), "arrival", "accepted", "liquidity_reason"
+    )
+
+
 def _part_take(q: str) -> str:
     want = f"least(CAST(floor({q}.quantity * 0.29) AS BIGINT), r.rest) // {q}.lot_size * {q}.lot_size"
     got = f"CASE WHEN {q}.eligible THEN {want} ELSE 0 END"

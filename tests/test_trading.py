@@ -6,7 +6,9 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from tapeworks.functions.blocks import ordered_blocks
 from tapeworks.functions.series import Grid
+from tapeworks.functions.shift_maps import ShiftMap
 from tapeworks.operators import ledger as led
 from tapeworks.operators import performance as perf
 from tapeworks.operators import pricing, reconcile, risk, sessions, signals
@@ -295,17 +297,47 @@ def test_clamp_takes_sells_of_any_size(spark, bits, levels, sells):
 def test_shift_maps_compose():
     rng = random.Random(4)
     for _ in range(60):
-        runs = [[(rng.random() < 0.4, rng.randint(1, 30)) for _ in range(rng.randrange(0, 12))] for _ in range(2)]
-        first, whole = (led.ShiftMap.of([b for b, _ in x], [q for _, q in x], 60) for x in (runs[0], runs[0] + runs[1]))
-        second = led.ShiftMap.of([b for b, _ in runs[1]], [q for _, q in runs[1]], 60 + 12 * 30)
-        both = led.ShiftMap.unpack(first.then(second).pack())
+        runs = [[rng.randint(1, 30) * rng.choice([1, -1, -1]) for _ in range(rng.randrange(0, 12))] for _ in range(2)]
+        first, whole = ShiftMap.of(runs[0], 60), ShiftMap.of(runs[0] + runs[1], 60)
+        second = ShiftMap.of(runs[1], 60 + 12 * 30)
+        both = ShiftMap.unpack(first.then(second).pack())
         for start in range(61):
             held = start
-            for buy, quantity in runs[0] + runs[1]:
-                held += quantity if buy else -quantity if held >= quantity else 0
+            for delta in runs[0] + runs[1]:
+                held += delta if held + delta >= 0 else 0
             assert whole.at(start) == both.at(start) == held
 
 
+def test_hot_contested_group_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(NOW, i, rng.choice([1, 3, 50, 400]), 5000, rng.random() > 0.1) for i in range(900)]
+    rows += [(NOW + timedelta(days=1), i, 7, 20, True) for i in range(9)]
+    df = spark.createDataFrame(
+        rows, "executed_at timestamp, arrival bigint, quantity bigint, capacity bigint, eligible boolean"
+    ).withColumn("instrument_id", F.lit("A"))
+    got = {(r.executed_at.timestamp(), r.arrival): r.accepted for r in pricing.full_fills(df, bits=4).collect()}
+    assert got == {(d.timestamp(), a): ok for (d, a), ok in liquidity(rows).items()}
+    refused = pricing.rejected_fills(df).collect()
+    assert {(r.accepted, r.liquidity_reason) for r in refused} == {(False, "fill_model_reject"), (False, None)}
+
+
+def test_blocks_are_bounded_by_counts(spark):
+    # Nine tenths of the rows belong to one key and one minute.
+    rows = [("HOT" if i % 10 else f"K{i}", NOW, i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would share a task
+    cut = ordered_blocks(df, ["k"], ["ts"], bits=7, tie=F.xxhash64("v"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in cut.groupBy("_block").count().collect()]
+    assert max(sizes) <= 128 and sum(sizes) == 20_000
+    tasks = [r["count"] for r in cut.groupBy(F.shiftright("_block", 33 - 7)).count().collect()]
+    assert len(tasks) > 1 and max(tasks) < 0.5 * 20_000
+    left = df.withColumn("o", F.lit("order"))
+    bars = spark.createDataFrame([("HOT", NOW + timedelta(days=1), 5.0)], "k string, ts timestamp, price double")
+    found = sessions.next_after(left, bars, ["k"], ["price"], GRID).groupBy("next_price").count().collect()
+    assert {r.next_price: r["count"] for r in found} == {5.0: 18_000, None: 2_000}
+
+
 def test_a_fill_marks_at_the_open_it_saw(spark):
     fills = fill_table(spark, [("A", "buy", 10, 101, 0), ("A", "sell", 4, 120, 0)]).withColumn("open", F.lit(D("100.00")))
     book = led.ledger(fills)

@@ -75,7 +75,7 @@ def main() -> None:
         "features_all": lambda: sink(build_features(bars, DAILY)),
         "label_rows": lambda: sink(labels.label_rows(bars, DAILY, 5, 0.05, 0.6, 0.5)),
         "walk_forward": lambda: sink(
-            splits.part_ranges(splits.assign_parts(dataset, DAILY, splits.Folds(600, 150, 200)))
+            splits.fold_ranges(dataset, DAILY, splits.Folds(600, 150, 200))
         ),
         "next_open_fill": lambda: sink(
             pricing.next_open(prices.select("instrument_id", "ts"), prices.drop("volume"), DAILY)

@@ -1,14 +1,21 @@
-"""Walk-forward folds over distinct times, with purging of labels that reach a boundary."""
+"""Walk-forward folds over distinct times, with purging of labels that reach a boundary.
+
+With times numbered, a row belongs to one run of folds as train, one as validation and one as test row, given
+by arithmetic. So folds stay predicates: ``fold_ranges`` adds up the rows of equal runs first and gives each
+fold its share afterwards, and ``one_part`` filters by time. Only ``assign_parts`` writes a row once per fold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.cells import failed
 from tapeworks.functions.series import Grid, running
+from tapeworks.session import staged
 
 
 @dataclass(frozen=True)
@@ -58,53 +65,89 @@ def fold_bounds(times: DataFrame, folds: Folds) -> DataFrame:
     return wide.filter(F.col("test_end").isNotNull())
 
 
-def assign_parts(rows: DataFrame, grid: Grid, folds: Folds) -> DataFrame:
-    """Rows with ``fold`` and ``part`` after purging; incomplete folds are dropped.
+def instants(rows: DataFrame, grid: Grid) -> DataFrame:
+    """``at`` and ``t``, the number of distinct times up to it less one, for every ts and label_end."""
+    marks = rows.select(F.col("ts").alias("at"), F.lit(1).alias("is_time")).distinct()
+    marks = marks.unionByName(
+        rows.filter("label_end IS NOT NULL").select(F.col("label_end").alias("at"), F.lit(0).alias("is_time")).distinct()
+    )
+    marks = marks.groupBy("at").agg(F.max("is_time").alias("is_time"))
+    ranked = running(marks, [], ["at"], grid.bucket("at"), {"_rank": ("sum", F.col("is_time"))})
+    return ranked.select("at", (F.col("_rank") - 1).alias("t"))
 
-    The folds of a row follow from its time rank by arithmetic, so no range join is needed.
+
+def fold_runs(rows: DataFrame, grid: Grid, folds: Folds) -> DataFrame:
+    """``rows`` with ``runs``: array of (part, low, high), the folds that hold the row in each part.
+
+    Purging is in the runs: a train row's label ends before the validation part of all its folds, a
+    validation row's before their test part. Rows of no fold have an empty array.
     """
-    times = time_index(rows, grid)
-    bounds = fold_bounds(times, folds)
-    # One number decides how far expanding train parts reach; minus one when no fold is complete.
-    last = bounds.agg(F.coalesce(F.max("fold"), F.lit(-1)).alias("last")).first()["last"]
-    t, step, top = F.col("t"), F.lit(folds.stride), F.lit(last)
-
-    def span(low: Column, high: Column, part: str) -> Column:
-        low, high = F.greatest(low, F.lit(0)), F.least(high, top)
-        numbers = F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(
-            F.array().cast("array<bigint>")
-        )
-        return F.transform(
-            numbers, lambda f: F.struct(f.alias("fold"), F.lit(part).alias("part"))
-        )
-
-    def between(start: int, size: int, part: str) -> Column:
-        return span(
-            F.floor((t - start - size) / step) + 1, F.floor((t - start) / step), part
-        )
-
-    newest = top if folds.expanding else F.floor(t / step)
-    parts = F.concat(
-        span(F.floor((t - folds.train) / step) + 1, newest, "train"),
-        between(folds.train, folds.validation, "validation"),
-        between(folds.train + folds.validation, folds.test, "test"),
-    )
-    indexed = rows.join(times, "ts")
-    placed = indexed.withColumn("_p", F.explode(parts)).select(
-        *rows.columns, F.col("_p.fold").alias("fold"), F.col("_p.part").alias("part")
-    )
-    c = F.col
-    kept = placed.join(bounds, "fold").filter(
-        (c("part") == "test")
-        | ((c("part") == "train") & (c("label_end") < c("validation_start")))
-        | ((c("part") == "validation") & (c("label_end") < c("test_start")))
+    index = staged(instants(rows, grid), "instants")
+    first_test = folds.train + folds.validation
+    newest = F.floor((index.agg(F.max("t")).scalar() - (first_test + folds.test - 1)) / F.lit(folds.stride))
+    joined = rows.join(index.select(F.col("at").alias("ts"), "t"), "ts").join(
+        index.select(F.col("at").alias("label_end"), F.col("t").alias("_u")), "label_end", "left"
     )
-    full = (
-        kept.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("fold").agg(F.count(F.lit(1)).alias("parts"))
-        .filter("parts = 3")
+    joined = joined.withColumn("_last", newest)
+    t, step, last = F.col("t"), F.lit(folds.stride), F.col("_last")
+    # A row without the end of its label is in no train or validation part.
+    reach = F.when(F.col("_u").isNotNull(), F.greatest(t, F.col("_u")))
+
+    def after(x: Column, offset: int) -> Column:
+        """The first fold whose part at ``offset`` starts after the time numbered ``x``."""
+        return F.floor((x - offset) / step) + 1
+
+    def run(part: str, low: Column, high: Column) -> Column:
+        low, high = F.greatest(low, F.lit(0)).cast("long"), F.least(high, last).cast("long")
+        return F.struct(F.lit(part).alias("part"), low.alias("low"), high.alias("high"))
+
+    parts = F.array(
+        run("train", F.coalesce(after(reach, folds.train), last + 1), last if folds.expanding else F.floor(t / step)),
+        run("validation", F.coalesce(after(reach, first_test), last + 1), after(t, folds.train) - 1),
+        run("test", after(t, first_test + folds.test), after(t, first_test) - 1),
     )
-    return kept.select(*rows.columns, "fold", "part").join(full.select("fold"), "fold", "left_semi")
+    runs = F.filter(parts, lambda x: x["low"] <= x["high"])
+    return joined.select(*rows.columns, runs.alias("runs"))
+
+
+def _whole_folds(parts: DataFrame) -> DataFrame:
+    """Folds of which every part has rows."""
+    seen = parts.select("fold", "part").distinct().groupBy("fold").agg(F.count("*").alias("parts"))
+    return seen.filter("parts = 3").select("fold")
+
+
+def assign_parts(rows: DataFrame, grid: Grid, folds: Folds) -> DataFrame:
+    """Rows with ``fold`` and ``part`` after purging, once per fold; incomplete folds are dropped.
+
+    For a fit of a few folds only; sizes and ranges come from ``fold_ranges``.
+    """
+    placed = fold_runs(rows, grid, folds).select(*rows.columns, F.inline("runs"))
+    placed = placed.select(*rows.columns, F.explode(F.sequence("low", "high")).alias("fold"), "part")
+    return placed.join(_whole_folds(placed), "fold", "left_semi").select(*rows.columns, "fold", "part")
+
+
+def fold_ranges(rows: DataFrame, grid: Grid, folds: Folds, keys: Sequence[str] = ()) -> DataFrame:
+    """fold, part (and ``keys``): start, end, label_end, rows and positives; incomplete folds are dropped.
+
+    Rows are added up by the run of folds they belong to before anything moves. A run of an expanding train
+    part never ends, so its totals run on from fold to fold; other runs are as long as parts overlap.
+    """
+    runs = fold_runs(rows, grid, folds).select("ts", "label_end", "target", *keys, F.inline("runs"))
+    cells = runs.groupBy("part", "low", "high", *keys).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("label_end").alias("label_end"),
+        F.count("*").alias("rows"), F.sum("target").alias("positives"),
+    )
+    folded = {"start": F.min, "end": F.max, "label_end": F.max, "rows": F.sum, "positives": F.sum}
+    if folds.expanding:
+        along = Window.partitionBy("part", *keys).orderBy("low")
+        upto = along.rowsBetween(Window.unboundedPreceding, 0)
+        train = F.col("part") == "train"
+        grown = {n: F.when(train, f(n).over(upto)).otherwise(F.col(n)) for n, f in folded.items()}
+        until = F.when(train, F.coalesce(F.lead("low").over(along) - 1, F.col("high"))).otherwise(F.col("high"))
+        cells = cells.select("part", "low", until.alias("high"), *keys, *[v.alias(n) for n, v in grown.items()])
+    each = cells.withColumn("fold", F.explode(F.sequence("low", "high")))
+    found = staged(each.groupBy("fold", "part", *keys).agg(*[f(n).alias(n) for n, f in folded.items()]), "ranges")
+    return found.join(_whole_folds(found), "fold", "left_semi")
 
 
 def one_part(rows: DataFrame, bounds: DataFrame, fold: int, part: str, folds: Folds) -> DataFrame:
@@ -136,8 +179,11 @@ def part_ranges(placed: DataFrame) -> DataFrame:
 
 
 def split_guards(placed: DataFrame) -> DataFrame:
-    """Per fold: what would make a fit invalid. Clean folds have no reasons."""
-    r = part_ranges(placed)
+    return fold_guards(part_ranges(placed))
+
+
+def fold_guards(r: DataFrame) -> DataFrame:
+    """Per fold of ``r`` (part ranges): what would make a fit invalid. Clean folds have no reasons."""
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
     wide = r.groupBy("fold").agg(
         *[

@@ -209,13 +209,11 @@ def _walk(name: str, folds: splits.Folds) -> None:
         {sql_stamp("max(label_end)")} AS label_end FROM placed GROUP BY ALL""",
     )
     def run(spark, sf):
-        placed = splits.assign_parts(staged(_labels(spark, sf), "labels"), DAILY, folds)
-        return placed.groupBy("fold", "part", "instrument_id").agg(
-            F.count(F.lit(1)).alias("n"),
-            stamp(F.min("ts")).alias("first_ts"),
-            stamp(F.max("ts")).alias("last_ts"),
-            stamp(F.max("label_end")).alias("label_end"),
-        )
+        found = splits.fold_ranges(staged(_labels(spark, sf), "labels"), DAILY, folds, ["instrument_id"])
+        return found.select(
+            "fold", "part", "instrument_id", F.col("rows").alias("n"), stamp("start").alias("first_ts"),
+            stamp("end").alias("last_ts"), stamp("label_end").alias("label_end"),
+        )
 
 
 _walk("walk_forward", EXPANDING)
@@ -229,22 +227,29 @@ _walk("walk_forward_rolling", ROLLING)
     FROM placed GROUP BY ALL""",
 )
 def split_ranges(spark, sf):
-    placed = splits.assign_parts(staged(_labels(spark, sf), "labels"), DAILY, EXPANDING)
-    return splits.part_ranges(placed).select(
+    found = splits.fold_ranges(staged(_labels(spark, sf), "labels"), DAILY, EXPANDING)
+    return found.select(
         "fold", "part", stamp("start").alias("start_ts"), stamp("end").alias("end_ts"),
         stamp("label_end").alias("label_end"), F.col("rows").alias("n"),
     )
 
 
+# A fault for the guards: no positive label before 1994.
+_SOWN = """sown AS (SELECT * REPLACE (CASE WHEN year(ts) < 1994 THEN 0 ELSE target END AS target) FROM label_values)"""
+
+
 @query(
     "split_guards",
-    f"""WITH {_fold_sql(ROLLING)} SELECT fold, count(*) FILTER (part = 'train') AS train_rows,
-    CAST(sum(target) FILTER (part = 'train') AS BIGINT) AS train_positives, '' AS reasons
-    FROM placed GROUP BY fold""",
+    f"""WITH {_SOWN}, {_fold_sql(ROLLING).replace("label_values", "sown")},
+    wide AS (SELECT fold, count(*) FILTER (part = 'train') AS train_rows,
+      CAST(sum(target) FILTER (part = 'train') AS BIGINT) AS train_positives FROM placed GROUP BY fold)
+    SELECT *, CASE WHEN train_positives IN (0, train_rows) THEN 'one_class' ELSE '' END AS reasons FROM wide""",
 )
 def split_guards(spark, sf):
-    placed = splits.assign_parts(staged(_labels(spark, sf), "labels"), DAILY, ROLLING)
-    guards = splits.split_guards(placed)
+    rows = _labels(spark, sf)
+    none = F.when(F.year("ts") < 1994, F.lit(0)).otherwise(F.col("target"))
+    sown = staged(rows.withColumn("target", none.cast(rows.schema["target"].dataType)), "labels")
+    guards = splits.fold_guards(splits.fold_ranges(sown, DAILY, ROLLING))
     return guards.select(
         "fold", "train_rows", "train_positives", F.array_join("reasons", ",").alias("reasons")
     )
@@ -445,7 +450,7 @@ def eval_consequence(spark, sf):
 )
 def eval_partition(spark, sf):
     rows = staged(_labels(spark, sf), "labels")
-    ranges = splits.part_ranges(splits.assign_parts(rows, DAILY, EXPANDING))
+    ranges = splits.fold_ranges(rows, DAILY, EXPANDING)
     out = None
     for partition in ("test", "out_of_sample"):
         chosen = ev.evaluation_rows(rows, ranges, 0, partition)

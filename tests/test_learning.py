@@ -53,6 +53,22 @@ def test_folds_match_a_plain_loop(labels, folds):
     assert got == want
 
 
+@pytest.mark.parametrize("folds", [splits.Folds(30, 10, 10), splits.Folds(20, 8, 12, 7, False), splits.Folds(9, 3, 3, 1)])
+def test_ranges_are_those_of_the_rows(labels, folds):
+    _, df = labels
+    far = df.withColumn("label_end", F.when(F.minute("ts") == 40, F.col("ts") + F.expr("INTERVAL 20 MINUTES")).otherwise(F.col("label_end")))
+    for keys in ([], ["instrument_id"]):
+        placed = splits.assign_parts(far, GRID, folds)
+        by = ["fold", "part", *keys]
+        want = placed.groupBy(*by).agg(
+            F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("label_end").alias("label_end"),
+            F.count("*").alias("rows"), F.sum("target").alias("positives"),
+        )
+        columns = [*by, "start", "end", "label_end", "rows", "positives"]
+        got = splits.fold_ranges(far, GRID, folds, keys)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
 def test_fold_without_validation_rows_is_dropped(labels):
     _, df = labels
     # Labels reach four minutes ahead, so a two-minute validation part is purged away.

@@ -15,6 +15,7 @@ from tapeworks.functions.series import (
     positions,
     split_series,
 )
+from tapeworks.session import staged
 
 KEYS = ("instrument_id",)
 
@@ -103,9 +104,12 @@ def move_terms(period: int) -> dict[str, tuple[Column, float]]:
     }
 
 
-def rsi_from_moves(df: DataFrame, name: str, period: int) -> DataFrame:
-    """An unchanged price scales both averages alike, so such rows repeat the last value, however far
-    back it is; 50 stands only where no price has moved yet."""
+def rsi_from_moves(df: DataFrame, period: int) -> DataFrame:
+    """``_rsi_at`` where a price has moved, ``_rsi_here`` the last of these in the block.
+
+    An unchanged price scales both averages alike, so such rows repeat the last value, however far
+    back it is; 50 stands only where no price has moved yet.
+    """
     g, l = F.col("_g"), F.col("_l")
     value = F.when(l == 0, F.when(g == 0, F.lit(50.0)).otherwise(F.lit(100.0))).otherwise(
         F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(g, l))
@@ -115,10 +119,17 @@ def rsi_from_moves(df: DataFrame, name: str, period: int) -> DataFrame:
     moving = (F.col("_idx") == period) | ((F.col("_idx") > period) & moved)
     # Copied rows lack the memory that makes values right; only a block's own rows may be repeated.
     df = df.withColumn("_rsi_at", F.when(moving & F.col("_own"), value))
-    df = last_of_earlier_blocks(df, KEYS, "_rsi_at", "_rsi_before")
     fill = block_window(KEYS, "ts").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.last("_rsi_at", ignorenulls=True).over(fill)
-    return df.withColumn(name, warm(period, F.coalesce(here, F.col("_rsi_before"))))
+    return df.withColumn("_rsi_here", F.last("_rsi_at", ignorenulls=True).over(fill))
+
+
+def with_carried_rsi(df: DataFrame, name: str, period: int) -> DataFrame:
+    """The RSI, with the last value of earlier blocks where none of a block has moved yet.
+
+    The frame is written, so that the values handed on are taken from it without making it twice.
+    """
+    df = last_of_earlier_blocks(staged(df, "frame"), KEYS, "_rsi_at", "_rsi_before")
+    return df.withColumn(name, warm(period, F.coalesce("_rsi_here", "_rsi_before")))
 
 
 def returns(bars: DataFrame, grid: Grid, column: str = "close") -> DataFrame:
@@ -149,7 +160,7 @@ def rsi(bars: DataFrame, grid: Grid, period: int = 14) -> DataFrame:
     positive_period(period)
     df = with_moves(frame(bars, grid, memory_rows(wilder_decay(period)) + period + 1), period)
     df = affine_scan(df, KEYS, "ts", move_terms(period))
-    return owned(rsi_from_moves(df, "rsi", period))
+    return owned(with_carried_rsi(rsi_from_moves(df, period).filter("_own"), "rsi", period))
 
 
 def atr(bars: DataFrame, grid: Grid, period: int = 14) -> DataFrame:

@@ -16,13 +16,14 @@ from tapeworks.functions.indicators import (
     move_terms,
     over,
     rsi_from_moves,
+    with_carried_rsi,
     true_range,
     warm,
     wilder_decay,
     wilder_forcing,
     with_moves,
 )
-from tapeworks.functions.series import Grid, affine_scan, memory_rows, owned
+from tapeworks.functions.series import BLOCK, OWN, Grid, affine_scan, memory_rows
 
 FEATURE_VERSION = "research-v1"
 
@@ -121,7 +122,7 @@ def _recursive(df: DataFrame) -> DataFrame:
             **move_terms(14),
         },
     )
-    df = rsi_from_moves(df.withColumn("macd", F.col("ema_12") - F.col("ema_26")), "rsi_14", 14)
+    df = rsi_from_moves(df.withColumn("macd", F.col("ema_12") - F.col("ema_26")), 14)
     df = affine_scan(df, KEYS, "ts", {"macd_signal": ema_forcing(F.col("macd"), 9)})
     return df.withColumns(
         {
@@ -132,23 +133,24 @@ def _recursive(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_frame(bars: DataFrame, grid: Grid, *, after: int = 0) -> DataFrame:
-    """Features with the block helpers still attached, for operators that add to the frame."""
+def _uncarried(bars: DataFrame, grid: Grid, after: int) -> DataFrame:
     # The MACD signal remembers on top of what the averages under it remember.
     slowest = max(ema_decay(26), wilder_decay(14))
     before = memory_rows(slowest) + memory_rows(ema_decay(9)) + 50
     return _recursive(_trailing(frame(bars, grid, before, after)))
 
 
+def feature_frame(bars: DataFrame, grid: Grid, *, after: int = 0) -> DataFrame:
+    """Features with the block helpers still attached, for operators that add to the frame."""
+    return with_carried_rsi(_uncarried(bars, grid, after), "rsi_14", 14)
+
+
 def build_features(bars: DataFrame, grid: Grid) -> DataFrame:
-    rows = owned(feature_frame(bars, grid))
-    return rows.select(
-        "instrument_id",
-        "ts",
-        F.lit(FEATURE_VERSION).alias("feature_version"),
-        *[c for c in LINEAGE if c in rows.columns],
-        *FEATURES,
-    )
+    named = ["instrument_id", "ts", *[c for c in LINEAGE if c in bars.columns]]
+    plain = [c for c in FEATURES if c != "rsi_14"]
+    own = _uncarried(bars, grid, 0).filter(OWN).select(*named, *plain, BLOCK, OWN, "_idx", "_rsi_at", "_rsi_here")
+    rows = with_carried_rsi(own, "rsi_14", 14)
+    return rows.select(*named[:2], F.lit(FEATURE_VERSION).alias("feature_version"), *named[2:], *FEATURES)
 
 
 def feature_map(features: DataFrame) -> DataFrame:

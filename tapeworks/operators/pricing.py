@@ -138,20 +138,23 @@ class Slippage:
 
 
 def to_tick(value: Column, tick: Column, side: Column) -> Column:
-    """Adverse rounding in decimals: up for buys, down for sells."""
-    steps = value / tick.cast("decimal(10,4)")
+    """Adverse rounding in decimals: up for buys, down for sells; null for a tick of zero."""
+    steps = F.try_divide(value, tick.cast("decimal(10,4)"))
     whole = F.when(side == "buy", F.ceil(steps)).otherwise(F.floor(steps))
     return (whole.cast("decimal(20,0)") * tick.cast("decimal(10,4)")).cast(MONEY)
 
 
 def slipped_fill(orders: DataFrame, slippage: Slippage, tick: Column) -> DataFrame:
-    """``fill_price`` after slippage and tick rounding; the open when that is not positive."""
+    """``fill_price`` after slippage and tick rounding; the open when that is not positive or the tick is
+    none."""
     side, opened = F.col("side"), F.col("open")
     raw = slippage.price(opened, side, F.col("volatility"))
     rounded = to_tick(raw, tick, side)
+    untold = F.coalesce(tick <= 0, F.lit(True))
     bad = (raw <= 0) | (rounded <= 0)
-    df = orders.withColumn("slippage_reason", F.when(bad, "invalid_slippage_price"))
-    price = F.when(bad, opened).otherwise(rounded).cast(MONEY)
+    reason = F.when(untold, "invalid_tick").when(bad, "invalid_slippage_price")
+    df = orders.withColumn("slippage_reason", reason)
+    price = F.when(untold | bad, opened).otherwise(rounded).cast(MONEY)
     return df.withColumn("fill_price", price).withColumn(
         "slippage_cost",
         (F.abs(F.col("fill_price") - opened) * F.col("quantity").cast("decimal(12,0)")).cast(

@@ -169,9 +169,11 @@ def contract_disagrees(contract: str = "contract") -> Column:
 
 
 def tick_misaligned(tick: Column) -> Column:
+    """A price that is no whole number of ticks; of a tick of zero, none is."""
     bad = F.lit(False)
     for name in PRICES:
-        bad = bad | (F.try_mod(F.col(name), tick) != 0)
+        off = F.coalesce(F.try_mod(F.col(name), tick) != 0, F.lit(True))
+        bad = bad | (F.col(name).isNotNull() & off)
     return tick.isNotNull() & bad
 
 

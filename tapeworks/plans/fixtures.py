@@ -186,7 +186,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 7 == 1, "OTHER").otherwise(F.concat(F.lit("UL-"), text)).alias("underlying"),
         F.lit("2005-12-31").cast("date").alias("expiry"),
         F.when(n == 8, F.lit(0)).otherwise(F.col("lot")).cast("bigint").alias("lot_size"),
-        F.lit("0.05").cast(money).alias("tick_size"),
+        F.when(n == 18, "0").otherwise("0.05").cast(money).alias("tick_size"),
         F.when((n % 5 == 4) & (n != 9), F.lit("100").cast(money)).alias("strike"),
         F.when((n % 5 == 4) | (n == 13), "CE").alias("option_type"),
     )

@@ -67,15 +67,17 @@ _flagged(
 _flagged(
     "v_tick",
     ["tick_misaligned"],
-    "coalesce(open % tick_size <> 0, false) OR coalesce(high % tick_size <> 0, false) "
-    "OR coalesce(low % tick_size <> 0, false) OR coalesce(close % tick_size <> 0, false)",
+    " OR ".join(
+        f"{c} IS NOT NULL AND CASE WHEN tick_size = 0 THEN true ELSE {c} % tick_size <> 0 END"
+        for c in ("open", "high", "low", "close")
+    ),
     "contract_bars",
 )
 
 
 @query(
     "v_contract_kind",
-    """SELECT contract_id FROM contracts WHERE lot_size <= 0 OR CASE WHEN instrument_type LIKE 'OPT%'
+    """SELECT contract_id FROM contracts WHERE lot_size <= 0 OR tick_size <= 0 OR CASE WHEN instrument_type LIKE 'OPT%'
     THEN strike IS NULL OR option_type IS NULL ELSE strike IS NOT NULL OR option_type IS NOT NULL END""",
 )
 def v_contract_kind(spark, sf):
@@ -231,21 +233,55 @@ def synthetic_flag(spark, sf):
     return docs.select("doc_id", flagged.alias("synthetic"))
 
 
+_SOWN_BARS = """SELECT * REPLACE (CASE WHEN strike IS NOT NULL AND close LIKE '%7' THEN '-5' ELSE strike END AS strike,
+    CASE WHEN expiry IS NOT NULL AND open LIKE '%33' THEN 'soon' ELSE expiry END AS expiry,
+    CASE WHEN volume LIKE '%9' THEN low || '001' ELSE low END AS low) FROM raw_bars"""
+_ANY_PRICE = " OR ".join(f"({c} IS NULL AND nullif(raw_{c}, '') IS NOT NULL) OR {c} <= 0" for c in ("open", "high", "low", "close"))
+
+
 @query(
     "quarantine_counts",
-    """SELECT reason, count(*) AS n FROM (
+    f"""WITH sown AS ({_SOWN_BARS}),
+    typed AS (SELECT asset_class, symbol, underlying, option_type, close AS raw_close, volume AS raw_volume,
+      open_interest AS raw_oi, strike AS raw_strike, expiry AS raw_expiry, ts AS raw_ts,
+      open AS raw_open, high AS raw_high, low AS raw_low,
+      CASE WHEN regexp_matches(ts, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$')
+        THEN CAST(replace(substr(ts, 1, 19), 'T', ' ') AS TIMESTAMP) - INTERVAL 330 MINUTE END AS at_utc,
+      TRY_CAST(open AS DECIMAL(18,4)) AS open, TRY_CAST(high AS DECIMAL(18,4)) AS high,
+      TRY_CAST(low AS DECIMAL(18,4)) AS low, TRY_CAST(nullif(close, '') AS DECIMAL(18,4)) AS close,
+      TRY_CAST(strike AS DECIMAL(18,4)) AS strike, TRY_CAST(expiry AS DATE) AS expiry FROM sown)
+    SELECT reason, count(*) AS n FROM (
       SELECT unnest(list_filter([CASE WHEN at_utc IS NULL THEN 'bad_timestamp' END,
         CASE WHEN raw_close = '' THEN 'missing_required' END,
+        CASE WHEN {_ANY_PRICE} THEN 'bad_price' END,
+        CASE WHEN raw_volume LIKE '%9' THEN 'unsupported_scale' END,
         CASE WHEN NOT regexp_full_match(raw_volume, '[0-9]+') THEN 'bad_volume' END,
-        CASE WHEN symbol <> trim(symbol) THEN 'bad_name' END], lambda x: x IS NOT NULL)) AS reason
-      FROM typed_bars) GROUP BY reason""",
+        CASE WHEN NOT regexp_full_match(raw_oi, '[0-9]+') THEN 'bad_open_interest' END,
+        CASE WHEN raw_expiry IS NOT NULL AND expiry IS NULL THEN 'bad_expiry_date' END,
+        CASE WHEN raw_strike IS NOT NULL AND (strike IS NULL OR strike <= 0) THEN 'bad_strike' END,
+        CASE WHEN low > least(open, close) OR greatest(open, close) > high THEN 'bad_ohlc' END,
+        CASE WHEN symbol <> trim(symbol) THEN 'bad_name' END,
+        CASE WHEN asset_class NOT IN ('equity', 'future', 'option') OR option_type NOT IN ('CE', 'PE')
+          THEN 'unknown_enum' END,
+        CASE WHEN asset_class = 'equity' AND (underlying IS NOT NULL OR expiry IS NOT NULL OR strike IS NOT NULL
+          OR option_type IS NOT NULL OR raw_oi IS NOT NULL) THEN 'equity_with_derivative_fields' END,
+        CASE WHEN asset_class IN ('future', 'option') AND (underlying IS NULL OR expiry IS NULL)
+          THEN 'derivative_fields_missing' END,
+        CASE WHEN asset_class IN ('future', 'option') AND CAST(at_utc + INTERVAL 330 MINUTE AS DATE) > expiry
+          THEN 'after_expiry' END,
+        CASE WHEN asset_class = 'option' AND (strike IS NULL OR option_type IS NULL) OR asset_class = 'future'
+          AND (strike IS NOT NULL OR option_type IS NOT NULL) THEN 'option_fields' END], lambda x: x IS NOT NULL)) AS reason
+      FROM typed) GROUP BY reason""",
 )
 def quarantine_counts(spark, sf):
-    bad = rules.split(rules.validate_bars(fx.raw_bars(spark, sf)))[1]
-    kept = ["bad_timestamp", "missing_required", "bad_volume", "bad_name"]
-    return (
-        bad.select(F.explode("reasons").alias("reason"))
-        .filter(F.col("reason").isin(kept))
-        .groupBy("reason")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """Every reason a bar is rejected for, with faults of strike, expiry and scale sown on top."""
+    c = F.col
+    sown = fx.raw_bars(spark, sf).withColumns(
+        {
+            "strike": F.when(c("strike").isNotNull() & c("close").endswith("7"), "-5").otherwise(c("strike")),
+            "expiry": F.when(c("expiry").isNotNull() & c("open").endswith("33"), "soon").otherwise(c("expiry")),
+            "low": F.when(c("volume").endswith("9"), F.concat("low", F.lit("001"))).otherwise(c("low")),
+        }
     )
+    bad = rules.split(rules.validate_bars(sown))[1]
+    return bad.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

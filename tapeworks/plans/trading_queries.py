@@ -57,14 +57,14 @@ def contract_join(spark, sf):
 
 
 def _signals_at_noon(spark, sf):
-    """Orders half a day after every third bar, so the next bar is found by time."""
-    bars = fx.bars_daily(spark, sf).filter(F.col("volume") % 3 == 0)
+    """Orders half a day after every bar, so the next bar is found by time."""
+    bars = fx.bars_daily(spark, sf)
     return bars.select(
         "instrument_id", (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("ts"), "volume"
     )
 
 
-_NOON = "(SELECT instrument_id, ts + INTERVAL 12 HOUR AS ts, volume FROM bars_daily WHERE volume % 3 = 0)"
+_NOON = "(SELECT instrument_id, ts + INTERVAL 12 HOUR AS ts, volume FROM bars_daily)"
 
 
 @query(
@@ -324,11 +324,13 @@ def slippage(spark, sf):
 @query(
     "tick_round",
     f"""SELECT instrument_id, {sql_stamp()} AS ts,
-    CAST((CAST(close * 100 AS BIGINT) + 24) // 25 * 25 / 100 AS DOUBLE) AS buy_price,
-    CAST(CAST(close * 100 AS BIGINT) // 25 * 25 / 100 AS DOUBLE) AS sell_price FROM bars_daily""",
+    CASE WHEN volume % 7 > 0 THEN CAST((CAST(close * 100 AS BIGINT) + 24) // 25 * 25 / 100 AS DOUBLE) END AS buy_price,
+    CASE WHEN volume % 7 > 0 THEN CAST(CAST(close * 100 AS BIGINT) // 25 * 25 / 100 AS DOUBLE) END AS sell_price
+    FROM bars_daily""",
 )
 def tick_round(spark, sf):
-    tick = F.lit("0.25").cast("decimal(10,4)")
+    """Ticks of a quarter; every seventh volume stands for an instrument whose tick is zero."""
+    tick = F.when(F.col("volume") % 7 > 0, F.lit("0.25")).otherwise("0").cast("decimal(10,4)")
     price = F.col("close").cast("decimal(38,20)")
     return fx.bars_daily(spark, sf).select(
         "instrument_id",
@@ -365,14 +367,14 @@ def limit_check(spark, sf):
         THEN 'contract_mismatch' END,
       CASE WHEN CASE WHEN asset_class = 'equity' THEN false ELSE asset_class <> 'future' END
         THEN 'cost_product_mismatch' END,
-      CASE WHEN contract_id IS NOT NULL AND lot_size > 0 AND 10 % lot_size <> 0 THEN 'invalid_lot_quantity' END],
+      CASE WHEN contract_id IS NOT NULL AND (lot_size = 0 OR 10 % lot_size <> 0) THEN 'invalid_lot_quantity' END],
       lambda x: x IS NOT NULL), ',') AS reasons
-    FROM typed_bars b LEFT JOIN (SELECT * FROM contracts WHERE lot_size > 0) c ON c.symbol = b.symbol""",
+    FROM typed_bars b LEFT JOIN contracts c ON c.symbol = b.symbol""",
 )
 def eligibility(spark, sf):
     """Ten of everything, futures traded as futures and options wrongly as futures."""
     bars = rules.parse_bars(fx.raw_bars(spark, sf).withColumn("bar_time", F.col("ts")))
-    contracts = fx.contracts(spark, sf).filter("lot_size > 0")
+    contracts = fx.contracts(spark, sf)
     orders = sessions.contract_join(bars, contracts).withColumns(
         {
             "instrument_type": F.col("asset_class"),

@@ -225,7 +225,7 @@ SELECT 'C-' || num AS contract_id,
   'BRAND-' || num AS symbol, 'NSE' AS exchange,
   CASE WHEN num % 7 = 1 THEN 'OTHER' ELSE 'UL-' || num END AS underlying,
   DATE '2005-12-31' AS expiry, CASE WHEN num = 8 THEN 0 ELSE lot END AS lot_size,
-  CAST(0.05 AS DECIMAL(18,4)) AS tick_size,
+  CAST(CASE WHEN num = 18 THEN 0 ELSE 0.05 END AS DECIMAL(18,4)) AS tick_size,
   CASE WHEN num % 5 = 4 AND num <> 9 THEN CAST(100 AS DECIMAL(18,4)) END AS strike,
   CASE WHEN num % 5 = 4 OR num = 13 THEN 'CE' END AS option_type
 FROM (SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS num, CAST(max(p_size) AS BIGINT) AS lot

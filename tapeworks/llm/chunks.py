@@ -44,18 +44,33 @@ def _is_word(text: str) -> bool:
     return text.isalpha() and (text.isascii() or max(text) < _PLAIN)
 
 
+def _solid(char: str) -> bool:
+    """Neither white space for any engine nor part of a wider sign."""
+    return "!" <= char <= "~" or (char < _PLAIN and char.isalnum())
+
+
 class _Chunks(Memo):
-    """Ids of what follows a space. A word with a mark behind it is put together, not kept."""
+    """Ids of what follows a space (or nothing, for ``before`` empty). A word with a mark behind it is put
+    together, not kept; so are, with ``word``, the lines of a chunk."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int, word: Callable[[str], bytes] | None):
+    def __init__(
+        self, encode: Callable[[str], bytes], limit: int, word: Callable[[str], bytes] | None, before: str = " "
+    ):
         def make(rest: str) -> bytes:
-            return (word if word and _is_word(rest) else encode)(" " + rest)
+            return (word if word and _is_word(rest) else encode)(before + rest)
 
         super().__init__(make, limit)
         self.marks = {x: encode(x) for x in _MARKS}
+        self.line = encode("\n") if word else None
+        self.bare = _Chunks(encode, limit, word, "") if word and before else self
 
     def __missing__(self, rest: str) -> bytes:
-        if rest[-1:] in _MARKS:
+        if self.line is not None and "\n" in rest:
+            # One line feed between two solid characters is a piece of its own.
+            head, _, tail = rest.partition("\n")
+            if head and tail and _solid(head[-1]) and _solid(tail[0]):
+                return self[head] + self.line + self.bare[tail]
+        elif rest[-1:] in _MARKS:
             word = rest[:-1]
             if _is_word(word):
                 return self[word] + self.marks[rest[-1]]
@@ -63,8 +78,9 @@ class _Chunks(Memo):
 
 
 class ChunkEncoder:
-    """``encode`` maps any text to packed ids, ``word`` a space and a word of letters where that can be had
-    cheaper; texts are cut where that changes nothing. At most twice ``limit`` chunks are kept."""
+    """``encode`` maps any text to packed ids; texts are cut where that changes nothing. At most twice
+    ``limit`` chunks are kept. ``word`` is given where the split pattern makes one piece of a word of letters
+    with or without a space before it, and of a single line feed: it maps such words, at less cost."""
 
     def __init__(
         self, encode: Callable[[str], bytes], word: Callable[[str], bytes] | None = None, limit: int = 700_000

@@ -127,6 +127,7 @@ def read_file(path: str) -> Iterator[tuple[int | None, list[np.ndarray]]]:
 #: The letter that stands for each byte: itself where it can be seen, else the next one from 256 on.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
+_SPACE = chr(_SHOWN[32])
 
 
 class LibraryEncoder:
@@ -150,7 +151,8 @@ class LibraryEncoder:
         self.chunked = ChunkEncoder(self._library, self._word if unchanged else None)
 
     def _word(self, word: str) -> bytes:
-        piece = word.encode().decode("latin-1").translate(_SHOWN)
+        plain = word.isascii()
+        piece = word.replace(" ", _SPACE) if plain else word.encode().decode("latin-1").translate(_SHOWN)
         return array("I", [x.id for x in self.library.model.tokenize(piece)]).tobytes()
 
     def _library(self, text: str) -> bytes:

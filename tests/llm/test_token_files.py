@@ -69,3 +69,12 @@ def test_plain_words_encode_as_the_library():
     for _ in range(3000):
         word = " " + "".join(rng.choice(letters, int(rng.integers(1, 14))))
         assert encode("x" + word).tolist()[-1:] and encode(word).tolist() == LIBRARY.encode(word).ids, word
+
+
+def test_lines_encode_as_the_library():
+    encode = tf.LibraryEncoder(DEFINITION)
+    rng = np.random.default_rng(4)
+    parts = ["word", "Über", "x.", "\n", "\n", " ", "'s", "12", "!!", "\t", "ß,", "\r\n", "\u2028", "a\u0301", "|", "’"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, int(rng.integers(1, 9))))
+        assert encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeworks import schemas as S
 from tapeworks.functions.cells import utc_instant
 from tapeworks.operators import rules
 from tapeworks.plans import fixtures as fx
@@ -284,25 +285,51 @@ def manifest_stats(spark, sf):
     )
 
 
-@query("dataset_fingerprint")
+_CELLS = ["close", "high", "instrument_id", "low", "open", "ts", "volume"]
+_ROW_TEXT = " || ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _CELLS
+)
+
+
+_ROOT = f"""SELECT count(*) AS row_count, sha256(count(*) || ':'
+      || CAST(sum(CAST('0x' || substr(d, 1, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR) || ':'
+      || CAST(sum(CAST('0x' || substr(d, 16, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)) AS data_sha256
+    FROM (SELECT sha256({_ROW_TEXT}) AS d FROM bars_daily)"""
+_MAPPING_TEXT = str(sorted(MAPPING.columns.items())).replace("'", "''")
+
+
+@query(
+    "dataset_fingerprint",
+    f"""SELECT row_count, data_sha256, sha256('{_MAPPING_TEXT}') AS mapping_sha256,
+      sha256('{S.SCHEMA_VERSION}:' || data_sha256 || ':' || sha256('{_MAPPING_TEXT}') || ':True') AS import_id
+    FROM ({_ROOT})""",
+)
 def dataset_fingerprint(spark, sf):
     return sinks.fingerprint(fx.bars_daily(spark, sf), str(sorted(MAPPING.columns.items())), True)
 
 
+_LATEST = "(SELECT instrument_id, ts, volume FROM bars_daily ORDER BY ts DESC, instrument_id DESC LIMIT 1)"
+
+
 @query(
     "manifest_verify",
-    """SELECT field, count(*) AS n FROM (
-      SELECT unnest(['data_sha256', 'import_id', 'row_count', 'last_timestamp']) AS field, a.n AS an, b.n AS bn, a.t AS at_, b.t AS bt
-      FROM (SELECT count(*) AS n, max(ts) AS t FROM bars_daily) a,
-           (SELECT count(*) AS n, max(ts) AS t FROM bars_daily WHERE ts < TIMESTAMP '2001-01-01') b)
-    WHERE an <> bn AND (field <> 'last_timestamp' OR at_ <> bt) GROUP BY field""",
+    f"""SELECT 'equity' AS asset_class, year(ts) AS year, month(ts) AS month, field, 1 AS n
+    FROM {_LATEST}, (SELECT unnest(['a', 'b']) AS field)""",
 )
 def manifest_verify(spark, sf):
-    """A stored manifest against a copy that has lost its newest bars."""
-    bars = fx.bars_daily(spark, sf)
-    stored = sinks.manifest(bars, "fixture", "feed.csv", "{}", True)
-    lost = sinks.manifest(bars.filter("ts < '2001-01-01'"), "fixture", "feed.csv", "{}", True)
-    return sinks.verify_manifest(stored, lost).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    """The stored manifest of an import against a copy of which one bar has another volume."""
+    bars = fx.bars_daily(spark, sf).select(
+        F.lit("equity").alias("asset_class"), F.col("instrument_id").alias("symbol"), F.lit("NSE").alias("exchange"),
+        *[F.col(c).cast("decimal(18,4)").alias(c) for c in ("open", "high", "low", "close")], "ts", "volume",
+    )
+    path, other, kept = (scratch_path(spark, n) for n in ("import", "copy", "leaves"))
+    sinks.write_bars(bars, path)
+    sinks.store_manifest(spark, path, kept)
+    last = bars.agg(F.max(F.struct("ts", "symbol"))).scalar()
+    changed = F.struct("ts", "symbol") == last
+    sinks.write_bars(bars.withColumn("volume", F.when(changed, F.col("volume") + 1).otherwise(F.col("volume"))), other)
+    found = sinks.verify_import(spark, other, kept, full=True)
+    return found.groupBy(*sinks.PARTITION, "field").agg(F.count("*").cast("int").alias("n"))
 
 
 @query(

@@ -20,6 +20,8 @@ from tapeworks.session import staged
 
 #: Rows of a block, as a power of two.
 BITS = 16
+#: Maps of a key that are gone through in one task; neighbouring maps that are composed into one.
+ONE_LIST, FANOUT = 4096, 512
 
 
 def ordered_blocks(
@@ -37,6 +39,26 @@ def ordered_blocks(
     return staged(ranged.withColumn(BLOCK, number), "ordered")
 
 
+def bounded_buckets(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, *, tie: Column | None = None,
+    bits: int = BITS,
+) -> tuple[DataFrame, Column]:
+    """``df`` and a bucket of at most ``2 ** bits`` rows of a key: the given one if counting shows that none is
+    larger, else blocks."""
+    largest = df.groupBy(*keys, bucket.alias("_b")).count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= 1 << bits:
+        return df, bucket
+    return ordered_blocks(df, keys, order, bits=bits, tie=tie), F.col(BLOCK)
+
+
+def levels_for(blocks: DataFrame) -> int | None:
+    """How often neighbouring maps are composed before they are gone through; none if no key goes on."""
+    most = blocks.agg(F.max("at")).first()[0]
+    if not most:
+        return None
+    return sum(most >= ONE_LIST * FANOUT**i for i in range(4))
+
+
 def schema_of(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
@@ -58,8 +80,10 @@ def continued(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """``state`` of the block before, null where a key begins. One row a block of a key that goes on is joined."""
+    if states is None:
+        return rows.withColumn("state", F.lit(None).cast("array<double>"))
     starts = blocks.join(states.withColumn("at", F.col("at") + 1), [*keys, "at"])
     return rows.join(starts.select(*keys, BLOCK, "state"), [*keys, BLOCK], "left")
 
@@ -71,8 +95,8 @@ def starting_states(
     then: Callable[[bytes, bytes], bytes],
     step: Callable[[list[float], bytes], list[float]],
     *,
-    levels: int = 1,
-    fanout: int = 512,
+    levels: int = 0,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """keys, at, state: what a key carries into the block after ``at``, from ``maps`` (keys, at, map).
 

@@ -16,7 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.blocks import continued, grouped_rows, schema_of, starting_states, with_start
+from tapeworks.functions.blocks import (
+    continued,
+    grouped_rows,
+    levels_for,
+    schema_of,
+    starting_states,
+    with_start,
+)
 from tapeworks.functions.series import BLOCK
 from tapeworks.session import staged
 
@@ -110,16 +117,19 @@ def _shift_maps(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list
     return held.drop("_sum").join(bounds, on).groupBy(*on).applyInArrow(make, f"{named}, at long, map binary")
 
 
-def accept_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, levels: int = 1) -> DataFrame:
+def accept_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, levels: int | None = None) -> DataFrame:
     """Adds held_before and accepted to ``rows`` (from ``ordered_blocks``, with the whole numbers ``_delta``
-    and ``_start``, which are dropped). ``levels``: how often neighbouring maps are composed first."""
+    and ``_start``, which are dropped). ``levels``: how often neighbouring maps are composed first; by default
+    as their number asks for."""
     keys, order = list(keys), list(order)
     blocks = staged(continued(rows, keys), "blocks")
-    states = starting_states(
-        _shift_maps(rows, blocks, keys, order), keys, [0],
-        lambda a, b: ShiftMap.unpack(a).then(ShiftMap.unpack(b)).pack(),
-        lambda state, x: [float(ShiftMap.unpack(x).at(int(state[0])))], levels=levels,
-    )
+    levels, states = levels_for(blocks) if levels is None else levels, None
+    if levels is not None:
+        states = starting_states(
+            _shift_maps(rows, blocks, keys, order), keys, [0],
+            lambda a, b: ShiftMap.unpack(a).then(ShiftMap.unpack(b)).pack(),
+            lambda state, x: [float(ShiftMap.unpack(x).at(int(state[0])))], levels=levels,
+        )
     kept = [c for c in rows.columns if c not in (DELTA, START)]
 
     def replay(table: pa.Table) -> pa.Table:

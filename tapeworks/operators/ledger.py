@@ -14,7 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.blocks import BITS, grouped_rows, ordered_blocks, schema_of, starting_states, with_start
+from tapeworks.functions.blocks import (
+    BITS,
+    bounded_buckets,
+    grouped_rows,
+    levels_for,
+    ordered_blocks,
+    schema_of,
+    starting_states,
+    with_start,
+)
 from tapeworks.functions.cells import local_date
 from tapeworks.functions.series import BLOCK, Grid, running
 from tapeworks.functions.shift_maps import DELTA, START, accept_in_order
@@ -30,7 +39,7 @@ def _signed(amount: Column) -> Column:
     return F.when(F.col("side") == "buy", amount).otherwise(-amount)
 
 
-def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = BITS, levels: int = 1) -> DataFrame:
+def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = BITS, levels: int | None = None) -> DataFrame:
     """Long-only acceptance: a sell needs as much held as it sells, else it is refused and changes nothing.
 
     Adds held_before and accepted. Quantities are whole numbers from 1 on. Fills of a position follow each
@@ -45,14 +54,14 @@ _PREFIX = ["_a0", "_a1", "_m0", "_m1", "_g0", "_g1", "_f0", "_f1"]
 
 
 def _affine_then(first: bytes, later: bytes) -> bytes:
-    a, m, g, f = struct.unpack("<4d", first)
-    a2, m2, g2, f2 = struct.unpack("<4d", later)
-    return struct.pack("<4d", a * a2, m * a2 + m2, g * g2, f * g2 + f2)
+    a, m, g, f, short = struct.unpack("<5d", first)
+    a2, m2, g2, f2, short2 = struct.unpack("<5d", later)
+    return struct.pack("<5d", a * a2, m * a2 + m2, g * g2, f * g2 + f2, max(short, short2))
 
 
 def _affine_step(state: list[float], one: bytes) -> list[float]:
-    a, m, g, f = struct.unpack("<4d", one)
-    return [a * state[0] + m, g * state[1] + f]
+    a, m, g, f, short = struct.unpack("<5d", one)
+    return [a * state[0] + m, g * state[1] + f, max(state[2], short)]
 
 
 def _prefixes(table: pa.Table) -> pa.Table:
@@ -64,10 +73,9 @@ def _prefixes(table: pa.Table) -> pa.Table:
     sides, quantities, first = (table.column(k).to_pylist() for k in ("side", "quantity", "_held0"))
     prices = table.column("price").cast(pa.float64()).to_pylist()
     costs = table.column("cost").cast(pa.float64()).to_pylist()
-    short = table.column("_short").to_pylist()
     out: list[list] = [[] for _ in range(11)]
     for i, b in zip(starts, starts[1:], strict=False):
-        held, a, m, g, f, over = first[i], 1.0, 0.0, 1.0, 0.0, short[i]
+        held, a, m, g, f, over = first[i], 1.0, 0.0, 1.0, 0.0, first[i] < 0
         for k in range(i, b):
             quantity, before = quantities[k], (a, m, g, f)
             old = held
@@ -86,13 +94,32 @@ def _prefixes(table: pa.Table) -> pa.Table:
             for column, value in zip(out, row, strict=True):
                 column.append(value)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 8]
-    table = table.drop_columns(["_held0", "_short"])
+    table = table.drop_columns(["_held0"])
     for name, kind, column in zip(["quantity_before", "quantity_after", "oversold", *_PREFIX], kinds, out, strict=True):
         table = table.append_column(name, pa.array(column, kind))
     return table
 
 
-def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 << BITS, levels: int = 1) -> DataFrame:
+def _end_maps(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """keys, at, map of every block that goes on: its last row holds the effect of all of them."""
+    on = [*KEYS, BLOCK]
+    last = Window.partitionBy(*on).orderBy(*[F.desc(c) for c in ORDER])
+    ends = found.join(blocks.filter("more").select(*on, "at"), on)
+    ends = ends.withColumn("_row", F.row_number().over(last)).filter("_row = 1")
+
+    def packed(batches):
+        for batch in batches:
+            maps = zip(*[batch.column(k).to_pylist() for k in ("_a1", "_m1", "_g1", "_f1", "_short")], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in (*KEYS, "at")], pa.array([struct.pack("<5d", *x) for x in maps], pa.binary())],
+                [*KEYS, "at", "map"],
+            )
+
+    columns = ends.select(*KEYS, "at", "_a1", "_m1", "_g1", "_f1", F.col("oversold").cast("double").alias("_short"))
+    return columns.mapInArrow(packed, f"{schema_of(found, KEYS)}, at long, map binary")
+
+
+def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 << BITS, levels: int | None = None) -> DataFrame:
     """Per accepted fill: quantities, average price, remaining entry fees, realised P&L.
 
     Entry fees are allocated pro rata on sells; pass a zero ``cost`` for the plain ledger. A fill that would
@@ -116,21 +143,12 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
     ), "blocks")
     begun = rows.join(blocks.filter("at > 0").select(*on, "_held0"), on, "left").select(*own, "_held0").na.fill(0, ["_held0"])
     kinds = "quantity_before long, quantity_after long, oversold boolean, " + ", ".join(f"{k} double" for k in _PREFIX)
-    found = begun.withColumn("_short", F.col("_held0") < 0).groupBy(BLOCK).applyInArrow(_prefixes, f"{schema_of(rows, own)}, {kinds}")
+    found = begun.groupBy(BLOCK).applyInArrow(_prefixes, f"{schema_of(rows, own)}, {kinds}")
     found = staged(found, "prefixes")
-    ends = found.join(blocks.filter("more").select(*on, "at"), on)
-    ends = ends.withColumn("_row", F.row_number().over(Window.partitionBy(*on).orderBy(*[F.desc(c) for c in ORDER]))).filter("_row = 1")
-
-    def packed(batches):
-        for batch in batches:
-            maps = zip(*[batch.column(k).to_pylist() for k in ("_a1", "_m1", "_g1", "_f1")], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in (*KEYS, "at")], pa.array([struct.pack("<4d", *x) for x in maps], pa.binary())],
-                [*KEYS, "at", "map"],
-            )
-
-    maps = ends.select(*KEYS, "at", "_a1", "_m1", "_g1", "_f1").mapInArrow(packed, f"{schema_of(rows, KEYS)}, at long, map binary")
-    states = starting_states(maps, KEYS, [0, 0], _affine_then, _affine_step, levels=levels)
+    levels = levels_for(blocks) if levels is None else levels
+    states = None if levels is None else starting_states(
+        _end_maps(found, blocks), KEYS, [0, 0, 0], _affine_then, _affine_step, levels=levels
+    )
     c = F.col
     flat = with_start(found, blocks, states, KEYS)
     average, fees = (F.coalesce(F.get("state", i), F.lit(0.0)) for i in (F.lit(0), F.lit(1)))
@@ -140,6 +158,7 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
             "_average": c("_a1") * average + c("_m1"),
             "fees_before": c("_g0") * fees + c("_f0"),
             "fees_after": c("_g1") * fees + c("_f1"),
+            "oversold": c("oversold") | (F.coalesce(F.get("state", F.lit(2)), F.lit(0.0)) > 0),
         }
     )
     share = F.try_divide(c("fees_before") * c("quantity"), c("quantity_before"))
@@ -229,28 +248,29 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
         F.lit(0).cast(SHARE).alias("_carried"),
         F.lit(0).cast(SHARE).alias("_realized"),
     )
-    events = ordered_blocks(fill_events.unionByName(mark_events), KEYS, ["ts", "_side", "_id"])
+    events, bucket = bounded_buckets(fill_events.unionByName(mark_events), KEYS, ["ts", "_side", "_id"], grid.bucket("ts"))
     line = running(
         events,
         KEYS,
         ["ts", "_side", "_id"],
-        c(BLOCK),
+        bucket,
         {"_q0": ("last", c("_q")), "_m0": ("last", c("_m"))},
         include_current=False,
     )
     old = F.coalesce(c("_q0") * c("_m0"), F.lit(0.0))
     new = F.coalesce(c("_q"), c("_q0"), F.lit(0.0)) * c("_m")
-    changes = ordered_blocks(line.groupBy("account", "ts").agg(
+    changes = staged(line.groupBy("account", "ts").agg(
         F.sum("_cash").cast(VALUE).alias("_cash"),
         F.sum(new - old).alias("_exposure"),
         F.sum("_carried").cast(SHARE).alias("_carried"),
         F.sum("_realized").cast(SHARE).alias("_realized"),
-    ), ["account"], ["ts"])
+    ), "account-changes")
+    changes, bucket = bounded_buckets(changes, ["account"], ["ts"], grid.bucket("ts"))
     sums = running(
         changes,
         ["account"],
         ["ts"],
-        c(BLOCK),
+        bucket,
         {
             "cash_moved": ("sum", c("_cash")),
             "exposure": ("sum", c("_exposure")),

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.functions.blocks import BITS, ordered_blocks
+from tapeworks.functions.blocks import BITS, bounded_buckets, ordered_blocks
 from tapeworks.functions.cells import failed
 from tapeworks.functions.indicators import frame, lagged
 from tapeworks.functions.series import BLOCK, Grid, owned, running
@@ -216,10 +216,8 @@ def partial_fills(orders: DataFrame, grid: Grid, fraction: str | float = "1") ->
     wanted = F.coalesce(wanted - F.try_mod(wanted, lot), F.lit(0))
     room = F.coalesce(F.col("capacity") - F.try_mod(F.col("capacity"), lot), F.lit(0))
     df = orders.withColumns({"_want": F.when(F.col("eligible"), wanted).otherwise(0), "_room": room})
-    df = ordered_blocks(df, GROUP, ["arrival"])
-    df = running(
-        df, GROUP, ["arrival"], F.col(BLOCK), {"_taken": ("sum", F.col("_want"))}, include_current=False
-    )
+    df, bucket = bounded_buckets(df, GROUP, ["arrival"], F.shiftright("arrival", 16))
+    df = running(df, GROUP, ["arrival"], bucket, {"_taken": ("sum", F.col("_want"))}, include_current=False)
     left = F.greatest(F.col("_room") - F.coalesce("_taken", F.lit(0)), F.lit(0))
     filled = F.least("_want", left).cast("bigint")
     df = df.withColumn("filled_quantity", filled)
@@ -249,8 +247,8 @@ def full_fills(orders: DataFrame, grid: Grid | None = None, *, bits: int = BITS)
     df = orders.withColumn(
         "_ask", F.when(F.col("eligible") & (F.col("quantity") <= F.col("capacity")), F.col("quantity"))
     )
-    df = ordered_blocks(df, GROUP, ["arrival"], bits=bits)
-    df = running(df, GROUP, ["arrival"], F.col(BLOCK), {"_upto": ("sum", F.col("_ask"))})
+    df, bucket = bounded_buckets(df, GROUP, ["arrival"], F.shiftright("arrival", 16), bits=bits)
+    df = running(df, GROUP, ["arrival"], bucket, {"_upto": ("sum", F.col("_ask"))})
     df = staged(df.drop(BLOCK), "asks")
     asks = F.col("_ask").isNotNull()
     fits = asks & (F.col("_upto") <= F.col("capacity"))

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.blocks import ordered_blocks
+from tapeworks.functions.blocks import bounded_buckets
 from tapeworks.functions.cells import local_date
-from tapeworks.functions.series import BLOCK, Grid, running
+from tapeworks.functions.series import Grid, running
 from tapeworks.schemas import CONTRACTS
 
 
@@ -86,8 +86,8 @@ def _asof(left, right, keys, columns, grid, prefix, kind, left_rank) -> DataFram
     timeline = packed.unionByName(events, allowMissingColumns=True)
     # Orders may crowd at one time, so pieces follow from counted rows, and equal times are parted too.
     tie = F.xxhash64("_row", "_hit")
-    timeline = ordered_blocks(timeline, keys, ["ts", "_side"], tie=tie)
-    scanned = running(timeline, keys, ["ts", "_side"], F.col(BLOCK), {"_found": (kind, F.col("_hit"))})
+    timeline, bucket = bounded_buckets(timeline, keys, ["ts", "_side"], grid.bucket("ts"), tie=tie)
+    scanned = running(timeline, keys, ["ts", "_side"], bucket, {"_found": (kind, F.col("_hit"))})
     found = scanned.filter(F.col("_side") == left_rank)
     return found.select(
         "_row.*",

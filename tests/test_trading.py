@@ -348,3 +348,6 @@ def test_a_fill_marks_at_the_open_it_saw(spark):
 def test_all_after_an_oversell_is_flagged(spark):
     book = led.ledger(fill_table(spark, [("A", "buy", 1, 5, 0), ("A", "sell", 2, 5, 0), ("A", "buy", 9, 5, 0), ("B", "buy", 1, 5, 0)]))
     assert [(r.symbol, r.oversold) for r in book.orderBy("symbol", "ts").collect()] == [("A", False), ("A", True), ("A", True), ("B", False)]
+    rows = [("A", "buy", 1, 5, 0), ("A", "sell", 2, 5, 0), *[("A", "buy", 9, 5, 0)] * 9]
+    cut = led.ledger(fill_table(spark, rows), block_rows=2).orderBy("ts").collect()
+    assert [r.oversold for r in cut] == [False] + [True] * 10

@@ -407,7 +407,8 @@ def search_clusters(docs: DataFrame, clusters: DataFrame, size: int, least: int)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return (
-        docs.join(placed, ["doc_id", "key_"])
+        # Text is shuffled at every size, so that work grows as the input does.
+        docs.join(placed.hint("merge"), ["doc_id", "key_"])
         .select(
             "text", F.to_json("task").alias("task"), "cluster", "node", "own",
             F.col("task.i").alias("i"), F.col("task.j").alias("j"),

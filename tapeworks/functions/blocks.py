@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from tapeworks.functions.series import BLOCK
 from tapeworks.session import staged
 
 #: Rows of a block, as a power of two.
-BITS = 16
+BITS = 14
 #: Maps of a key that are gone through in one task; neighbouring maps that are composed into one.
 ONE_LIST, FANOUT = 4096, 512
 
@@ -65,10 +67,12 @@ def schema_of(df: DataFrame, names: Sequence[str]) -> str:
 
 def grouped_rows(table: pa.Table, keys: Sequence[str], order: Sequence[str]) -> tuple[pa.Table, list[int]]:
     """The rows of a block in order, and where each key starts (and the last one ends)."""
-    table = table.sort_by([(c, "ascending") for c in (*keys, *order)])
-    named = list(zip(*[table.column(k).to_pylist() for k in keys], strict=True))
-    starts = [i for i in range(len(named)) if i == 0 or named[i] != named[i - 1]]
-    return table, [*starts, len(named)]
+    table = table.sort_by([(c, "ascending") for c in (*keys, *order)]).combine_chunks()
+    new = np.arange(table.num_rows) == 0
+    for k in keys:
+        codes = pc.dictionary_encode(table.column(k), null_encoding="encode").combine_chunks().indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return table, [*np.flatnonzero(new).tolist(), table.num_rows]
 
 
 def continued(df: DataFrame, keys: Sequence[str]) -> DataFrame:

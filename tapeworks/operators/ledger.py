@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.blocks import (
     BITS,
     bounded_buckets,
+    continued,
     grouped_rows,
     levels_for,
     ordered_blocks,
@@ -126,25 +127,21 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
     go short should have been screened out: it and all later ones of its position are flagged in ``oversold``.
     Rows that come from ``inventory_clamp`` keep their blocks.
     """
-    if BLOCK in fills.columns:
-        rows = fills
-        if "accepted" in rows.columns:
-            rows = rows.filter("accepted").drop("accepted", "held_before")
-        rows = staged(rows, "accepted")
+    kinds = "quantity_before long, quantity_after long, oversold boolean, " + ", ".join(f"{k} double" for k in _PREFIX)
+    if {BLOCK, "accepted", "held_before"} <= set(fills.columns):
+        # What is held at the start of a block is known.
+        rows = fills.filter("accepted").withColumnRenamed("held_before", "_held0").drop("accepted")
+        own = [c for c in rows.columns if c != "_held0"]
     else:
         rows = ordered_blocks(fills, KEYS, ORDER, bits=max(0, (block_rows - 1).bit_length()))
-    own, on = list(rows.columns), [*KEYS, BLOCK]
-    along = Window.partitionBy(*KEYS).orderBy(BLOCK)
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    nets = rows.groupBy(*on).agg(F.sum(_signed(F.col("quantity"))).alias("_net"))
-    blocks = staged(nets.select(
-        *on, (F.row_number().over(along) - 1).cast("long").alias("at"), F.lead(BLOCK).over(along).isNotNull().alias("more"),
-        F.sum("_net").over(earlier).alias("_held0"),
-    ), "blocks")
-    begun = rows.join(blocks.filter("at > 0").select(*on, "_held0"), on, "left").select(*own, "_held0").na.fill(0, ["_held0"])
-    kinds = "quantity_before long, quantity_after long, oversold boolean, " + ", ".join(f"{k} double" for k in _PREFIX)
-    found = begun.groupBy(BLOCK).applyInArrow(_prefixes, f"{schema_of(rows, own)}, {kinds}")
+        own, on = list(rows.columns), [*KEYS, BLOCK]
+        earlier = Window.partitionBy(*KEYS).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        nets = rows.groupBy(*on).agg(F.sum(_signed(F.col("quantity"))).alias("_net"))
+        nets = nets.select(*on, F.sum("_net").over(earlier).alias("_held0")).filter("_held0 IS NOT NULL")
+        rows = rows.join(nets, on, "left").select(*own, "_held0").na.fill(0, ["_held0"])
+    found = rows.groupBy(BLOCK).applyInArrow(_prefixes, f"{schema_of(rows, own)}, {kinds}")
     found = staged(found, "prefixes")
+    blocks = staged(continued(found, KEYS), "blocks")
     levels = levels_for(blocks) if levels is None else levels
     states = None if levels is None else starting_states(
         _end_maps(found, blocks), KEYS, [0, 0, 0], _affine_then, _affine_step, levels=levels

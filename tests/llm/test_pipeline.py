@@ -40,7 +40,7 @@ def brute(rows, items):
     kept = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
     kept = [(i, text) for _, i, text, _, _ in lines.brute(kept)]
     kept = sorted(set(kept))  # rows equal in id and text are one document
-    groups = near.brute(kept)
+    groups = near.brute(kept, 5, 80)
     kept = [r for r, (own, n, top) in zip(kept, groups, strict=True) if not n or own == top]
     dirty = {x[0] for x in leaks.brute(kept, items) if x[4]}
     return [(i, t) for i, t in kept if str(i) not in dirty]

@@ -14,13 +14,13 @@ BAR_SCHEMA = (
 
 
 def wave(n: int, name: str = "A", gap: int = 1) -> list[tuple]:
-    """Closes that rise in sevens; every ``gap`` minutes."""
+    """A saw of ten steps on a slow slope; every ``gap`` minutes."""
     rows = []
     for i in range(n):
-        close = 100 + i % 7 + i / 10
+        close = 80 + 3 * i % 10 + i / 16
         at = START + timedelta(minutes=i * gap)
         rows.append(
-            (name, at, close, close + 2, close - 2, 100.0 + i, None, None, None, None, "p", "v", True)
+            (name, at, close, close + 1.5, close - 1, 40.0 + 2 * i, None, None, None, None, "p", "v", True)
         )
     return rows
 

@@ -65,6 +65,8 @@ class _Chunks(Memo):
         self.bare = _Chunks(encode, limit, word, "") if word and before else self
 
     def __missing__(self, rest: str) -> bytes:
+        if rest.isalpha():
+            return super().__missing__(rest)
         if self.line is not None and "\n" in rest:
             # One line feed between two solid characters is a piece of its own.
             head, _, tail = rest.partition("\n")

@@ -128,6 +128,7 @@ def read_file(path: str) -> Iterator[tuple[int | None, list[np.ndarray]]]:
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
 _SPACE = chr(_SHOWN[32])
+_LETTERS = [chr(_SHOWN.get(x, x)) for x in range(256)].__getitem__
 
 
 class LibraryEncoder:
@@ -142,6 +143,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
+        self.tokenize = self.library.model.tokenize
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         # With the split pattern of byte-level BPE, a space and a word of letters are one piece, which the
         # library's model takes as it is, without splitting and offsets.
@@ -151,9 +153,8 @@ class LibraryEncoder:
         self.chunked = ChunkEncoder(self._library, self._word if unchanged else None)
 
     def _word(self, word: str) -> bytes:
-        plain = word.isascii()
-        piece = word.replace(" ", _SPACE) if plain else word.encode().decode("latin-1").translate(_SHOWN)
-        return array("I", [x.id for x in self.library.model.tokenize(piece)]).tobytes()
+        piece = word.replace(" ", _SPACE) if word.isascii() else "".join(map(_LETTERS, word.encode()))
+        return array("I", [x.id for x in self.tokenize(piece)]).tobytes()
 
     def _library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids

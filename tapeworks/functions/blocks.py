@@ -9,7 +9,7 @@ so starts are found without going through the rows of a key one after the other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,19 @@ from tapeworks.session import staged
 
 #: Rows of a block, as a power of two.
 BITS = 14
+#: What the rows of a key in a block do to what was before them, in the last of them.
+EFFECT = "_effect"
 #: Maps of a key that are gone through in one task; neighbouring maps that are composed into one.
 ONE_LIST, FANOUT = 4096, 512
 
 
 def ordered_blocks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, tie: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, tie: Column | None = None,
+    effect: Callable[[pa.Table], bytes] | None = None,
 ) -> DataFrame:
     """``df`` with ``_block``, which never falls along (keys, order). With ``tie``, rows equal in both are
-    parted by it, so that very many of them don't meet in one task.
+    parted by it, so that very many of them don't meet in one task. With ``effect``, the last row of each key
+    that may go on in another block holds in ``_effect`` what the function makes of the key's rows in the block.
 
     The table is written, as what a sample cut once must stay cut.
     """
@@ -38,7 +42,32 @@ def ordered_blocks(
     by = [F.col(c) for c in (*keys, *order)] + ([] if tie is None else [tie])
     ranged = df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by)
     number = F.shiftright(F.monotonically_increasing_id(), bits)
-    return staged(ranged.withColumn(BLOCK, number), "ordered")
+    ranged = ranged.withColumn(BLOCK, number)
+    if effect is not None:
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _whole_blocks(batches):
+                starts = key_starts(table, keys)
+                found = {b - 1: effect(table.slice(a, b - a)) for a, b in edges(starts)}
+                yield from table.append_column(EFFECT, sparse(found, table.num_rows)).to_batches()
+
+        ranged = ranged.mapInArrow(marked, f"{schema_of(ranged, ranged.columns)}, {EFFECT} binary")
+    return staged(ranged, "ordered")
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Blocks of rows that come in their order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        blocks = batch.column(BLOCK).to_numpy()
+        cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
+            if held and held[0].column(BLOCK)[0].as_py() != int(blocks[a]):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def bounded_buckets(
@@ -65,31 +94,67 @@ def schema_of(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def grouped_rows(table: pa.Table, keys: Sequence[str], order: Sequence[str]) -> tuple[pa.Table, list[int]]:
-    """The rows of a block in order, and where each key starts (and the last one ends)."""
-    table = table.sort_by([(c, "ascending") for c in (*keys, *order)]).combine_chunks()
+def key_starts(table: pa.Table, keys: Sequence[str]) -> list[int]:
+    """Where each key starts (and the last one ends) in rows that are together by key."""
     new = np.arange(table.num_rows) == 0
     for k in keys:
         codes = pc.dictionary_encode(table.column(k), null_encoding="encode").combine_chunks().indices.to_numpy()
         new[1:] |= codes[1:] != codes[:-1]
-    return table, [*np.flatnonzero(new).tolist(), table.num_rows]
+    return [*np.flatnonzero(new).tolist(), table.num_rows]
+
+
+def grouped_rows(table: pa.Table, keys: Sequence[str], order: Sequence[str]) -> tuple[pa.Table, list[int]]:
+    """The rows of a block in order (nulls first, as Spark sorts), and where each key starts (and the last one
+    ends)."""
+    by = [(c, "ascending") for c in (*keys, *order)]
+    table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start")).combine_chunks()
+    return table, key_starts(table, keys)
+
+
+def edges(starts: list[int]) -> list[tuple[int, int]]:
+    """First and last key of a block: no other can go on in another one."""
+    both = list(zip(starts, starts[1:], strict=False))
+    return both[:1] + both[1:][-1:]
+
+
+def sparse(values: dict[int, bytes], n: int) -> pa.Array:
+    """``n`` places that are null but for ``values``."""
+    out: list[bytes | None] = [None] * n
+    for at, value in values.items():
+        out[at] = value
+    return pa.array(out, pa.binary())
+
+
+def known(column: pa.ChunkedArray) -> list:
+    """Numbers of a column, none of which may be missing."""
+    if column.null_count:
+        raise ValueError("a quantity, price or cost is missing")
+    return column.to_numpy().tolist()
 
 
 def continued(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, _block, at (0, 1, ... in each key) and more (a later block follows), one row a block of a key."""
+    """keys, _block, _effect, at (0, 1, ... in each key) and more (a later block follows), one row a block of a
+    key that may go on, from the rows of ``df`` that hold an effect."""
     along = Window.partitionBy(*keys).orderBy(BLOCK)
-    return df.select(*keys, BLOCK).distinct().select(
-        *keys, BLOCK, (F.row_number().over(along) - 1).cast("long").alias("at"),
+    return df.filter(F.col(EFFECT).isNotNull()).select(
+        *keys, BLOCK, EFFECT, (F.row_number().over(along) - 1).cast("long").alias("at"),
         F.lead(BLOCK).over(along).isNotNull().alias("more"),
     )
 
 
 def with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """``state`` of the block before, null where a key begins. One row a block of a key that goes on is joined."""
+    """``state`` of the block before, null where a key begins. One row a block of a key that goes on is joined;
+    it is written first, so that its size is known before the rows are moved."""
     if states is None:
         return rows.withColumn("state", F.lit(None).cast("array<double>"))
     starts = blocks.join(states.withColumn("at", F.col("at") + 1), [*keys, "at"])
-    return rows.join(starts.select(*keys, BLOCK, "state"), [*keys, BLOCK], "left")
+    starts = staged(starts.select(*keys, BLOCK, "state"), "starts")
+    return rows.join(starts, [*keys, BLOCK], "left")
+
+
+def maps_of(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, at, map of every block that goes on."""
+    return blocks.filter("more").select(*keys, "at", F.col(EFFECT).alias("map"))
 
 
 def starting_states(

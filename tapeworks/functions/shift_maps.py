@@ -9,7 +9,7 @@ first, then their starting quantities, then each block once more from its start.
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.blocks import (
+    BITS,
+    EFFECT,
     continued,
     grouped_rows,
+    known,
     levels_for,
+    ordered_blocks,
     schema_of,
     starting_states,
     with_start,
@@ -29,6 +33,13 @@ from tapeworks.session import staged
 
 #: What a row adds (above 0) or takes if enough is held (below 0), and what a key begins with.
 DELTA, START = "_delta", "_start"
+#: Optional: what is held is never more.
+MOST = "_most"
+UNBOUNDED = 1 << 62
+#: Intervals of a map that is made without knowing what may be held before its block.
+EASY = 1024
+#: A key that has not begun holds this; its first block knows what it begins with.
+_UNBEGUN = -1
 
 
 class ShiftMap:
@@ -42,13 +53,16 @@ class ShiftMap:
         self.lows, self.shifts, self.most = lows, shifts, most
 
     @classmethod
-    def of(cls, deltas: list[int], most: int) -> ShiftMap:
+    def of(cls, deltas: list[int], most: int = UNBOUNDED, limit: int | None = None) -> ShiftMap | None:
+        """None if the map has more than ``limit`` intervals on the way."""
         lows, shifts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # What all starts have gained alike, and the least that any holds without it.
+        alike, least = 0, 0
         for delta in deltas:
-            if delta >= 0:
-                shifts = shifts + delta
+            if delta >= 0 or least + alike + delta >= 0:
+                alike += delta
                 continue
-            quantity = -delta
+            shifts, quantity, alike = shifts + alike, -delta, 0
             need = quantity - shifts  # the least start that holds enough
             ends = np.append(lows[1:], most + 1)
             whole, cut = need <= lows, (need > lows) & (need < ends)
@@ -59,7 +73,10 @@ class ShiftMap:
                 moved = np.insert(moved, at, shifts[cut] - quantity)
             new = np.append(True, moved[1:] != moved[:-1])
             lows, shifts = lows[new], moved[new]
-        return cls(lows, shifts, most)
+            least = int((lows + shifts).min())
+            if limit is not None and len(lows) > limit:
+                return None
+        return cls(lows, shifts + alike, most)
 
     def at(self, quantity: int) -> int:
         return quantity + int(self.shifts[np.searchsorted(self.lows, quantity, "right") - 1])
@@ -77,6 +94,10 @@ class ShiftMap:
         new = np.append(True, shifts[1:] != shifts[:-1])
         return ShiftMap(lows[new], shifts[new], self.most)
 
+    def upto(self, most: int) -> ShiftMap:
+        n = max(1, int(np.searchsorted(self.lows, most, "right")))
+        return ShiftMap(self.lows[:n], self.shifts[:n], most)
+
     def pack(self) -> bytes:
         return struct.pack("<q", self.most) + self.lows.astype("<i8").tobytes() + self.shifts.astype("<i8").tobytes()
 
@@ -87,66 +108,125 @@ class ShiftMap:
         return cls(both[1 : n + 1], both[n + 1 :], int(both[0]))
 
 
+_HEAD, _HEAD_BYTES = "<3q", 24
+
+
+def _effect(table: pa.Table) -> bytes:
+    """What the key begins with if this is its first block, what its rows add, the bound on what refused ones
+    leave (less what is held before), and their map if it is easy."""
+    most = table.column(MOST)[0].as_py() if MOST in table.column_names else UNBOUNDED
+    deltas = known(table.column(DELTA))
+    moved = np.array(deltas, np.int64)
+    sums, takes = np.cumsum(moved), moved < 0
+    over = int((-moved - 1 - sums)[takes].max()) if takes.any() else -UNBOUNDED
+    found = ShiftMap.of(deltas, most, EASY)
+    head = struct.pack(_HEAD, table.column(START)[0].as_py(), int(sums[-1]), over)
+    return head if found is None else head + found.pack()
+
+
 def _shift_maps(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys, at, map for every block of a key that goes on in a later one.
 
     What is held is never larger than a bound that is easy to follow: taking s leaves at most the larger of
-    what it would leave if allowed, and s - 1 if not. It keeps maps small where much is refused.
+    what it would leave if allowed, and s - 1 if not. It keeps maps small where much is refused. Most maps were
+    made with the blocks; the others are made here, from the rows of their blocks, up to the bound.
     """
-    on = [*keys, BLOCK]
-    inside = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    begin = F.when(F.col("at") == 0, F.col(START)).otherwise(0)
-    held = rows.join(blocks.filter("more"), on).select(
-        *on, "at", *order, DELTA, begin.alias(START), (F.sum(DELTA).over(inside) + begin).alias("_sum")
-    )
-    refused = F.max(F.when(F.col(DELTA) < 0, -F.col(DELTA) - 1 - F.col("_sum")))
-    bounds = held.groupBy(*on, "at").agg((F.sum(DELTA) + F.max(START)).alias("_net"), refused.alias("_over"))
+    on, facts = [*keys, BLOCK], ["_begin", "_net", "_over"]
+
+    def heads(batches):
+        for batch in batches:
+            raw = batch.column(EFFECT).to_pylist()
+            found = zip(*(struct.unpack_from(_HEAD, x) for x in raw), strict=True) if raw else ((), (), ())
+            arrays = [*(batch.column(c) for c in (*on, "at", EFFECT)), *(pa.array(x, pa.int64()) for x in found)]
+            yield pa.RecordBatch.from_arrays(arrays, [*on, "at", EFFECT, *facts])
+
+    going = blocks.filter("more").select(*on, "at", EFFECT)
+    kinds = ", ".join(f"{c} long" for c in facts)
+    bounds = going.mapInArrow(heads, f"{schema_of(going, going.columns)}, {kinds}")
+    begin = F.when(F.col("at") == 0, F.col("_begin")).otherwise(0)
     earlier = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = bounds.withColumns({"_net": F.col("_net") + begin, "_over": F.col("_over") - begin})
     bounds = bounds.withColumn("_base", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
     peak = F.greatest(F.lit(0), F.max(F.col("_over") - F.col("_base")).over(earlier))
-    bounds = bounds.select(*on, (F.col("_base") + peak).alias("_most"))
-
-    def make(key: tuple, table: pa.Table) -> pa.Table:
+    bounds = bounds.withColumn(MOST, F.when(F.col("at") == 0, F.col("_begin")).otherwise(F.col("_base") + peak))
+    bounds = bounds.withColumn("_easy", F.length(EFFECT) > _HEAD_BYTES)
+    bounds = staged(bounds.select(*on, "at", EFFECT, MOST, "_easy"), "bounds")
+    named = f"{schema_of(rows, keys)}, at long, map binary"
+
+    def cut(batches):
+        for batch in batches:
+            both = zip(batch.column(EFFECT).to_pylist(), batch.column(MOST).to_pylist(), strict=True)
+            maps = [x[: _HEAD_BYTES] + ShiftMap.unpack(x[_HEAD_BYTES :]).upto(most).pack() for x, most in both]
+            arrays = [*(batch.column(c) for c in (*keys, "at")), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keys, "at", "map"])
+
+    easy = bounds.filter("_easy").mapInArrow(cut, named)
+    if not bounds.filter("NOT _easy").limit(1).count():
+        return easy
+
+    def make(table: pa.Table) -> pa.Table:
         table, _ = grouped_rows(table, keys, order)
-        deltas = [table.column(START)[0].as_py(), *table.column(DELTA).to_pylist()]
-        found = ShiftMap.of(deltas, table.column("_most")[0].as_py())
+        found = ShiftMap.of(known(table.column(DELTA)), table.column(MOST)[0].as_py())
         own = {k: table.column(k).slice(0, 1) for k in (*keys, "at")}
-        return pa.table(own | {"map": pa.array([found.pack()], pa.binary())})
-
-    named = schema_of(rows, keys)
-    return held.drop("_sum").join(bounds, on).groupBy(*on).applyInArrow(make, f"{named}, at long, map binary")
-
-
-def accept_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, levels: int | None = None) -> DataFrame:
-    """Adds held_before and accepted to ``rows`` (from ``ordered_blocks``, with the whole numbers ``_delta``
-    and ``_start``, which are dropped). ``levels``: how often neighbouring maps are composed first; by default
-    as their number asks for."""
+        raw = table.column(EFFECT)[0].as_py() + found.pack()
+        return pa.table(own | {"map": pa.array([raw], pa.binary())})
+
+    hard = staged(bounds.filter("NOT _easy").drop("_easy"), "hard")
+    again = rows.select(*on, *[c for c in order if c not in on], DELTA).join(hard, on)
+    return easy.unionByName(again.groupBy(*on).applyInArrow(make, named))
+
+
+def _then(first: bytes, later: bytes) -> bytes:
+    n = _HEAD_BYTES
+    return first[:n] + ShiftMap.unpack(first[n:]).then(ShiftMap.unpack(later[n:])).pack()
+
+
+def _step(state: list[float], one: bytes) -> list[float]:
+    held = struct.unpack_from(_HEAD, one)[0] if state[0] == _UNBEGUN else int(state[0])
+    return [float(ShiftMap.unpack(one[_HEAD_BYTES :]).at(held))]
+
+
+def accept_in_order(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    *,
+    bits: int = BITS,
+    levels: int | None = None,
+    then: Callable[[pa.Table], pa.Table] | None = None,
+    gives: str = "",
+) -> DataFrame:
+    """Adds held_before, accepted and _block to ``df`` (with the whole numbers ``_delta``, ``_start`` and perhaps
+    ``_most``, which are dropped). ``levels``: how often neighbouring maps are composed first; by default as
+    their number asks for. ``then`` goes on with the rows of a block at once, in order; ``gives`` are the columns it
+    puts in the place of the two."""
     keys, order = list(keys), list(order)
+    rows = ordered_blocks(df, keys, order, bits=bits, effect=_effect)
     blocks = staged(continued(rows, keys), "blocks")
     levels, states = levels_for(blocks) if levels is None else levels, None
     if levels is not None:
         states = starting_states(
-            _shift_maps(rows, blocks, keys, order), keys, [0],
-            lambda a, b: ShiftMap.unpack(a).then(ShiftMap.unpack(b)).pack(),
-            lambda state, x: [float(ShiftMap.unpack(x).at(int(state[0])))], levels=levels,
-        )
-    kept = [c for c in rows.columns if c not in (DELTA, START)]
+            _shift_maps(rows, blocks, keys, order), keys, [_UNBEGUN], _then, _step, levels=levels
+        )
+    kept = [c for c in rows.columns if c not in (DELTA, START, MOST, EFFECT)]
 
     def replay(table: pa.Table) -> pa.Table:
         table, starts = grouped_rows(table, keys, order)
-        deltas, begin, given = table.column(DELTA).to_pylist(), table.column(START), table.column("state")
+        deltas, begin, given = known(table.column(DELTA)), table.column(START), table.column("state")
         before, accepted = [], []
         for a, b in zip(starts, starts[1:], strict=False):
             state = given[a].as_py()
             held = begin[a].as_py() if state is None else int(state[0])
             for delta in deltas[a:b]:
                 before.append(held)
-                accepted.append(held + delta >= 0 or delta >= 0)
-                if accepted[-1]:
+                fits = held + delta >= 0 or delta >= 0
+                accepted.append(fits)
+                if fits:
                     held += delta
         table = table.select(kept).append_column("held_before", pa.array(before, pa.int64()))
-        return table.append_column("accepted", pa.array(accepted, pa.bool_()))
+        table = table.append_column("accepted", pa.array(accepted, pa.bool_()))
+        return table if then is None else then(table)
 
-    schema = f"{schema_of(rows, kept)}, held_before long, accepted boolean"
-    joined = with_start(rows, blocks, states, keys).select(*rows.columns, "state")
+    schema = f"{schema_of(rows, kept)}, {gives or 'held_before long, accepted boolean'}"
+    joined = with_start(rows.drop(EFFECT, MOST), blocks, states, keys)
     return joined.groupBy(BLOCK).applyInArrow(replay, schema)

@@ -10,18 +10,26 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.blocks import (
     BITS,
+    EFFECT,
     bounded_buckets,
     continued,
+    edges,
     grouped_rows,
+    key_starts,
+    known,
     levels_for,
+    maps_of,
     ordered_blocks,
     schema_of,
+    sparse,
     starting_states,
     with_start,
 )
@@ -46,9 +54,11 @@ def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = B
     Adds held_before and accepted. Quantities are whole numbers from 1 on. Fills of a position follow each
     other by ts, then client_order_id; rows equal in all of these are taken in any order.
     """
-    rows = ordered_blocks(fills, KEYS, ORDER, bits=bits)
-    rows = rows.withColumns({DELTA: _signed(F.col("quantity")), START: F.lit(0).cast("long")})
-    return accept_in_order(rows, KEYS, ORDER, levels=levels)
+    return accept_in_order(_moves(fills), KEYS, ORDER, bits=bits, levels=levels)
+
+
+def _moves(fills: DataFrame) -> DataFrame:
+    return fills.withColumns({DELTA: _signed(F.col("quantity")).cast("long"), START: F.lit(0).cast("long")})
 
 
 _PREFIX = ["_a0", "_a1", "_m0", "_m1", "_g0", "_g1", "_f0", "_f1"]
@@ -65,59 +75,77 @@ def _affine_step(state: list[float], one: bytes) -> list[float]:
     return [a * state[0] + m, g * state[1] + f, max(state[2], short)]
 
 
-def _prefixes(table: pa.Table) -> pa.Table:
+_GIVES = (
+    "quantity_before long, quantity_after long, oversold boolean, "
+    + ", ".join(f"{k} double" for k in _PREFIX)
+    + f", {EFFECT} binary"
+)
+
+
+def _prefixes(table: pa.Table, starts: list[int]) -> pa.Table:
     """Quantities, and average and fees after each fill as an affine function of those before the block.
 
-    Average: ``a * start + m``; fees: ``g * start + f``.
+    Average: ``a * start + m``; fees: ``g * start + f``. ``_held0`` of a key's first row is what is held before it.
     """
-    table, starts = grouped_rows(table, KEYS, ORDER)
-    sides, quantities, first = (table.column(k).to_pylist() for k in ("side", "quantity", "_held0"))
-    prices = table.column("price").cast(pa.float64()).to_pylist()
-    costs = table.column("cost").cast(pa.float64()).to_pylist()
-    out: list[list] = [[] for _ in range(11)]
-    for i, b in zip(starts, starts[1:], strict=False):
-        held, a, m, g, f, over = first[i], 1.0, 0.0, 1.0, 0.0, first[i] < 0
-        for k in range(i, b):
-            quantity, before = quantities[k], (a, m, g, f)
-            old = held
-            if sides[k] == "buy":
-                held += quantity
-                a, m = (a * old / held, (m * old + prices[k] * quantity) / held) if held else (0.0, 0.0)
-                f += costs[k]
+    n, pieces = table.num_rows, list(zip(starts, starts[1:], strict=False))
+    buys = pc.equal(table.column("side"), "buy").combine_chunks().to_numpy(zero_copy_only=False)
+    quantity = np.array(known(table.column("quantity")), np.int64)
+    moved = np.where(buys, quantity, -quantity)
+    sums, held0 = np.append(0, np.cumsum(moved)), table.column("_held0").to_numpy()
+    lengths, firsts = np.diff(starts), np.array(starts[:-1], np.int64)
+    after = sums[1:] + np.repeat(held0[firsts] - sums[firsts], lengths)
+    before = after - moved
+    short = np.append(0, np.cumsum(after < 0))
+    over = (short[1:] - np.repeat(short[firsts], lengths) > 0) | np.repeat(held0[firsts] < 0, lengths)
+    facts = (buys.tolist(), quantity.tolist(), before.tolist(), after.tolist(),
+             known(table.column("price").cast(pa.float64())), known(table.column("cost").cast(pa.float64())))
+    found: list[list[float]] = [[], [], [], []]
+    add_a, add_m, add_g, add_f = (x.append for x in found)
+    for i, b in pieces:
+        a, m, g, f = 1.0, 0.0, 1.0, 0.0
+        for buy, size, old, held, price, cost in zip(*(x[i:b] for x in facts), strict=True):
+            if buy:
+                a, m = (a * old / held, (m * old + price * size) / held) if held else (0.0, 0.0)
+                f += cost
+            elif held <= 0:
+                a = m = g = f = 0.0
             else:
-                held -= quantity
-                if held <= 0:
-                    a = m = g = f = 0.0
-                else:
-                    g, f = g - g * quantity / old, f - f * quantity / old
-            over = over or held < 0
-            row = (old, held, over, before[0], a, before[1], m, before[2], g, before[3], f)
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 8]
+                g, f = g - g * size / old, f - f * size / old
+            add_a(a)
+            add_m(m)
+            add_g(g)
+            add_f(f)
+    columns = {"quantity_before": before, "quantity_after": after, "oversold": over}
+    for name, first, column in zip("amgf", (1.0, 0.0, 1.0, 0.0), found, strict=True):
+        now = np.array(column, np.float64)
+        was = np.append(first, now)[:-1]
+        was[firsts] = first
+        columns |= {f"_{name}0": was, f"_{name}1": now}
+    ends = {
+        b - 1: struct.pack("<5d", *(x[b - 1] for x in found), float(over[b - 1])) for _, b in edges(starts) if n
+    }
     table = table.drop_columns(["_held0"])
-    for name, kind, column in zip(["quantity_before", "quantity_after", "oversold", *_PREFIX], kinds, out, strict=True):
-        table = table.append_column(name, pa.array(column, kind))
-    return table
+    for name in ("quantity_before", "quantity_after", "oversold", *_PREFIX):
+        table = table.append_column(name, pa.array(columns[name]))
+    return table.append_column(EFFECT, sparse(ends, n))
 
 
-def _end_maps(found: DataFrame, blocks: DataFrame) -> DataFrame:
-    """keys, at, map of every block that goes on: its last row holds the effect of all of them."""
-    on = [*KEYS, BLOCK]
-    last = Window.partitionBy(*on).orderBy(*[F.desc(c) for c in ORDER])
-    ends = found.join(blocks.filter("more").select(*on, "at"), on)
-    ends = ends.withColumn("_row", F.row_number().over(last)).filter("_row = 1")
+def _sorted_prefixes(table: pa.Table) -> pa.Table:
+    return _prefixes(*grouped_rows(table, KEYS, ORDER))
 
-    def packed(batches):
-        for batch in batches:
-            maps = zip(*[batch.column(k).to_pylist() for k in ("_a1", "_m1", "_g1", "_f1", "_short")], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in (*KEYS, "at")], pa.array([struct.pack("<5d", *x) for x in maps], pa.binary())],
-                [*KEYS, "at", "map"],
-            )
 
-    columns = ends.select(*KEYS, "at", "_a1", "_m1", "_g1", "_f1", F.col("oversold").cast("double").alias("_short"))
-    return columns.mapInArrow(packed, f"{schema_of(found, KEYS)}, at long, map binary")
+def _accepted_prefixes(table: pa.Table) -> pa.Table:
+    table = table.filter(table.column("accepted")).drop_columns(["accepted"])
+    names = ["_held0" if c == "held_before" else c for c in table.column_names]
+    return _prefixes(table.rename_columns(names), key_starts(table, KEYS))
+
+
+def screened_ledger(fills: DataFrame, *, bits: int = BITS, levels: int | None = None) -> DataFrame:
+    """The ``ledger`` of the fills that ``inventory_clamp`` accepts, both in one pass over each block."""
+    found = accept_in_order(
+        _moves(fills), KEYS, ORDER, bits=bits, levels=levels, then=_accepted_prefixes, gives=_GIVES
+    )
+    return _settled(found, levels)
 
 
 def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 << BITS, levels: int | None = None) -> DataFrame:
@@ -127,7 +155,6 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
     go short should have been screened out: it and all later ones of its position are flagged in ``oversold``.
     Rows that come from ``inventory_clamp`` keep their blocks.
     """
-    kinds = "quantity_before long, quantity_after long, oversold boolean, " + ", ".join(f"{k} double" for k in _PREFIX)
     if {BLOCK, "accepted", "held_before"} <= set(fills.columns):
         # What is held at the start of a block is known.
         rows = fills.filter("accepted").withColumnRenamed("held_before", "_held0").drop("accepted")
@@ -139,15 +166,20 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
         nets = rows.groupBy(*on).agg(F.sum(_signed(F.col("quantity"))).alias("_net"))
         nets = nets.select(*on, F.sum("_net").over(earlier).alias("_held0")).filter("_held0 IS NOT NULL")
         rows = rows.join(nets, on, "left").select(*own, "_held0").na.fill(0, ["_held0"])
-    found = rows.groupBy(BLOCK).applyInArrow(_prefixes, f"{schema_of(rows, own)}, {kinds}")
+    found = rows.groupBy(BLOCK).applyInArrow(_sorted_prefixes, f"{schema_of(rows, own)}, {_GIVES}")
+    return _settled(found, levels)
+
+
+def _settled(found: DataFrame, levels: int | None) -> DataFrame:
+    """The ledger from ``_prefixes``."""
     found = staged(found, "prefixes")
     blocks = staged(continued(found, KEYS), "blocks")
     levels = levels_for(blocks) if levels is None else levels
     states = None if levels is None else starting_states(
-        _end_maps(found, blocks), KEYS, [0, 0, 0], _affine_then, _affine_step, levels=levels
+        maps_of(blocks, KEYS), KEYS, [0, 0, 0], _affine_then, _affine_step, levels=levels
     )
     c = F.col
-    flat = with_start(found, blocks, states, KEYS)
+    flat = with_start(found.drop(EFFECT), blocks, states, KEYS)
     average, fees = (F.coalesce(F.get("state", i), F.lit(0.0)) for i in (F.lit(0), F.lit(1)))
     flat = flat.withColumns(
         {

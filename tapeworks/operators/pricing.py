@@ -9,11 +9,11 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.functions.blocks import BITS, bounded_buckets, ordered_blocks
+from tapeworks.functions.blocks import BITS, bounded_buckets
 from tapeworks.functions.cells import failed
 from tapeworks.functions.indicators import frame, lagged
 from tapeworks.functions.series import BLOCK, Grid, owned, running
-from tapeworks.functions.shift_maps import DELTA, START, accept_in_order
+from tapeworks.functions.shift_maps import DELTA, MOST, START, accept_in_order
 from tapeworks.operators.sessions import next_after
 from tapeworks.session import staged
 
@@ -264,8 +264,8 @@ def full_fills(orders: DataFrame, grid: Grid | None = None, *, bits: int = BITS)
     hopeless = ~before & asks & (F.col("_ask") > left)
     settled = df.filter(before | ~asks | hopeless).withColumn("accepted", fits & ~hopeless)
     contested = df.filter(~before & asks & (F.col("_ask") <= left))
-    contested = contested.withColumns({DELTA: (-F.col("_ask")).cast("long"), START: left.cast("long")})
-    taken = accept_in_order(ordered_blocks(contested, GROUP, ["arrival"], bits=bits), GROUP, ["arrival"])
+    contested = contested.withColumns({DELTA: (-F.col("_ask")).cast("long"), START: left.cast("long"), MOST: left.cast("long")})
+    taken = accept_in_order(contested, GROUP, ["arrival"], bits=bits)
     done = settled.unionByName(taken.select(*settled.columns))
     reason = F.when(F.col("eligible") & ~F.col("accepted"), "partial_fill_unsupported")
     return done.withColumn("accepted", F.coalesce("accepted", F.lit(False))).withColumn(

@@ -102,7 +102,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "client_order_id"
             ),
             F.col("p_brand").alias("symbol"),
-            F.when(sell, "sell").otherwise("buy").alias("side"),
+            F.coalesce(sell, F.lit(False)).alias("sells"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
             _money("l_extendedprice").alias("price"),
             F.round(F.col("l_tax") * 100, 0).cast("decimal(18,2)").alias("cost"),
@@ -110,7 +110,8 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .groupBy("account", "client_order_id", "symbol", "ts")
         .agg(
-            F.max("side").alias("side"),
+            # A largest text would have to be sorted for.
+            F.when(F.max("sells"), "sell").otherwise("buy").alias("side"),
             F.max("quantity").alias("quantity"),
             F.max("price").alias("price"),
             F.max("cost").alias("cost"),

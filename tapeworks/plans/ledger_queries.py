@@ -45,12 +45,8 @@ FROM book_steps s JOIN fill_seq f ON f.account = s.account AND f.symbol = s.symb
 view("book", "SELECT * FROM book_steps WHERE accepted")
 
 
-def _accepted(spark, sf):
-    return led.inventory_clamp(fx.fills(spark, sf), GRID)
-
-
 def _book(spark, sf):
-    return led.ledger(_accepted(spark, sf), GRID)
+    return led.screened_ledger(fx.fills(spark, sf))
 
 
 @query(
@@ -85,8 +81,8 @@ def ledger_fees(spark, sf):
 )
 def plain_ledger(spark, sf):
     """The ledger without fees, summed per position."""
-    free = _accepted(spark, sf).withColumn("cost", F.lit(0).cast("decimal(18,2)"))
-    rows = led.ledger(free, GRID).groupBy("account", "symbol").agg(
+    free = fx.fills(spark, sf).withColumn("cost", F.lit(0).cast("decimal(18,2)"))
+    rows = led.screened_ledger(free).groupBy("account", "symbol").agg(
         F.sum(F.when(F.col("side") == "buy", F.col("quantity"))).alias("bought"),
         F.sum(F.when(F.col("side") == "sell", F.col("realized_pnl"))).alias("realized_pnl"),
     )

@@ -351,3 +351,39 @@ def test_all_after_an_oversell_is_flagged(spark):
     rows = [("A", "buy", 1, 5, 0), ("A", "sell", 2, 5, 0), *[("A", "buy", 9, 5, 0)] * 9]
     cut = led.ledger(fill_table(spark, rows), block_rows=2).orderBy("ts").collect()
     assert [r.oversold for r in cut] == [False] + [True] * 10
+
+
+def test_clamp_where_nearly_all_is_refused(spark):
+    # Sizes and refusals give more intervals than a map made without a bound may have.
+    rng, rows = random.Random(12), []
+    for i in range(9000):
+        side = "sell" if rng.random() < 0.6 else "buy"
+        rows.append(("A", "HOT", f"o{i:05d}", side, rng.randint(1, 5000), NOW + timedelta(minutes=i)))
+    df = spark.createDataFrame(
+        rows, "account string, symbol string, client_order_id string, side string, quantity bigint, ts timestamp"
+    )
+    got = led.inventory_clamp(df, bits=12).collect()
+    assert {(r.account, r.symbol, r.client_order_id): (r.held_before, r.accepted) for r in got} == clamp_loop(rows)
+
+
+@pytest.mark.parametrize("levels", [None, 1])
+def test_screened_ledger_is_clamp_and_ledger(spark, levels):
+    rng = random.Random(3)
+    rows = [("HOT" if i % 7 else f"S{i % 4}", rng.choice(["buy", "sell"]), rng.randint(1, 9), 100 + i % 11, 1) for i in range(300)]
+    fills = fill_table(spark, rows)
+    columns = ["symbol", "ts", "quantity_after", "oversold", *[F.round(c, 6) for c in ("average_price", "fees_after", "realized_pnl")]]
+    one = led.screened_ledger(fills, bits=3, levels=levels).select(*columns).collect()
+    assert sorted(map(str, one)) == sorted(map(str, led.ledger(led.inventory_clamp(fills)).select(*columns).collect()))
+
+
+def test_fills_are_not_sorted_to_be_told_apart(spark):
+    from tapeworks.plans import fixtures as fx
+
+    plan = fx.fills(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_rows_of_blocks_move_once(spark):
+    fills = fill_table(spark, [("A", "buy", 1, 5, 0)] * 40)
+    plan = led.inventory_clamp(fills, bits=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -216,7 +216,7 @@ def partial_fills(orders: DataFrame, grid: Grid, fraction: str | float = "1") ->
     wanted = F.coalesce(wanted - F.try_mod(wanted, lot), F.lit(0))
     room = F.coalesce(F.col("capacity") - F.try_mod(F.col("capacity"), lot), F.lit(0))
     df = orders.withColumns({"_want": F.when(F.col("eligible"), wanted).otherwise(0), "_room": room})
-    df, bucket = bounded_buckets(df, GROUP, ["arrival"], F.shiftright("arrival", 16))
+    df, bucket = bounded_buckets(staged(df, "orders"), GROUP, ["arrival"], F.lit(0))
     df = running(df, GROUP, ["arrival"], bucket, {"_taken": ("sum", F.col("_want"))}, include_current=False)
     left = F.greatest(F.col("_room") - F.coalesce("_taken", F.lit(0)), F.lit(0))
     filled = F.least("_want", left).cast("bigint")
@@ -247,7 +247,8 @@ def full_fills(orders: DataFrame, grid: Grid | None = None, *, bits: int = BITS)
     df = orders.withColumn(
         "_ask", F.when(F.col("eligible") & (F.col("quantity") <= F.col("capacity")), F.col("quantity"))
     )
-    df, bucket = bounded_buckets(df, GROUP, ["arrival"], F.shiftright("arrival", 16), bits=bits)
+    # A group in one piece, unless it is large: arrivals may lie so far apart that any bucket holds but a row.
+    df, bucket = bounded_buckets(staged(df, "orders"), GROUP, ["arrival"], F.lit(0), bits=bits)
     df = running(df, GROUP, ["arrival"], bucket, {"_upto": ("sum", F.col("_ask"))})
     df = staged(df.drop(BLOCK), "asks")
     asks = F.col("_ask").isNotNull()

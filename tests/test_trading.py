@@ -387,3 +387,23 @@ def test_rows_of_blocks_move_once(spark):
     fills = fill_table(spark, [("A", "buy", 1, 5, 0)] * 40)
     plan = led.inventory_clamp(fills, bits=2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_orders_far_apart_share_a_bucket(spark, monkeypatch):
+    rows = [("A", NOW, i * 10**9, 10, 1000, True, 1) for i in range(200)]
+    df = spark.createDataFrame(
+        rows,
+        "instrument_id string, executed_at timestamp, arrival bigint, quantity bigint, capacity bigint, "
+        "eligible boolean, lot_size bigint",
+    )
+    seen, running = [], pricing.running
+
+    def counted(rows, keys, order, bucket, *args, **kwargs):
+        seen.append(rows.select(*keys, bucket.alias("_b")).distinct().count())
+        return running(rows, keys, order, bucket, *args, **kwargs)
+
+    monkeypatch.setattr(pricing, "running", counted)
+    got = {r.arrival: r.filled_quantity for r in pricing.partial_fills(df, GRID).collect()}
+    assert got == {i * 10**9: 10 if i < 100 else 0 for i in range(200)}
+    assert sum(r.accepted for r in pricing.full_fills(df).collect()) == 100
+    assert seen == [1, 1]

@@ -4,7 +4,9 @@ Each distinct shingle set gets a MinHash signature. A tree is one order of the s
 sets that agree in the first few components stand side by side. Depth adapts to the region: where a prefix is
 shared by few sets, it is a region; where by many, those sets are parted by longer prefixes, and only they.
 Within a region, sets sorted by signature are searched from neighbour to neighbour; those whose whole
-signatures agree well enough are candidates. A region too large at the last depth is taken whole.
+signatures agree well enough are candidates. A region too large at the last depth is taken whole. Sets of a
+crowded region that longer prefixes part are compared too: it is cut into chunks, and every two chunks are
+searched together.
 
 Candidates only say which sets may belong together: their closure is a cluster, wider than the answer. In a
 cluster, links are decided on the full sets. A large cluster is cut into blocks: links inside each block first;
@@ -174,6 +176,25 @@ def likely(regions: DataFrame, sets: DataFrame, need: int, n_bins: int) -> DataF
     return rows.groupBy("bin").applyInArrow(search, "u long, v long")
 
 
+def across(crowd: DataFrame, sets: DataFrame, need: int) -> DataFrame:
+    """u, v: candidates within each region of ``crowd`` (node, key, m sets in all), enough of them to join all,
+    whatever longer prefixes part. Every two chunks of a region are one group."""
+
+    def search(table: pa.Table) -> pa.Table:
+        marks, nodes = _signatures(table.column("signature")), np.asarray(table.column("node"))
+        both = nodes[np.array(_walk(marks, need), np.int64).reshape(-1, 2)]
+        return pa.table({"u": pa.array(both[:, 0], pa.int64()), "v": pa.array(both[:, 1], pa.int64())})
+
+    # A region is crowded, so it has two chunks at least.
+    chunks = F.ceil(F.col("m") / F.lit(CROWDED)).cast("int")
+    rows = crowd.select("node", "key", chunks.alias("chunks")).join(sets.select("node", "signature"), "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("mine <> other")
+    rows = rows.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    rows = rows.select("key", "low", "high", "node", "signature")
+    return rows.groupBy("key", "low", "high").applyInArrow(search, "u long, v long")
+
+
 def forest(sets: DataFrame, least: int) -> DataFrame:
     """u, v (staged): candidate pairs of ``sets`` (node, signature), enough to join all that are alike."""
     p = least / 100
@@ -191,7 +212,9 @@ def forest(sets: DataFrame, least: int) -> DataFrame:
             found.append(staged(likely(few, sets, need, 1 + total // TASK_ROWS).distinct(), "likely"))
         if not most or most <= CROWDED:
             break
-        crowd = staged(met.filter(F.col("m") > CROWDED).select("node", "tree", "lead"), "crowd")
+        crowd = staged(met.filter(F.col("m") > CROWDED).select("node", "tree", "lead", "key", "m"), "crowd")
+        if i == 0:
+            found.append(staged(across(crowd, sets, need).distinct(), "across"))
         if i + 1 == len(DEPTHS):
             # Alike as far as the forest can tell: the full sets decide.
             found.append(crowd.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")))

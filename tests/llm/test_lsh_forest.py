@@ -77,3 +77,16 @@ def test_a_star_is_found_from_any_side():
     for turn in range(3):
         pairs, best = lsh_forest.inner_links(sets[turn:] + sets[:turn], 80)
         assert len(pairs) == 30 and best[0] in (0, (len(sets) - turn) % len(sets), *best)
+
+
+def test_a_crowded_region_parts_no_likely_pair(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "CROWDED", 8)
+    rng = np.random.default_rng(1)
+    marks = rng.integers(0, 2**16, (30, lsh_forest.COMPONENTS)).astype("<u2")
+    # Two that agree in 97 of 128 parts, but of all prefixes only in the shortest one of the first tree.
+    marks[1] = marks[0]
+    marks[1, 7::4] += 1
+    marks[:, :5] = marks[0, :5]
+    rows = [(i, bytearray(m.tobytes())) for i, m in enumerate(marks)]
+    found = lsh_forest.forest(spark.createDataFrame(rows, "node long, signature binary"), 80).collect()
+    assert {tuple(sorted((r.u, r.v))) for r in found} == {(0, 1)}

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +25,17 @@ from tapeworks.session import staged
 BITS = 14
 #: What the rows of a key in a block do to what was before them, in the last of them.
 EFFECT = "_effect"
+#: The rows of a block in their order, as one value.
+ROWS = "_rows"
 #: Maps of a key that are gone through in one task; neighbouring maps that are composed into one.
 ONE_LIST, FANOUT = 4096, 512
 
 
 def ordered_blocks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, tie: Column | None = None,
-    effect: Callable[[pa.Table], bytes] | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, tie: Column | None = None
 ) -> DataFrame:
     """``df`` with ``_block``, which never falls along (keys, order). With ``tie``, rows equal in both are
-    parted by it, so that very many of them don't meet in one task. With ``effect``, the last row of each key
-    that may go on in another block holds in ``_effect`` what the function makes of the key's rows in the block.
+    parted by it, so that very many of them don't meet in one task.
 
     The table is written, as what a sample cut once must stay cut.
     """
@@ -42,34 +43,87 @@ def ordered_blocks(
     by = [F.col(c) for c in (*keys, *order)] + ([] if tie is None else [tie])
     ranged = df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by)
     number = F.shiftright(F.monotonically_increasing_id(), bits)
-    ranged = ranged.withColumn(BLOCK, number)
-    if effect is not None:
+    return staged(ranged.withColumn(BLOCK, number), "ordered")
 
-        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in _whole_blocks(batches):
-                starts = key_starts(table, keys)
-                found = {b - 1: effect(table.slice(a, b - a)) for a, b in edges(starts)}
-                yield from table.append_column(EFFECT, sparse(found, table.num_rows)).to_batches()
-
-        ranged = ranged.mapInArrow(marked, f"{schema_of(ranged, ranged.columns)}, {EFFECT} binary")
-    return staged(ranged, "ordered")
 
+def packed_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], effect: Callable[[pa.Table], bytes], *,
+    bits: int = BITS, kept: Sequence[str] | None = None,
+) -> DataFrame:
+    """keys, _block, _effect, _rows: blocks as ``ordered_blocks`` cuts them, one row for each key of a block that
+    may go on in another one, with what ``effect`` makes of the key's rows in the block.
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Blocks of rows that come in their order."""
+    The first of these rows holds the ``kept`` columns of all rows of the block as one value, in their order.
+    What goes through a block later neither sorts it nor hands it over row by row. The table is written.
+    """
+    by, named = [*keys, *order], schema_of(df, keys)
+    ranged = df.drop(BLOCK).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = ranged.select(*(c for c in (kept or df.columns) if c != BLOCK))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << (33 - bits)
+        for n, table in enumerate(_runs(batches, 1 << bits)):
+            ends = edges(key_starts(table, keys))
+            found = table.select(list(keys)).take([a for a, _ in ends])
+            effects = [effect(table.slice(a, b - a)) for a, b in ends]
+            whole = [pack(table), *[None] * (len(ends) - 1)]
+            found = found.append_column(BLOCK, pa.array([first + n] * len(ends), pa.int64()))
+            found = found.append_column(EFFECT, pa.array(effects, pa.binary()))
+            yield from found.append_column(ROWS, pa.array(whole, pa.binary())).to_batches()
+
+    return staged(ranged.mapInArrow(packed, f"{named}, {BLOCK} long, {EFFECT} binary, {ROWS} binary"), "packed")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same rows, so many at a time."""
     held: list[pa.RecordBatch] = []
+    missing = rows
     for batch in batches:
-        blocks = batch.column(BLOCK).to_numpy()
-        cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
-            if held and held[0].column(BLOCK)[0].as_py() != int(blocks[a]):
+        while batch.num_rows:
+            held.append(batch.slice(0, missing))
+            missing -= held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if not missing:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(a, b - a))
+                held, missing = [], rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def pack(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(rows: pa.BinaryScalar) -> pa.Table:
+    with pa.ipc.open_stream(rows.as_buffer()) as stream:
+        return stream.read_all().combine_chunks()
+
+
+def each_block(
+    packed: DataFrame, starts: Sequence[DataFrame | None], step: Callable[[pa.Table, int, list], pa.Table], schema: str
+) -> DataFrame:
+    """What ``step`` makes of the rows of a block, the block's number and what its first key carries into it by each
+    of ``starts`` (_block, state), none where that key begins. No other key of a block was there before it."""
+    rows = packed.filter(F.col(ROWS).isNotNull()).select(BLOCK, ROWS).repartition(BLOCK)
+    names = [f"_state{i}" for i in range(len(starts))]
+    for name, one in zip(names, starts, strict=True):
+        if one is None:
+            rows = rows.withColumn(name, F.lit(None).cast("array<double>"))
+        else:
+            rows = rows.join(one.select(BLOCK, F.col("state").alias(name)), BLOCK, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, states = batch.column(BLOCK).to_pylist(), [batch.column(n).to_pylist() for n in names]
+            for i, rows in enumerate(batch.column(ROWS)):
+                yield from step(unpack(rows), blocks[i], [s[i] for s in states]).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
 def bounded_buckets(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, *, tie: Column | None = None,
     bits: int = BITS,
@@ -142,14 +196,10 @@ def continued(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def with_start(rows: DataFrame, blocks: DataFrame, states: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """``state`` of the block before, null where a key begins. One row a block of a key that goes on is joined;
-    it is written first, so that its size is known before the rows are moved."""
-    if states is None:
-        return rows.withColumn("state", F.lit(None).cast("array<double>"))
+def starts_of(blocks: DataFrame, states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, _block, state: what a key carries into each of its later blocks; written."""
     starts = blocks.join(states.withColumn("at", F.col("at") + 1), [*keys, "at"])
-    starts = staged(starts.select(*keys, BLOCK, "state"), "starts")
-    return rows.join(starts, [*keys, BLOCK], "left")
+    return staged(starts.select(*keys, BLOCK, "state"), "starts")
 
 
 def maps_of(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ first, then their starting quantities, then each block once more from its start.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 from tapeworks.functions.blocks import (
     BITS,
     EFFECT,
+    ROWS,
     continued,
-    grouped_rows,
+    each_block,
+    key_starts,
     known,
     levels_for,
-    ordered_blocks,
+    packed_blocks,
     schema_of,
     starting_states,
-    with_start,
+    starts_of,
+    unpack,
 )
 from tapeworks.functions.series import BLOCK
 from tapeworks.session import staged
 
-#: What a row adds (above 0) or takes if enough is held (below 0), and what a key begins with.
+#: What a row adds (above 0) or takes if enough is held (below 0), and what a key begins with (nothing, without it).
 DELTA, START = "_delta", "_start"
 #: Optional: what is held is never more.
 MOST = "_most"
@@ -111,6 +114,10 @@ class ShiftMap:
 _HEAD, _HEAD_BYTES = "<3q", 24
 
 
+def _begin(table: pa.Table, row: int) -> int:
+    return table.column(START)[row].as_py() if START in table.column_names else 0
+
+
 def _effect(table: pa.Table) -> bytes:
     """What the key begins with if this is its first block, what its rows add, the bound on what refused ones
     leave (less what is held before), and their map if it is easy."""
@@ -120,11 +127,11 @@ def _effect(table: pa.Table) -> bytes:
     sums, takes = np.cumsum(moved), moved < 0
     over = int((-moved - 1 - sums)[takes].max()) if takes.any() else -UNBOUNDED
     found = ShiftMap.of(deltas, most, EASY)
-    head = struct.pack(_HEAD, table.column(START)[0].as_py(), int(sums[-1]), over)
+    head = struct.pack(_HEAD, _begin(table, 0), int(sums[-1]), over)
     return head if found is None else head + found.pack()
 
 
-def _shift_maps(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _shift_maps(packed: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, at, map for every block of a key that goes on in a later one.
 
     What is held is never larger than a bound that is easy to follow: taking s leaves at most the larger of
@@ -151,7 +158,7 @@ def _shift_maps(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list
     bounds = bounds.withColumn(MOST, F.when(F.col("at") == 0, F.col("_begin")).otherwise(F.col("_base") + peak))
     bounds = bounds.withColumn("_easy", F.length(EFFECT) > _HEAD_BYTES)
     bounds = staged(bounds.select(*on, "at", EFFECT, MOST, "_easy"), "bounds")
-    named = f"{schema_of(rows, keys)}, at long, map binary"
+    named = f"{schema_of(packed, keys)}, at long, map binary"
 
     def cut(batches):
         for batch in batches:
@@ -164,16 +171,20 @@ def _shift_maps(rows: DataFrame, blocks: DataFrame, keys: list[str], order: list
     if not bounds.filter("NOT _easy").limit(1).count():
         return easy
 
-    def make(table: pa.Table) -> pa.Table:
-        table, _ = grouped_rows(table, keys, order)
-        found = ShiftMap.of(known(table.column(DELTA)), table.column(MOST)[0].as_py())
-        own = {k: table.column(k).slice(0, 1) for k in (*keys, "at")}
-        raw = table.column(EFFECT)[0].as_py() + found.pack()
-        return pa.table(own | {"map": pa.array([raw], pa.binary())})
+    def make(batches):
+        for batch in batches:
+            maps = []
+            facts = zip(batch.column(ROWS), batch.column(EFFECT).to_pylist(), batch.column(MOST).to_pylist(), strict=True)
+            for rows, head, most in facts:
+                table = unpack(rows)
+                last = key_starts(table, keys)[-2]  # only the last key of a block goes on
+                maps.append(head + ShiftMap.of(known(table.column(DELTA).slice(last)), most).pack())
+            arrays = [*(batch.column(c) for c in (*keys, "at")), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keys, "at", "map"])
 
     hard = staged(bounds.filter("NOT _easy").drop("_easy"), "hard")
-    again = rows.select(*on, *[c for c in order if c not in on], DELTA).join(hard, on)
-    return easy.unionByName(again.groupBy(*on).applyInArrow(make, named))
+    again = hard.join(packed.filter(F.col(ROWS).isNotNull()).select(BLOCK, ROWS), BLOCK)
+    return easy.unionByName(again.mapInArrow(make, named))
 
 
 def _then(first: bytes, later: bytes) -> bytes:
@@ -186,47 +197,52 @@ def _step(state: list[float], one: bytes) -> list[float]:
     return [float(ShiftMap.unpack(one[_HEAD_BYTES :]).at(held))]
 
 
+def screened_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, levels: int | None = None,
+    kept: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``df`` in packed blocks, and what is held before those blocks in which a key goes on (none if
+    no key does)."""
+    keys = list(keys)
+    packed = packed_blocks(df, keys, order, _effect, bits=bits, kept=kept)
+    blocks = staged(continued(packed, keys), "blocks")
+    levels = levels_for(blocks) if levels is None else levels
+    if levels is None:
+        return packed, None
+    maps = _shift_maps(packed, blocks, keys)
+    return packed, starts_of(blocks, starting_states(maps, keys, [_UNBEGUN], _then, _step, levels=levels), keys)
+
+
+def replayed(table: pa.Table, keys: Sequence[str], state: list[float] | None) -> pa.Table:
+    """The rows of a block with held_before and accepted; ``state`` is what its first key holds if it goes on."""
+    starts, deltas = key_starts(table, keys), known(table.column(DELTA))
+    before, accepted = [], []
+    for a, b in zip(starts, starts[1:], strict=False):
+        held = int(state[0]) if state is not None and not a else _begin(table, a)
+        for delta in deltas[a:b]:
+            before.append(held)
+            fits = held + delta >= 0 or delta >= 0
+            accepted.append(fits)
+            if fits:
+                held += delta
+    table = table.drop_columns([c for c in (DELTA, START, MOST) if c in table.column_names])
+    table = table.append_column("held_before", pa.array(before, pa.int64()))
+    return table.append_column("accepted", pa.array(accepted, pa.bool_()))
+
+
 def accept_in_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    bits: int = BITS,
-    levels: int | None = None,
-    then: Callable[[pa.Table], pa.Table] | None = None,
-    gives: str = "",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, bits: int = BITS, levels: int | None = None
 ) -> DataFrame:
-    """Adds held_before, accepted and _block to ``df`` (with the whole numbers ``_delta``, ``_start`` and perhaps
+    """Adds held_before, accepted and _block to ``df`` (with the whole number ``_delta`` and perhaps ``_start`` and
     ``_most``, which are dropped). ``levels``: how often neighbouring maps are composed first; by default as
-    their number asks for. ``then`` goes on with the rows of a block at once, in order; ``gives`` are the columns it
-    puts in the place of the two."""
-    keys, order = list(keys), list(order)
-    rows = ordered_blocks(df, keys, order, bits=bits, effect=_effect)
-    blocks = staged(continued(rows, keys), "blocks")
-    levels, states = levels_for(blocks) if levels is None else levels, None
-    if levels is not None:
-        states = starting_states(
-            _shift_maps(rows, blocks, keys, order), keys, [_UNBEGUN], _then, _step, levels=levels
-        )
-    kept = [c for c in rows.columns if c not in (DELTA, START, MOST, EFFECT)]
-
-    def replay(table: pa.Table) -> pa.Table:
-        table, starts = grouped_rows(table, keys, order)
-        deltas, begin, given = known(table.column(DELTA)), table.column(START), table.column("state")
-        before, accepted = [], []
-        for a, b in zip(starts, starts[1:], strict=False):
-            state = given[a].as_py()
-            held = begin[a].as_py() if state is None else int(state[0])
-            for delta in deltas[a:b]:
-                before.append(held)
-                fits = held + delta >= 0 or delta >= 0
-                accepted.append(fits)
-                if fits:
-                    held += delta
-        table = table.select(kept).append_column("held_before", pa.array(before, pa.int64()))
-        table = table.append_column("accepted", pa.array(accepted, pa.bool_()))
-        return table if then is None else then(table)
-
-    schema = f"{schema_of(rows, kept)}, {gives or 'held_before long, accepted boolean'}"
-    joined = with_start(rows.drop(EFFECT, MOST), blocks, states, keys)
-    return joined.groupBy(BLOCK).applyInArrow(replay, schema)
+    their number asks for."""
+    keys = list(keys)
+    packed, held = screened_blocks(df, keys, order, bits=bits, levels=levels)
+    kept = [c for c in df.columns if c not in (DELTA, START, MOST, BLOCK)]
+
+    def step(table: pa.Table, block: int, states: list) -> pa.Table:
+        table = replayed(table, keys, states[0])
+        return table.append_column(BLOCK, pa.array(np.full(table.num_rows, block, np.int64)))
+
+    schema = f"{schema_of(df, kept)}, held_before long, accepted boolean, {BLOCK} long"
+    return each_block(packed, [held], step, schema)

@@ -9,6 +9,7 @@ follow from one row a block. No account or symbol has to fit in one task.
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from tapeworks.functions.blocks import (
     EFFECT,
     bounded_buckets,
     continued,
+    each_block,
     edges,
     grouped_rows,
     key_starts,
@@ -31,11 +33,11 @@ from tapeworks.functions.blocks import (
     schema_of,
     sparse,
     starting_states,
-    with_start,
+    starts_of,
 )
 from tapeworks.functions.cells import local_date
 from tapeworks.functions.series import BLOCK, Grid, running
-from tapeworks.functions.shift_maps import DELTA, START, accept_in_order
+from tapeworks.functions.shift_maps import DELTA, accept_in_order, replayed, screened_blocks
 from tapeworks.session import staged
 
 KEYS = ["account", "symbol"]
@@ -58,7 +60,7 @@ def inventory_clamp(fills: DataFrame, grid: Grid | None = None, *, bits: int = B
 
 
 def _moves(fills: DataFrame) -> DataFrame:
-    return fills.withColumns({DELTA: _signed(F.col("quantity")).cast("long"), START: F.lit(0).cast("long")})
+    return fills.withColumn(DELTA, _signed(F.col("quantity")).cast("long"))
 
 
 _PREFIX = ["_a0", "_a1", "_m0", "_m1", "_g0", "_g1", "_f0", "_f1"]
@@ -140,12 +142,75 @@ def _accepted_prefixes(table: pa.Table) -> pa.Table:
     return _prefixes(table.rename_columns(names), key_starts(table, KEYS))
 
 
-def screened_ledger(fills: DataFrame, *, bits: int = BITS, levels: int | None = None) -> DataFrame:
-    """The ``ledger`` of the fills that ``inventory_clamp`` accepts, both in one pass over each block."""
-    found = accept_in_order(
-        _moves(fills), KEYS, ORDER, bits=bits, levels=levels, then=_accepted_prefixes, gives=_GIVES
-    )
-    return _settled(found, levels)
+def _facts(table: pa.Table) -> list[list]:
+    buys = pc.equal(table.column("side"), "buy").to_pylist()
+    amounts = (known(table.column(c).cast(pa.float64())) for c in ("price", "cost"))
+    return [buys, known(table.column(DELTA)), *amounts]
+
+
+def _accepted_effect(held: int, buys: list, deltas: list, prices: list, costs: list) -> bytes | None:
+    """The last row of ``_prefixes`` over the fills of a key that are accepted from ``held`` on; none if none is."""
+    a, m, g, f, some = 1.0, 0.0, 1.0, 0.0, False
+    for buy, delta, price, cost in zip(buys, deltas, prices, costs, strict=True):
+        after = held + delta
+        if after < 0 and delta < 0:
+            continue
+        some = True
+        if buy:
+            a, m = (a * held / after, (m * held + price * delta) / after) if after else (0.0, 0.0)
+            f += cost
+        elif after <= 0:
+            a = m = g = f = 0.0
+        else:
+            g, f = g + g * delta / held, f + f * delta / held
+        held = after
+    return struct.pack("<5d", a, m, g, f, 0.0) if some else None
+
+
+def screened_ledger(
+    fills: DataFrame, *, bits: int = BITS, levels: int | None = None, without: Sequence[str] = ()
+) -> DataFrame:
+    """The ``ledger`` of the fills that ``inventory_clamp`` accepts, with ``sequence``, a number that rises along
+    the fills of a position. Columns named in ``without`` serve to order the fills, but are not returned.
+
+    Blocks are gone through once for what they do to the average and fees before them, and once from those; both
+    times the decisions are made again, so that no row is written in between.
+    """
+    own = [c for c in fills.columns if c not in (BLOCK, *without)]
+    packed, held = screened_blocks(_moves(fills), KEYS, ORDER, bits=bits, levels=levels, kept=[*own, DELTA])
+
+    def effects(table: pa.Table, block: int, states: list) -> pa.Table:
+        facts, firsts, found = _facts(table), [], []
+        for a, b in edges(key_starts(table, KEYS)):
+            one = _accepted_effect(0 if a or states[0] is None else int(states[0][0]), *(x[a:b] for x in facts))
+            if one is not None:
+                firsts.append(a)
+                found.append(one)
+        out = table.select(KEYS).take(pa.array(firsts, pa.int64())).append_column(EFFECT, pa.array(found, pa.binary()))
+        return out.append_column(BLOCK, pa.array([block] * len(found), pa.int64()))
+
+    found = each_block(packed, [held], effects, f"{schema_of(fills, KEYS)}, {EFFECT} binary, {BLOCK} long")
+    before = _starts(staged(continued(staged(found, "effects"), KEYS), "blocks"), levels)
+
+    def settle(table: pa.Table, block: int, states: list) -> pa.Table:
+        number = np.arange(table.num_rows, dtype=np.int64) + (block << bits)
+        table = _accepted_prefixes(replayed(table.append_column("sequence", pa.array(number)), KEYS, states[0]))
+        first = np.arange(table.num_rows) < (key_starts(table, KEYS)[1] if table.num_rows else 0)
+        average, fees, short = (np.where(first, x, 0.0) for x in states[1] or (0.0, 0.0, 0.0))
+        a0, a1, m0, m1, g0, g1, f0, f1 = (table.column(c).to_numpy() for c in _PREFIX)
+        new = {
+            "average_before": a0 * average + m0, "_average": a1 * average + m1,
+            "fees_before": g0 * fees + f0, "fees_after": g1 * fees + f1,
+            "oversold": table.column("oversold").to_numpy() | (short > 0),
+        }
+        table = table.drop_columns([*_PREFIX, EFFECT, "oversold"])
+        for name, values in new.items():
+            table = table.append_column(name, pa.array(values))
+        return table
+
+    doubles = ", ".join(f"{c} double" for c in ("average_before", "_average", "fees_before", "fees_after"))
+    gives = f"sequence long, quantity_before long, quantity_after long, {doubles}, oversold boolean"
+    return _valued(each_block(packed, [held, before], settle, f"{schema_of(fills, own)}, {gives}"))
 
 
 def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 << BITS, levels: int | None = None) -> DataFrame:
@@ -170,16 +235,25 @@ def ledger(fills: DataFrame, grid: Grid | None = None, *, block_rows: int = 1 <<
     return _settled(found, levels)
 
 
+def _starts(blocks: DataFrame, levels: int | None) -> DataFrame | None:
+    """Average, fees and whether there was an oversell before the later blocks of a position."""
+    levels = levels_for(blocks) if levels is None else levels
+    if levels is None:
+        return None
+    maps = maps_of(blocks, KEYS)
+    return starts_of(blocks, starting_states(maps, KEYS, [0, 0, 0], _affine_then, _affine_step, levels=levels), KEYS)
+
+
 def _settled(found: DataFrame, levels: int | None) -> DataFrame:
     """The ledger from ``_prefixes``."""
     found = staged(found, "prefixes")
-    blocks = staged(continued(found, KEYS), "blocks")
-    levels = levels_for(blocks) if levels is None else levels
-    states = None if levels is None else starting_states(
-        maps_of(blocks, KEYS), KEYS, [0, 0, 0], _affine_then, _affine_step, levels=levels
-    )
+    starts = _starts(staged(continued(found, KEYS), "blocks"), levels)
     c = F.col
-    flat = with_start(found.drop(EFFECT), blocks, states, KEYS)
+    flat = found.drop(EFFECT)
+    if starts is None:
+        flat = flat.withColumn("state", F.lit(None).cast("array<double>"))
+    else:
+        flat = flat.join(starts, [*KEYS, BLOCK], "left")
     average, fees = (F.coalesce(F.get("state", i), F.lit(0.0)) for i in (F.lit(0), F.lit(1)))
     flat = flat.withColumns(
         {
@@ -190,6 +264,12 @@ def _settled(found: DataFrame, levels: int | None) -> DataFrame:
             "oversold": c("oversold") | (F.coalesce(F.get("state", F.lit(2)), F.lit(0.0)) > 0),
         }
     )
+    return _valued(flat.drop(*_PREFIX, "state", BLOCK))
+
+
+def _valued(flat: DataFrame) -> DataFrame:
+    """Realised P&L and bases from quantities, averages and fees before and after each fill."""
+    c = F.col
     share = F.try_divide(c("fees_before") * c("quantity"), c("quantity_before"))
     realised = (
         (c("price").cast("double") - c("average_before")) * c("quantity")
@@ -205,7 +285,7 @@ def _settled(found: DataFrame, levels: int | None) -> DataFrame:
             "realized_pnl": F.when(c("side") == "sell", realised).otherwise(F.lit(0.0)),
         }
     )
-    return flat.drop(*_PREFIX, "_average", "state", BLOCK)
+    return flat.drop("_average")
 
 
 def open_positions(book: DataFrame) -> DataFrame:

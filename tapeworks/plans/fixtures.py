@@ -91,32 +91,42 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item; about a third are sells, many of more than is held."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("symbol"))
     sell = F.col("l_returnflag") == "R"
-    return (
-        lines.join(part, lines["l_partkey"] == part["p_partkey"])
+    # Ids are told apart as numbers, before they are made. A missing one leaves no gap in the id.
+    first = F.coalesce("l_orderkey", "l_linenumber")
+    lines = (
+        table(spark, sf_dir, "lineitem")
         .select(
-            F.concat(F.lit("A"), (F.col("l_suppkey") % 10).cast("string")).alias("account"),
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias(
-                "client_order_id"
-            ),
-            F.col("p_brand").alias("symbol"),
+            first.alias("first"),
+            F.when(F.col("l_orderkey").isNotNull(), F.col("l_linenumber")).alias("second"),
+            F.col("l_partkey").alias("part"),
+            F.col("l_suppkey").alias("supplier"),
             F.coalesce(sell, F.lit(False)).alias("sells"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
             _money("l_extendedprice").alias("price"),
             F.round(F.col("l_tax") * 100, 0).cast("decimal(18,2)").alias("cost"),
             F.col("l_shipdate").cast("timestamp").alias("ts"),
         )
-        .groupBy("account", "client_order_id", "symbol", "ts")
+        .groupBy("first", "second", "part", "supplier", "ts")
         .agg(
             # A largest text would have to be sorted for.
-            F.when(F.max("sells"), "sell").otherwise("buy").alias("side"),
+            F.max("sells").alias("sells"),
             F.max("quantity").alias("quantity"),
             F.max("price").alias("price"),
             F.max("cost").alias("cost"),
         )
     )
+    return lines.join(part.distinct(), "part").select(
+        F.concat(F.lit("A"), (F.col("supplier") % 10).cast("string")).alias("account"),
+        F.concat_ws("-", "first", "second", "part", "supplier").alias("client_order_id"),
+        "symbol",
+        "ts",
+        F.when(F.col("sells"), "sell").otherwise("buy").alias("side"),
+        "quantity",
+        "price",
+        "cost",
+    )
 
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:

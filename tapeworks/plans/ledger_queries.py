@@ -82,7 +82,7 @@ def ledger_fees(spark, sf):
 def plain_ledger(spark, sf):
     """The ledger without fees, summed per position."""
     free = fx.fills(spark, sf).withColumn("cost", F.lit(0).cast("decimal(18,2)"))
-    rows = led.screened_ledger(free).groupBy("account", "symbol").agg(
+    rows = led.screened_ledger(free, without=led.ORDER).groupBy("account", "symbol").agg(
         F.sum(F.when(F.col("side") == "buy", F.col("quantity"))).alias("bought"),
         F.sum(F.when(F.col("side") == "sell", F.col("realized_pnl"))).alias("realized_pnl"),
     )

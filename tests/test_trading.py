@@ -407,3 +407,60 @@ def test_orders_far_apart_share_a_bucket(spark, monkeypatch):
     assert got == {i * 10**9: 10 if i < 100 else 0 for i in range(200)}
     assert sum(r.accepted for r in pricing.full_fills(df).collect()) == 100
     assert seen == [1, 1]
+
+
+def written(monkeypatch, *modules):
+    """Names and row counts of the tables that are written from now on."""
+    seen = []
+    for module in modules:
+        def counted(df, name, real=module.staged):
+            out = real(df, name)
+            seen.append((name, out.count()))
+            return out
+
+        monkeypatch.setattr(module, "staged", counted)
+    return seen
+
+
+def test_ledger_writes_no_row_per_fill(spark, monkeypatch):
+    from tapeworks.functions import blocks, shift_maps
+
+    rng = random.Random(8)
+    rows = [("HOT" if i % 9 else "S", rng.choice(["buy", "sell"]), rng.randint(1, 9), 100 + i % 11, 1) for i in range(400)]
+    fills = fill_table(spark, rows)
+    columns = ["symbol", "ts", "quantity_after", *[F.round(c, 6) for c in ("average_price", "fees_after", "realized_pnl")]]
+    seen = written(monkeypatch, blocks, shift_maps, led)
+    book = led.screened_ledger(fills, bits=4)
+    assert seen and max(n for _, n in seen) < 100
+    monkeypatch.undo()
+    kept = book.orderBy("symbol", "ts").select("sequence").collect()
+    assert [r.sequence for r in kept] == sorted({r.sequence for r in kept})
+    less = led.screened_ledger(fills, bits=4, without=["client_order_id"])
+    assert set(book.columns) - set(less.columns) == {"client_order_id"}
+    want = sorted(map(str, led.ledger(led.inventory_clamp(fills)).select(*columns).collect()))
+    assert sorted(map(str, book.select(*columns).collect())) == sorted(map(str, less.select(*columns).collect())) == want
+
+
+def test_fills_are_told_apart_as_numbers(spark, tmp_path):
+    import duckdb
+    from tapeworks.plans import fixtures as fx
+    from tapeworks.plans.views import with_views
+
+    con = duckdb.connect()
+    # Ids with a gap may be equal; parts may be listed twice or have two brands.
+    con.execute(
+        """CREATE TABLE lineitem AS SELECT o::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, p::BIGINT AS l_partkey,
+        s::BIGINT AS l_suppkey, q::DOUBLE AS l_quantity, 10.5 * q AS l_extendedprice, 0.01 * q AS l_tax, r AS l_returnflag,
+        TIMESTAMP '1995-01-01' AS l_shipdate FROM (VALUES (1, 2, 3, 4, 5, 'R'), (1, 2, 3, 4, 6, 'N'), (NULL, 1, 3, 4, 7, 'N'),
+        (1, NULL, 3, 4, 8, NULL), (1, 3, 3, NULL, 9, 'A'), (1, NULL, 3, NULL, 3, 'R'), (NULL, NULL, 3, 1, 2, 'R'),
+        (2, 1, 5, 14, 3, 'N'), (2, 1, NULL, 14, 3, 'N')) t(o, n, p, s, q, r)"""
+    )
+    con.execute("CREATE TABLE part AS SELECT * FROM (VALUES (3::BIGINT, 'B1'), (3, 'B1'), (5, 'B1'), (5, 'B2')) t(p_partkey, p_brand)")
+    for name in ("lineitem", "part"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = fx.fills(spark, str(tmp_path))
+    want = con.execute(with_views(f"SELECT {', '.join(got.columns)} FROM fills")).fetchall()
+    text = lambda r: [str(x) for x in r]
+    assert sorted(text(r) for r in got.collect()) == sorted(text(r) for r in want)
+    plan = fx.fills(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*client_order_id", plan)

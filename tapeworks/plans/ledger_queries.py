@@ -45,8 +45,8 @@ FROM book_steps s JOIN fill_seq f ON f.account = s.account AND f.symbol = s.symb
 view("book", "SELECT * FROM book_steps WHERE accepted")
 
 
-def _book(spark, sf):
-    return led.screened_ledger(fx.fills(spark, sf))
+def _book(spark, sf, *without):
+    return led.screened_ledger(fx.fills(spark, sf), without=without)
 
 
 @query(
@@ -309,7 +309,7 @@ _TRADE = [
     FROM book WHERE side = 'sell' GROUP BY account""",
 )
 def perf_trades(spark, sf):
-    sells = _book(spark, sf).filter("side = 'sell'")
+    sells = _book(spark, sf, *led.ORDER).filter("side = 'sell'")
     digits = dict(zip(_TRADE, (8, 8, 6, 3, 3, 3), strict=True))
     rows = perf.trade_metrics(sells, "account")
     return rows.select("account", *rounded(digits), "closed_trade_count")

@@ -326,42 +326,43 @@ def snapshots(book: DataFrame, marks: DataFrame, grid: Grid, initial_cash: str)
     added up per instant. A fill marks its position at the ``open`` seen then, if the book has it,
     else at its price. ``marks`` holds (symbol, ts, price) closes; they apply after fills
     of the same instant. ``book`` is read several times and should be a stored table.
+
+    Over all events of an instant, what a position has cost and is worth moves from before the first of them to
+    after the last, so events are added up per position and instant before anything is put in order.
     """
     c = F.col
     money = lambda n: c(n).cast("double")
     # Sums of these are the same in any order.
     exact = lambda n: c(n).cast(SHARE)
     price_q = (c("price") * c("quantity").cast("decimal(12,0)")).cast(VALUE)
-    fill_events = book.select(
-        *KEYS,
-        "ts",
-        F.lit(0).alias("_side"),
-        c("client_order_id").alias("_id"),
-        c("quantity_after").cast("double").alias("_q"),
-        money("open" if "open" in book.columns else "price").alias("_m"),
-        F.when(c("side") == "buy", -price_q - c("cost")).otherwise(price_q - c("cost")).cast(VALUE)
-        .alias("_cash"),
-        (exact("basis_after") + exact("fees_after") - exact("basis_before") - exact("fees_before")).cast(SHARE)
-        .alias("_carried"),
-        exact("realized_pnl").alias("_realized"),
-    )
+    cash = F.when(c("side") == "buy", -price_q - c("cost")).otherwise(price_q - c("cost")).cast(VALUE)
+    carried, before = c("basis_after") + c("fees_after"), c("basis_before") + c("fees_before")
+    # A number is looked up without a sort.
+    at = c("sequence" if "sequence" in book.columns else "client_order_id")
+    seen = money("open" if "open" in book.columns else "price")
+    fill_events = book.groupBy(*KEYS, "ts").agg(
+        F.max_by(money("quantity_after"), at).alias("_q"),
+        F.max_by(seen, F.when(seen.isNotNull(), at)).alias("_seen"),
+        F.sum(cash).cast(VALUE).alias("_cash"),
+        (F.max_by(carried, at) - F.min_by(before, at)).cast(SHARE).alias("_carried"),
+        F.sum(exact("realized_pnl")).cast(SHARE).alias("_realized"),
+    )
     held = book.select(*KEYS).distinct()
-    mark_events = marks.join(held, "symbol").select(
+    mark_events = marks.groupBy("symbol", "ts").agg(F.max(money("price")).alias("_mark")).join(held, "symbol")
+    events = staged(fill_events.join(mark_events, [*KEYS, "ts"], "full").select(
         *KEYS,
         "ts",
-        F.lit(1).alias("_side"),
-        F.lit("").alias("_id"),
-        F.lit(None).cast("double").alias("_q"),
-        money("price").alias("_m"),
-        F.lit(0).cast(VALUE).alias("_cash"),
-        F.lit(0).cast(SHARE).alias("_carried"),
-        F.lit(0).cast(SHARE).alias("_realized"),
-    )
-    events, bucket = bounded_buckets(fill_events.unionByName(mark_events), KEYS, ["ts", "_side", "_id"], grid.bucket("ts"))
+        "_q",
+        F.coalesce("_mark", "_seen").alias("_m"),
+        F.coalesce("_cash", F.lit(0)).cast(VALUE).alias("_cash"),
+        F.coalesce("_carried", F.lit(0)).cast(SHARE).alias("_carried"),
+        F.coalesce("_realized", F.lit(0)).cast(SHARE).alias("_realized"),
+    ), "events")
+    events, bucket = bounded_buckets(events, KEYS, ["ts"], grid.bucket("ts"))
     line = running(
         events,
         KEYS,
-        ["ts", "_side", "_id"],
+        ["ts"],
         bucket,
         {"_q0": ("last", c("_q")), "_m0": ("last", c("_m"))},
         include_current=False,

@@ -168,7 +168,7 @@ LEFT JOIN (SELECT account, ts, sum(held * mark::DOUBLE) AS exposure, sum(basis +
 
 
 def _states(spark, sf):
-    book = staged(_book(spark, sf), "book")
+    book = staged(_book(spark, sf, "client_order_id"), "book")
     return led.snapshots(book, _quotes(spark, sf), GRID, CASH)
 
 
@@ -325,7 +325,7 @@ def perf_trades(spark, sf):
         UNION ALL SELECT DISTINCT account, 0 FROM account_times) GROUP BY account) e ON e.account = f.account""",
 )
 def perf_activity(spark, sf):
-    book = staged(_book(spark, sf), "book")
+    book = staged(_book(spark, sf, "client_order_id"), "book")
     slip = (F.col("quantity") * F.lit("0.05").cast("decimal(4,2)")).cast("decimal(24,4)")
     curve = led.equity_curve(led.snapshots(book, _quotes(spark, sf), GRID, CASH), CASH)
     rows = perf.activity(book.withColumn("slippage_cost", slip), curve, float(CASH))

@@ -464,3 +464,41 @@ def test_fills_are_told_apart_as_numbers(spark, tmp_path):
     assert sorted(text(r) for r in got.collect()) == sorted(text(r) for r in want)
     plan = fx.fills(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\([^)]*client_order_id", plan)
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_states_from_one_row_per_position_and_instant(spark, monkeypatch, numbered):
+    rng, rows = random.Random(2), []
+    for i in range(240):  # six fills of two positions at an instant
+        at, side = NOW + timedelta(days=i // 6), "buy" if i < 6 else rng.choice(["buy", "sell"])
+        rows.append(("A", "XY"[i % 2], f"o{i:04d}", side, rng.randint(1, 9), D(100 + rng.randint(0, 9)), D(1), at))
+    fills = spark.createDataFrame(
+        rows, "account string, symbol string, client_order_id string, side string, quantity long, price decimal(18,2), "
+        "cost decimal(18,2), ts timestamp"
+    )
+    closes = [("X", NOW + timedelta(days=d), D(90 + d)) for d in range(1, 45, 3)]
+    marks = spark.createDataFrame(closes, "symbol string, ts timestamp, price decimal(18,2)")
+    book = led.screened_ledger(fills, bits=4) if numbered else led.ledger(led.inventory_clamp(fills))
+    seen = written(monkeypatch, led)
+    got = {r.ts.timestamp(): r for r in led.snapshots(book, marks, GRID, "100000").collect()}
+    assert dict(seen)["events"] <= len({(r[1], r[-1]) for r in rows} | {(s, t) for s, t, _ in closes})
+    held, mark, basis, fees, cash = {"X": 0, "Y": 0}, {}, {"X": 0, "Y": 0}, {"X": 0, "Y": 0}, 100000
+    for at in sorted({r[-1] for r in rows} | {t for _, t, _ in closes}):
+        moved = any(t == at for _, t, _ in closes)
+        for _, symbol, _, side, quantity, price, _, ts in rows:
+            if ts != at or side == "sell" and held[symbol] < quantity:
+                continue
+            moved = True
+            mark[symbol], old = float(price), held[symbol]
+            held[symbol] += quantity if side == "buy" else -quantity
+            cash += (-1 if side == "buy" else 1) * quantity * float(price) - 1
+            basis[symbol] += quantity * float(price) if side == "buy" else -basis[symbol] * quantity / old
+            fees[symbol] += 1 if side == "buy" else -fees[symbol] * quantity / old
+        mark |= {s: float(p) for s, t, p in closes if t == at}
+        exposure = sum(held[s] * m for s, m in mark.items())
+        if not moved:
+            continue
+        state = got.pop(at.timestamp())
+        assert (float(state.cash), state.exposure) == pytest.approx((cash, exposure))
+        assert state.unrealized_pnl == pytest.approx(exposure - sum(basis.values()) - sum(fees.values()), abs=1e-4)
+    assert not got
